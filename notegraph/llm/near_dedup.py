@@ -207,3 +207,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = out.withColumn("key", F.when(alone, F.concat(F.col("digest"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string").cast("binary"))).otherwise(F.col("digest"))).join(rest, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("hot_id", "component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def kept_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns; identifiers must be unique."""
+    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
