@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, language, near_dedup, packing, sharding, topk
+from . import bpe, chat, exact_dedup, html_text, language, licenses, near_dedup, packing, sharding, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.PROBE).alias("text"))
@@ -52,7 +56,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_exact_topk, op4_sharding, op5_exact_dedup, op6_bpe, op7_language_id, op9_chat_formatting, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_exact_topk, op4_sharding, op5_exact_dedup, op6_bpe, op7_language_id, op8_license_scan, op9_chat_formatting, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
