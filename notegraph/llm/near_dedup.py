@@ -66,19 +66,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(rep, items, long): the sorted shingle hashes and a long sketch, as bytes."""
+    """(rep, items, long, bands): sorted shingle hashes, a long sketch and band keys, as bytes."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, AT_ONCE):
                 sets = list(shingle_sets(_texts(batch, start)))
                 long = (sketches(sets, LONG) & np.uint64(255)).astype(np.uint8)
+                keys = bands(sketches(sets, SKETCH), ROWS)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, AT_ONCE), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in long], pa.binary())],
-                    ["rep", "items", "long"],
+                    [batch.column("doc_id").slice(start, AT_ONCE), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in long], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary())],
+                    ["rep", "items", "long", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(gather, "rep long, items binary, long binary")
+    return docs.select("doc_id", "text").mapInArrow(gather, "rep long, items binary, long binary, bands binary")
 
 
 def _likely(percent: int) -> float:
@@ -113,45 +114,45 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(percent: int):
-    """Pairs of different components inside each block of a sorted partition."""
+    """Pairs of different components inside each block of a sorted partition.  Of all the
+    buckets a pair shares, only that of its first common band returns it."""
     least = _likely(percent)
 
     def pairs_of(rows: list[tuple]) -> list[tuple[int, int]]:
-        reps = np.array([r[0] for r in rows])
-        comps = np.array([r[1] for r in rows])
-        half = np.array([r[2] for r in rows])
-        long = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(-1, LONG)
+        key, reps, comps, half = (np.array([r[k] for r in rows]) for k in range(4))
         names, inverse, counts = np.unique(comps, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return []
+        long = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(-1, LONG)
+        keys = np.frombuffer(b"".join([r[5] for r in rows]), np.int64).reshape(len(rows), -1)
         out = []
-        for i in np.flatnonzero(inverse != counts.argmax()):  # pairs inside the largest component are never looked at
-            other = (comps != comps[i]) & ((half != half[i]) | (half[i] < 0))
+        largest = counts.argmax()
+        for i in np.flatnonzero(inverse != largest):  # pairs inside the largest component are never looked at
+            # Both ends outside the largest component: the later one is looked at from the earlier.
+            other = (comps != comps[i]) & ((half != half[i]) | (half[i] < 0)) & ((inverse == largest) | (np.arange(len(rows)) > i))
             at = np.flatnonzero(other)
             at = at[(long[at] == long[i]).mean(axis=1) >= least]
-            out += [(min(reps[i], reps[j]), max(reps[i], reps[j])) for j in at]
+            if len(at):
+                shared = (keys[at] == keys[i]).argmax(axis=1)
+                at = at[keys[i][shared] == key[i]]
+                out += [(int(min(reps[i], reps[j])), int(max(reps[i], reps[j]))) for j in at]
         return out
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, seen = None, [], set()
+        block, rows = None, []
 
-        def flush() -> pa.RecordBatch:
-            new = set(pairs_of(rows)) - seen
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.update(new)
-            a, b = ([int(p[k]) for p in new] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1 and (found := pairs_of(rows)):
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for own, rep, comp, half, long in zip(*(batch.column(c).to_pylist() for c in ("block", "rep", "component", "half", "long"))):
-                if own != key:
-                    if len(rows) > 1:
-                        yield flush()
-                    key, rows = own, []
-                rows.append((rep, comp, half, long))
-        if len(rows) > 1:
-            yield flush()
+            for own, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "key", "rep", "component", "half", "long", "bands"))):
+                if own != block:
+                    yield from flush()
+                    block, rows = own, []
+                rows.append(row)
+        yield from flush()
 
     return across
 
@@ -188,12 +189,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     blocks = dealt.select("rep", "component", "key", "chunk", other).select(
+        "key",
         "rep",
         "component",
         F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"),
         F.when(F.col("chunk") == F.col("other"), -1).otherwise(F.col("chunk")).alias("half"),
     )
-    candidates = blocks.join(sets.select("rep", "long"), "rep").repartition("block").sortWithinPartitions("block").select("block", "rep", "component", "half", "long").mapInArrow(_across(percent), "a long, b long").distinct()
+    sketched = blocks.join(sets.select("rep", "long", "bands"), "rep").select("block", "key", "rep", "component", "half", "long", "bands")
+    candidates = sketched.repartition("block").sortWithinPartitions("block").mapInArrow(_across(percent), "a long, b long")
     links = links.union(cut(verified(candidates, sets, percent)))
 
     final = connected_components(links).withColumnRenamed("node", "rep")
