@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,8 +128,6 @@ def sse_pieces(lines: DataFrame) -> DataFrame:
 def answer(prompts: DataFrame, sources: DataFrame, chat: Callable[[str, str], str]) -> DataFrame:
     """(query_id, text, cited, bogus): ``chat(system, user)`` is asked where there are
     sources; what comes back is cleaned and its citations are checked."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def ask(system: pd.Series, user: pd.Series) -> pd.Series:
         return pd.Series([chat(s, u) for s, u in zip(system, user)], dtype=object)
