@@ -52,19 +52,25 @@ LABELLED = [
     (60, 0.0, 9, 0.0, 40, 0.0, 1, 0, 0, 1), (9, 0.0, 5, 0.0, 60, 0.0, 1, 0, 1, 1), (3, 0.0, 80, 0.0, 30, 0.0, 1, 0, 0, 1), (1, 0.0, 50, 0.0, 8, 0.5, 1, 0, 0, 1),
     (25, 0.1, 90, 0.0, 12, 0.0, 1, 0, 0, 1), (8, 1.0, 70, 0.0, 66, 0.0, 1, 0, 0, 1), (120, 0.02, 3, 1.0, 2, 1.0, 1, 0, 0, 1), (2, 0.0, 2, 1.0, 0, 0.0, 1, 0, 1, 1),
     (14, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (40, 0.5, 33, 0.0, 18, 0.0, 1, 0, 0, 1), (6, 0.0, 6, 0.0, 6, 0.0, 1, 0, 0, 1), (200, 0.0, 1, 1.0, 150, 0.0, 1, 0, 0, 1),
+    (2, 0.0, 1, 1.0, 3, 0.0, 1, 0, 0, 1), (3, 0.0, 3, 0.0, 4, 0.0, 1, 0, 0, 1), (3, 1.0, 4, 0.0, 5, 0.0, 1, 0, 0, 1), (1, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 1),
+    (5, 0.0, 0, 0.0, 3, 0.0, 1, 0, 0, 1), (4, 0.0, 4, 0.0, 0, 0.0, 1, 0, 0, 1), (2, 0.9, 3, 0.8, 1, 1.0, 1, 0, 0, 1), (12, 0.7, 2, 1.0, 9, 0.9, 1, 0, 0, 1),
+    (4, 0.0, 4, 0.0, 7, 0.0, 1, 0, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0, 1), (5, 0.5, 2, 0.5, 80, 0.0, 1, 0, 0, 1), (3, 0.0, 4, 0.0, 30, 0.0, 1, 0, 0, 1),
+    (2, 1.0, 5, 0.0, 44, 0.0, 1, 0, 0, 1), (6, 0.6, 90, 0.0, 3, 0.0, 1, 0, 0, 1), (4, 0.8, 60, 0.0, 5, 0.8, 1, 0, 0, 1), (30, 0.9, 15, 0.0, 2, 1.0, 1, 0, 0, 1),
     # the same where no element names the article
     (45, 0.0, 6, 0.0, 50, 0.0, 0, 0, 0, 1), (80, 0.05, 45, 0.0, 70, 0.0, 0, 0, 0, 1), (22, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1, 1),
     (35, 0.2, 60, 0.0, 4, 1.0, 0, 0, 0, 1), (6, 0.0, 55, 0.0, 40, 0.0, 0, 0, 0, 1), (9, 0.0, 48, 0.0, 62, 0.0, 0, 0, 1, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
     (18, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 1), (28, 0.0, 0, 0.0, 31, 0.0, 0, 0, 0, 1), (5, 0.0, 30, 0.0, 90, 0.0, 0, 0, 1, 1), (16, 0.0, 21, 0.0, 19, 0.1, 0, 0, 0, 1),
+    (2, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1, 1), (3, 0.0, 35, 0.0, 52, 0.0, 0, 0, 1, 1), (1, 0.0, 4, 0.9, 66, 0.0, 0, 0, 1, 1), (4, 0.0, 28, 0.0, 12, 0.0, 0, 0, 1, 1),
     # menus, footers, adverts, notices, forms and comments that are named as such
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 2, 1.0, 4, 0.0, 0, 1, 0, 0), (4, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0),
     (14, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0), (30, 0.0, 1, 1.0, 60, 0.0, 0, 1, 0, 0), (12, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0), (55, 0.0, 40, 0.0, 12, 0.0, 0, 1, 0, 0),
     (20, 0.0, 90, 0.0, 35, 0.0, 1, 1, 0, 0), (8, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0, 0), (3, 0.0, 70, 0.0, 25, 0.0, 1, 1, 1, 0), (45, 0.1, 25, 0.0, 50, 0.0, 1, 1, 0, 0),
     (6, 0.8, 50, 0.0, 3, 1.0, 1, 1, 0, 0), (2, 0.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0), (90, 0.0, 12, 0.0, 60, 0.0, 0, 1, 0, 0), (150, 0.0, 60, 0.0, 40, 0.0, 1, 1, 0, 0),
+    (1, 0.0, 3, 0.7, 5, 0.6, 0, 1, 1, 0),
     # the same without a name
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 0.7, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (12, 0.9, 3, 1.0, 8, 0.8, 0, 0, 0, 0),
     (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (4, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.5, 5, 0.0, 0, 0, 0, 0), (25, 0.8, 10, 0.9, 6, 1.0, 0, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 45, 0.0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 80, 0.0, 0, 0, 0, 0), (9, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0), (4, 0.8, 3, 1.0, 35, 0.0, 0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 45, 0.0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 80, 0.0, 0, 0, 0, 0), (9, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0), (4, 0.8, 3, 1.0, 35, 0.0, 0, 0, 0, 0), (2, 0.0, 2, 1.0, 45, 0.0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 30, 0.0, 0, 0, 0, 0), (2, 0.0, 4, 0.5, 3, 1.0, 0, 0, 1, 0),
     (6, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0), (8, 0.6, 30, 0.0, 5, 0.8, 0, 0, 0, 0), (2, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0),
 ]
 
@@ -72,7 +78,7 @@ LABELLED = [
 class DecisionTree:
     """Binary classification tree grown by Gini impurity."""
 
-    def __init__(self, rows: list[tuple], depth: int = 6):
+    def __init__(self, rows: list[tuple], depth: int = 9):
         data = np.array(rows, float)
         self._root = self._grow(data[:, :-1], data[:, -1], depth)
 
