@@ -298,3 +298,12 @@ def _restore(text: Column, blocks: Column, config: EngineConfig = EngineConfig()
 
     own = F.transform(blocks, lambda b, i: F.struct(F.when(b["lang"].isin(*config.drop_fence_langs), "").otherwise(b["text"]).alias("text"), mark(i).alias("mark")))
     return F.aggregate(own, text, lambda acc, b: F.replace(acc, b["mark"], b["text"]))
+
+
+def section_rows(parsed: DataFrame, *keys: str) -> DataFrame:
+    """One row for each section of the result of ``parse_notes``: ``keys``, its place n and
+    its fields.  ``inline`` rather than a posexplode: reading fields of an exploded struct
+    makes Spark compute the whole array once for each field."""
+    fields = ("level", "heading", "trail", "start_line", "body")
+    placed = F.transform("sections", lambda s, i: F.struct(i.alias("n"), *[s[c].alias(c) for c in fields]))
+    return parsed.select(*keys, F.inline(placed))

@@ -51,6 +51,11 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def token_count(text: Column) -> Column:
+    """The size of ``index_tokens``, without making them."""
+    return F.regexp_count(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{300}-\x{36F}]", ""), F.lit(TOKEN))
+
+
 def estimate_tokens(text: Column) -> Column:
     """A model-free guess: 3.5 ASCII characters or 1.6 others to a token."""
     other = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))

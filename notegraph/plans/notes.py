@@ -180,8 +180,8 @@ def note_metadata(spark, sf_dir):
 
 
 def section_split(spark, sf_dir):
-    p = markdown.parse_notes(_notes(spark, sf_dir)).select("p_partkey", F.posexplode("sections").alias("n", "s"))
-    return p.select("p_partkey", F.col("n").cast("long").alias("n"), F.col("s.level").cast("long").alias("level"), "s.heading", F.array_join("s.trail", " > ").alias("trail"), F.col("s.start_line").cast("long").alias("start_line"), "s.body")
+    p = markdown.section_rows(markdown.parse_notes(_notes(spark, sf_dir)), "p_partkey")
+    return p.select("p_partkey", F.col("n").cast("long").alias("n"), F.col("level").cast("long").alias("level"), "heading", F.array_join("trail", " > ").alias("trail"), F.col("start_line").cast("long").alias("start_line"), "body")
 
 
 def fence_lines(spark, sf_dir):
