@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,7 +36,10 @@ def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:
     names = note_names(notes)
     depth = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
     # A name needs its two best notes at most: the best one may be the link's own note.
-    best = names.groupBy("name").agg(F.slice(F.array_sort(F.collect_set(F.struct(depth.alias("depth"), "path"))), 1, 2).alias("found"))
+    # The rank cuts a name that many notes share before anything is shuffled.
+    order = F.row_number().over(Window.partitionBy("name").orderBy("depth", "path"))
+    two = names.withColumn("depth", depth).withColumn("_n", order).where(F.col("_n") <= 2)
+    best = two.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("depth", "path"))).alias("found"))
     edges = links.distinct()
     key = F.lower(_bare(strip(F.col("raw"))))
     full = best.select(F.col("name").alias("full_key"), F.col("found").alias("full"))

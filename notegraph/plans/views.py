@@ -57,9 +57,13 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = PASSAGE_WORDS - 2
     passages = table(spark, sf_dir, "benchmark").where(F.size(words) >= PASSAGE_WORDS)
     passages = passages.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.array_join(F.slice(words, 2, inner), " ").alias("key"))
-    docs = notes(spark, sf_dir).select("path", "text", words.alias("w"))
-    keys = docs.where(F.size("w") >= inner).select("path", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - inner + 1), lambda i: F.array_join(F.slice("w", i, inner), " ")))).alias("key"))
-    return keys.join(passages, "key").where(F.contains("text", "passage")).select("query_id", "path").distinct()
+    docs = notes(spark, sf_dir)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - inner + 1), lambda i: F.array_join(F.slice("w", i, inner), " ")))
+    keys = docs.select("path", words.alias("w")).where(F.size("w") >= inner).select("path", F.explode(grams).alias("key"))
+    # Texts are joined to the few candidates, not carried along with every key.
+    found = keys.join(passages.select("query_id", "key"), "key").select("query_id", "path").distinct()
+    full = found.join(docs.select("path", "text"), "path").join(passages.select("query_id", "passage"), "query_id")
+    return full.where(F.contains("text", "passage")).select("query_id", "path").distinct()
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
