@@ -66,14 +66,15 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(rep, items, long, bands): sorted shingle hashes, a long sketch and band keys, as bytes."""
+    """(rep, items, long, bands): sorted shingle hashes, a long sketch and the lower halves
+    of the band keys, as bytes."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, AT_ONCE):
                 sets = list(shingle_sets(_texts(batch, start)))
                 long = (sketches(sets, LONG) & np.uint64(255)).astype(np.uint8)
-                keys = bands(sketches(sets, SKETCH), ROWS)
+                keys = bands(sketches(sets, SKETCH), ROWS).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(start, AT_ONCE), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in long], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary())],
                     ["rep", "items", "long", "bands"],
@@ -86,8 +87,9 @@ def _likely(percent: int) -> float:
     return percent / 100 - SLACK
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets overlap by ``percent`` or more of their union."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, estimated: bool = False) -> DataFrame:
+    """The pairs (a, b) whose full sets overlap by ``percent`` or more of their union.
+    ``estimated``: their long sketches were compared already."""
     least = _likely(percent)
 
     def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         y = sets.select(F.col("rep").alias("b"), F.col(column).alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
-    could = sides(pairs, "long").mapInArrow(likely, "a long, b long")
+    could = pairs if estimated else sides(pairs, "long").mapInArrow(likely, "a long, b long")
     return sides(could, "items").mapInArrow(confirm, "a long, b long")
 
 
@@ -124,7 +126,8 @@ def _across(percent: int):
         if len(names) < 2:
             return []
         long = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(-1, LONG)
-        keys = np.frombuffer(b"".join([r[5] for r in rows]), np.int64).reshape(len(rows), -1)
+        keys = np.frombuffer(b"".join([r[5] for r in rows]), np.uint32).reshape(len(rows), -1)
+        key = key.astype(np.uint32)
         out = []
         largest = counts.argmax()
         for i in np.flatnonzero(inverse != largest):  # pairs inside the largest component are never looked at
@@ -197,7 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     sketched = blocks.join(sets.select("rep", "long", "bands"), "rep").select("block", "key", "rep", "component", "half", "long", "bands")
     candidates = sketched.repartition("block").sortWithinPartitions("block").mapInArrow(_across(percent), "a long, b long")
-    links = links.union(cut(verified(candidates, sets, percent)))
+    links = links.union(cut(verified(candidates, sets, percent, estimated=True)))
 
     final = connected_components(links).withColumnRenamed("node", "rep")
     found = cut(classes.join(final, "rep", "left").select("digest", "n_docs", F.coalesce("component", "rep").alias("component_id")))
