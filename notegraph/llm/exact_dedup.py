@@ -45,12 +45,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     same = Window.partitionBy("prefix", "hash", "salt", "norm")
     runs = rows.repartitionByRange(ranges, "prefix", "hash", "salt").select(
         "doc_id",
+        "salt",
         F.row_number().over(same.orderBy(F.col("doc_id").asc_nulls_first())).alias("place"),
+        F.count("*").over(same).alias("n"),
         F.unhex(F.sha2("norm", 256)).alias("digest"),
     )
     runs = cut(runs)
-    groups = runs.groupBy("digest").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"))).alias("keep_id"), F.count("*").alias("group_size"))
-    return runs.join(groups, "digest").select(
+    # One row for each text and salt; their number for a text is that of the ranges at most.
+    text = Window.partitionBy("digest")
+    least = F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"))).over(text)
+    groups = runs.where("place = 1").select("digest", "salt", least.alias("keep_id"), F.sum("n").over(text).alias("group_size"))
+    return runs.join(groups, ["digest", "salt"]).select(
         "doc_id",
         "keep_id",
         "group_size",
