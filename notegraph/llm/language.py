@@ -11,6 +11,7 @@ rows.  What leaves the executors is that sample's feature rows, of fixed size.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Iterable, Iterator
@@ -129,10 +130,15 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Fit on at most ``sample`` labelled rows that are not held out."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    languages = sorted(r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 10).collect())
-    each = max(1, sample // max(1, len(languages)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang").where(F.col("lang").isin(languages)).withColumn("place", place).where(F.col("place") <= each)
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 10).collect()}
+    each = max(1, sample // max(1, len(counts)))
+    # Hashes below a share of the range leave a little more than `each` rows of a language
+    # to be numbered, however many it has.
+    hashed = F.xxhash64("doc_id")
+    share = functools.reduce(lambda rest, c: F.when(F.col("lang") == c, min(1.0, (each + 6 * each**0.5 + 20) / counts[c])).otherwise(rest), counts, F.lit(0.0))
+    few = labelled.select("doc_id", "lang").where(F.pmod(hashed, F.lit(1 << 30)) < share * (1 << 30))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
+    chosen = few.withColumn("place", place).where(F.col("place") <= each)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), "doc_id")  # at most `sample` identifiers
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
