@@ -7,6 +7,10 @@ white space or an underscore, and both its separators are the same.
 
 from __future__ import annotations
 
+import contextlib
+import datetime
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +65,14 @@ def note_date(path: Column, frontmatter: Column, config: EngineConfig = EngineCo
         day = find_date(stem(path), config)
         out = F.when(day.isNotNull(), F.struct(day.alias("date"), F.lit("filename").alias("source"))).otherwise(out)
     return out
+
+
+def parse_bound(text: str, config: EngineConfig = EngineConfig()) -> datetime.date:
+    """A date a caller gives as the bound of a filter, in the same forms."""
+    for pattern, day, month, year in FORMS:
+        for m in re.finditer(pattern, text.strip()):
+            y = int(m[year])
+            full = y if len(m[year]) == 4 else y + (2000 if y < config.year_pivot else 1900)
+            with contextlib.suppress(ValueError):
+                return datetime.date(full, int(m[month]), int(m[day]))
+    raise ValueError(f"{text!r} is no date; try 2026-01-31, 31-01-2026 or 31.01.26")

@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a word of a question, and a token of the index, is, and how many count.
 #: Letters and digits without underscore; an apostrophe may stand inside a word.
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 TOKEN = r"[\p{L}\p{N}]+"

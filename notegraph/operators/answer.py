@@ -17,6 +17,7 @@ RULES = (
     "If the sources hold no answer, say so in one sentence. Where they disagree, say so and give both. Keep the notes' own names, "
     "answer in the language of the question, and be brief."
 )
+# Tokens of a source's header, and the mark of an embedded note.
 HEADER_TOKENS = 8
 EMBED_MARK = r"\[embeds: ([^\]]+)\]"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEAD_BAND, LEAST_CHANGE = 0.01, 0.0001
@@ -42,6 +42,16 @@ def long_form(table: DataFrame) -> DataFrame:
     return table.unpivot("label", metrics, "metric", "value")
 
 
+def save(table: DataFrame, path: str) -> None:
+    """Keep a table of scores as JSON lines, for a later ``delta``."""
+    table.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """(label, metric, value) of kept scores."""
+    return long_form(spark.read.json(path))
+
+
 def delta(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """(label, metric, change) where both runs have a figure and it changed."""
     both = current.join(baseline.withColumnRenamed("value", "old"), ["label", "metric"])

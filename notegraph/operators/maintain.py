@@ -67,6 +67,11 @@ def dates_report(notes: DataFrame) -> DataFrame:
     return notes.groupBy("date_source").agg(F.count("*").alias("n"), F.count("date").alias("dated"))
 
 
+def latest_notes(notes: DataFrame, limit: int = 25) -> DataFrame:
+    """The ``limit`` dated notes with the latest dates, then by path."""
+    return notes.where("date IS NOT NULL").select("path", "date", "date_source").orderBy(F.desc("date"), "path").limit(limit)
+
+
 class Index:
     """A folder of Parquet tables, each snapshot in a folder of its own.
 
@@ -99,6 +104,31 @@ class Index:
             raise FileNotFoundError(f"no index at {self.path}")
         return self.spark.read.parquet(f"{self.path}/snapshot-{own['snapshot']}/{name}")
 
+    def stats(self) -> DataFrame:
+        """(name, n) of the tables there are."""
+        own = {name: self.table(name) for name in ("notes", "chunks", "links")}
+        vectors = self.table("vectors") if self.manifest()["model"] else own["notes"].limit(0)
+        return index_stats(own["notes"], own["chunks"], own["links"], vectors)
+
+    def links_report(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Edge counts, the most linked notes and the links without a note."""
+        from . import graph
+
+        edges = self.table("links")
+        return graph.link_stats(edges), graph.most_linked(edges), graph.unwritten(edges)
+
+    def dates_report(self) -> DataFrame:
+        return dates_report(self.table("notes"))
+
+    def show(self, path: str) -> DataFrame:
+        """The chunks of one note in order."""
+        return self.table("chunks").where(F.col("path") == path).orderBy("ord")
+
+    def searchable(self) -> DataFrame:
+        """Chunks as ``retrieval.Searcher`` takes them: numbered, with their note's date."""
+        dated = self.table("notes").select("path", "date")
+        return self.table("chunks").join(dated, "path").select(F.xxhash64("path", "ord").alias("chunk_id"), "path", "ord", "date", "breadcrumb", F.col("meta_text").alias("meta"), "body", "text_hash", "embed_text")
+
     def write(self, tables: dict[str, DataFrame], config: str = "", model: str = "") -> None:
         """Write ``tables`` as the next snapshot."""
         last = self.manifest()

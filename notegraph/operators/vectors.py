@@ -6,6 +6,8 @@ product inside a task, of which only the best n of each question leave it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,28 @@ def normalised(vec: Column) -> Column:
     return F.when(norm > 0, F.transform(vec, lambda x: x / norm)).otherwise(vec)
 
 
+def embed_texts(pending: DataFrame, model: str, provider: Callable[[list[str]], list[list[float]]], batch: int = 16) -> DataFrame:
+    """(text_hash, model, dim, vec) of ``pending`` (text_hash, embed_text).
+
+    ``provider`` maps up to ``batch`` texts to as many vectors of one dimension; they are
+    brought to unit length.  It runs inside tasks, so it must be picklable.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for start in range(0, rows.num_rows, batch):
+                part = rows.slice(start, batch)
+                got = np.asarray(provider(part.column("embed_text").to_pylist()), np.float32)
+                if got.ndim != 2 or len(got) != part.num_rows:
+                    raise ValueError(f"{part.num_rows} texts gave vectors of shape {got.shape}")
+                norm = np.linalg.norm(got, axis=1, keepdims=True)
+                got = got / np.where(norm > 0, norm, 1)
+                columns = [part.column("text_hash"), pa.array([model] * len(got)), pa.array([got.shape[1]] * len(got), pa.int32()), pa.array(list(got), pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["text_hash", "model", "dim", "vec"])
+
+    return pending.select("text_hash", "embed_text").mapInArrow(run, "text_hash string, model string, dim int, vec array<float>")
+
+
 def check_dimensions(vectors: DataFrame) -> int:
     """The one dimension of all vectors; an error if models were mixed."""
     low, high = vectors.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()

@@ -52,6 +52,10 @@ def dates_report(spark, sf_dir):
     return maintain.dates_report(views.notes(spark, sf_dir))
 
 
+def latest_notes(spark, sf_dir):
+    return maintain.latest_notes(views.notes(spark, sf_dir))
+
+
 # ---- links
 
 
@@ -342,7 +346,7 @@ def expected_notes(spark, sf_dir):
 
 
 _ALL = (
-    find_date_filename, find_date_rejects, note_date_precedence, dates_report, resolve_links, backlinks, outlinks, link_stats, most_linked, unwritten_concepts, change_detection, pending_vectors, put_vectors,
+    find_date_filename, find_date_rejects, note_date_precedence, dates_report, latest_notes, resolve_links, backlinks, outlinks, link_stats, most_linked, unwritten_concepts, change_detection, pending_vectors, put_vectors,
     cascade_delete, upsert_snapshot, index_stats, chunk_size_stats, conflict_names, skip_report, newline_normalise, content_hash, note_metadata, section_split, fence_lines, chunk_notes, paragraphs, pack_units,
     estimate_tokens, context_budget, pack_sources, pack_sources_transcluded, excerpts, disambiguate, prompt_text, check_citations, think_filter, sse_decode, first_ranks, recall_and_mrr, verdict, baseline_delta,
     answer_tally, bad_expected_paths, expected_notes,
@@ -389,6 +393,7 @@ def oracle_sql():
         "note_date_precedence": """SELECT doc_id, CASE WHEN doc_id % 3 < 2 OR doc_id % 4 = 0 THEN DATE '2020-01-01' + (doc_id % 2000)::INT END AS date,
             CASE WHEN doc_id % 3 = 0 THEN 'filename' WHEN doc_id % 3 = 1 THEN 'frontmatter:date' WHEN doc_id % 4 = 0 THEN 'frontmatter:created' ELSE '' END AS source FROM documents""",
         "dates_report": views.with_views("notes") + " SELECT date_source, count(*) AS n, count(date) AS dated FROM notes GROUP BY 1",
+        "latest_notes": views.with_views("notes") + " SELECT path, date, date_source FROM notes WHERE date IS NOT NULL ORDER BY date DESC, path LIMIT 25",
         "resolve_links": links + " SELECT src, dst, raw, kind FROM resolved",
         "backlinks": links + " SELECT DISTINCT dst AS path, src FROM resolved WHERE dst IS NOT NULL",
         "outlinks": links + " SELECT DISTINCT src AS path, dst FROM resolved WHERE dst IS NOT NULL",

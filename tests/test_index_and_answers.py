@@ -45,6 +45,37 @@ def test_build_is_incremental_and_idempotent(spark, tmp_path):
     assert {r.path: r.body for r in index.table("chunks").collect()} == {"2024-01-02 One.md": "see Two", "Two.md": "changed", "Four.md": "Second One"}
 
 
+def test_index_reports_search_and_vectors(spark, tmp_path):
+    from notegraph.config import SearchOptions
+    from notegraph.operators import retrieval, vectors
+
+    root = tmp_path / "vault"
+    write(root, {"2024-01-02 One.md": "alpha [[Two]] [[Nowhere]]", "Two.md": "beta gamma"})
+    index = maintain.Index(spark, str(tmp_path / "index"))
+    maintain.build(index, vault.notes(spark, str(root)))
+    assert {r.name: r.n for r in index.stats().collect()} == {"notes": 2, "chunks": 2, "links": 2, "vectors": 0}
+    counts, most, missing = index.links_report()
+    assert tuple(counts.first()) == (2, 1, 1) and most.first().dst == "Two.md" and missing.first().raw == "Nowhere"
+    assert {r.date_source: r.n for r in index.dates_report().collect()} == {"filename": 1, "": 1}
+    assert [r.body for r in index.show("Two.md").collect()] == ["beta gamma"]
+    chunks = index.searchable()
+    pending = maintain.pending_vectors(chunks, spark.createDataFrame([], "text_hash string, model string"), "stub")
+    made = vectors.embed_texts(pending, "stub", lambda texts: [[float("alpha" in t), float("beta" in t) * 2, 0.0] for t in texts], 1)
+    own = chunks.join(made, "text_hash").select("chunk_id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    asked = spark.createDataFrame([(0, "beta")], "query_id long, q string")
+    hits = retrieval.Searcher(chunks, own, index.table("links")).search(asked, SearchOptions(min_score=0.5), spark.createDataFrame([(0, [0.0, 1.0, 0.0])], "query_id long, vec array<double>"))
+    assert [(r.path, r.bm25_rank, r.vector_rank) for r in hits.collect()] == [("Two.md", 1, 1)]
+    with pytest.raises(Exception):
+        vectors.embed_texts(pending, "stub", lambda texts: [[1.0]] * 5).collect()
+
+
+def test_kept_scores(spark, tmp_path):
+    now = spark.createDataFrame([("m", 3, 0.5, 0.25)], "label string, n long, mrr double, r_at_1 double")
+    evaluate.save(now, str(tmp_path / "scores"))
+    later = evaluate.long_form(now.withColumn("mrr", F.lit(0.75)))
+    assert [tuple(r) for r in evaluate.delta(later, evaluate.load(spark, str(tmp_path / "scores"))).collect()] == [("m", "mrr", 0.25)]
+
+
 def test_another_schema_version_is_an_error(spark, tmp_path):
     (tmp_path / "manifest").mkdir()
     (tmp_path / "manifest" / "m.json").write_text(json.dumps({"snapshot": 0, "schema_version": 99, "config": "", "model": ""}))

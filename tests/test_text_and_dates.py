@@ -17,6 +17,12 @@ def test_find_date(spark, written, day):
     assert one(spark, dates.find_date(F.col("t")).cast("string"), written) == [day]
 
 
+def test_parse_bound():
+    assert str(dates.parse_bound(" 31.01.26 ")) == "2026-01-31" and str(dates.parse_bound("2024-02-29")) == "2024-02-29"
+    with pytest.raises(ValueError):
+        dates.parse_bound("29-02-2025")
+
+
 def test_query_terms(spark):
     got = one(spark, text.query_terms(F.col("t")), "What about the API?", "and OR and", "O'Brien’s snake_case", "?!", "Ünïcode x2")
     assert got == [["what", "about", "the", "api"], ["and", "or"], ["o'brien’s", "snake", "case"], [], ["ünïcode", "x2"]]
