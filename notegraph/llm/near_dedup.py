@@ -8,7 +8,7 @@
 3. Where a bucket still holds several components, every pair across them is compared on
    long sketches, and the pairs that could be links are verified on the full sets.
    Pairs inside a component are skipped, for they could add nothing.  Large buckets are
-   compared in blocks of BLOCK members, so no task holds one whole.
+   compared in blocks (``_blocks``), so no task holds one whole.
 4. Components of all links, joined back to documents.
 
 With 32 bands of 4 coordinates a pair at the threshold of 0.85 shares no band key
@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -160,6 +160,40 @@ def _across(percent: int):
     return across
 
 
+def _blocks(placed: DataFrame) -> DataFrame:
+    """``placed`` (key, rep, component) of the buckets with several components, dealt into
+    blocks: (block, key, rep, component, half).
+
+    A bucket of up to BLOCK members is one block.  In a larger one the members outside its
+    largest component are the others; every chunk of them meets every chunk of the largest
+    component and every chunk of others.  Copies so grow with members times others, not
+    with the square of the members.  Rows of one half (from 0 on) are not compared.
+    """
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("key", F.col("largest.component").alias("main"), "members", (F.col("members") - F.col("largest.n")).alias("others"))
+    chunks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = placed.drop("members").join(mixed, "key").withColumns({"n_main": chunks(F.col("members") - F.col("others")), "n_others": chunks(F.col("others"))})
+    is_main = F.col("component") == F.col("main")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.when(is_main, F.col("n_main")).otherwise(F.col("n_others"))).cast("int"))
+    own = F.col("chunk")
+
+    def block(kind: int, i: Column, j: Column, half: Column) -> Column:
+        return F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("block"), half.cast("int").alias("half"))
+
+    def each(n: str) -> Column:
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    across = F.transform(each("n_main"), lambda c: block(1, c, own, F.lit(1)))
+    among = F.transform(each("n_others"), lambda j: block(0, F.least(own, j), F.greatest(own, j), F.when(own == j, -1).otherwise(own)))
+    dealt = (
+        F.when(F.col("members") <= BLOCK, F.array(block(2, F.lit(0), F.lit(0), F.lit(-1))))
+        .when(is_main, F.transform(each("n_others"), lambda i: block(1, own, i, F.lit(0))))
+        .otherwise(F.concat(across, among))
+    )
+    return rows.select("key", "rep", "component", F.inline(dealt))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -187,17 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = connected_components(links).withColumnRenamed("node", "rep")
 
     placed = members.join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    dealt = placed.join(mixed, "key").withColumns({"chunks": F.ceil(F.col("members") / BLOCK).cast("int"), "chunk": F.lit(0)})
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    blocks = dealt.select("rep", "component", "key", "chunk", other).select(
-        "key",
-        "rep",
-        "component",
-        F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"),
-        F.when(F.col("chunk") == F.col("other"), -1).otherwise(F.col("chunk")).alias("half"),
-    )
+    blocks = _blocks(placed)
     sketched = blocks.join(sets.select("rep", "long", "bands"), "rep").select("block", "key", "rep", "component", "half", "long", "bands")
     candidates = sketched.repartition("block").sortWithinPartitions("block").mapInArrow(_across(percent), "a long, b long")
     links = links.union(cut(verified(candidates, sets, percent, estimated=True)))
