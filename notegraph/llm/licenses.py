@@ -21,13 +21,15 @@ BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 #: Strings of which one stands in every text that a rule or a base phrase can match.
 GATES = (
     "licen spdx cc commons domain gpl gnu affero lesser apache bsd mozilla eclipse european development artistic boost classpath documentation "
-    "database odbl font hereby redistribution permission reserved confidential eula warranty"
+    "database odbl font hereby redistribution permission reserved confidential eula warranty attribution"
 ).split()
-#: label, keyword, pattern of the name.  ` ?v?(?:ersion )?` style parts allow for how versions are written.
+#: label, keyword (a part of whatever the pattern matches), pattern of the name.  ` ?v?(?:ersion )?` style parts allow for how versions are written.
 _V = r"(?: license)?(?: v| version| v version)?"
 LICENCES = [
-    ("agpl-3.0", "affero", rf"gnu affero general public{_V} ?3(?: 0)?|agpl(?: v| version)? ?v?3(?: 0)?"),
+    ("agpl-3.0", "affero", rf"gnu affero general public{_V} ?3(?: 0)?"),
+    ("agpl-3.0", "agpl", r"agpl(?: v| version)? ?v?3(?: 0)?"),
     ("agpl", "affero", r"gnu affero general public license|affero gpl"),
+    ("agpl", "agpl", r"agpl"),
     ("lgpl-3.0", "lesser", rf"gnu lesser general public{_V} ?3(?: 0)?"),
     ("lgpl-2.1", "lesser", rf"gnu lesser general public{_V} ?2 1"),
     ("lgpl-2.0", "library general", rf"gnu library general public{_V} ?2(?: 0)?"),
@@ -40,7 +42,8 @@ LICENCES = [
     ("gfdl", "free documentation", rf"gnu free documentation{_V}(?: ?1 \d)?"),
     ("apache-2.0", "apache", rf"apache{_V} ?2(?: 0)?"),
     ("apache-1.1", "apache", rf"apache(?: software)?{_V} ?1 1"),
-    ("mit", "mit", r"mit(?: x11)? license|mit licensed|expat license"),
+    ("mit", "mit", r"mit(?: x11)? license|mit licensed"),
+    ("mit", "expat", r"expat license"),
     ("mit-0", "mit no attribution", r"mit no attribution(?: license)?"),
     ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd(?: license)?|bsd 2 clause(?: license)?"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd(?: license)?|bsd 3 clause(?: license)?"),
@@ -75,7 +78,8 @@ LICENCES = [
     ("unlicense", "unlicen", r"unlicense"),
     ("wtfpl", "do what the", r"do what the f\w+ you want to public license"),
     ("postgresql", "postgresql", r"postgresql license"),
-    ("odbl-1.0", "open database", rf"open database{_V}(?: ?1 0)?|odbl"),
+    ("odbl-1.0", "open database", rf"open database{_V}(?: ?1 0)?"),
+    ("odbl-1.0", "odbl", r"odbl(?: v| version)?(?: ?v?1 0)?"),
     ("ofl-1.1", "open font", rf"sil open font{_V}(?: ?1 1)?"),
     ("public-domain", "public domain", r"public domain"),
 ]
@@ -93,10 +97,11 @@ SENTENCES = [
     ("mit", "permission is hereby granted", 3, 0.9, r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("bsd", "redistribution and use", 3, 0.9, r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("isc", "permission to use copy modify", 3, 0.9, r"permission to use copy modify and or distribute this software for any purpose"),
-    ("gpl", "free software foundation", 3, 0.8, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "you can redistribute it", 3, 0.8, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("proprietary", "all rights reserved", 1, 0.4, r"all rights reserved"),
     ("proprietary", "proprietary and confidential", 2, 0.8, r"proprietary and confidential"),
-    ("commercial", "end user license", 2, 0.7, r"end user license agreement|eula"),
+    ("commercial", "end user license", 2, 0.7, r"end user license agreement"),
+    ("commercial", "eula", 2, 0.7, r"eula"),
     ("no-warranty", "without warranty", 1, 0.3, r"without warranty of any kind"),
 ]
 

@@ -259,3 +259,47 @@ def test_license_scan(spark, odd, empty):
         assert got == collections.Counter((d, *plain_scan(t)) for d, t, *_ in own)
     assert licenses.scan(empty).collect() == []
     assert len(licenses.rules()) > 200
+
+
+def written_out(pattern):
+    """Strings that a pattern matches, with each alternative and each optional part in and out."""
+    from re import _constants, _parser
+
+    def each(parsed):
+        out = [""]
+        for op, value in parsed:
+            if op == _constants.LITERAL:
+                more = [chr(value)]
+            elif op == _constants.IN:
+                more = ["1"] if value == [(_constants.CATEGORY, _constants.CATEGORY_DIGIT)] else ["w"]
+            elif op == _constants.MAX_REPEAT:
+                more = [""] * (value[0] == 0) + each(value[2])
+            elif op == _constants.BRANCH:
+                more = [x for branch in value[1] for x in each(branch)]
+            else:
+                assert op == _constants.SUBPATTERN
+                more = each(value[-1])
+            out = [x + y for x in out for y in more]
+        return out
+
+    return each(_parser.parse(pattern))
+
+
+def test_license_keywords_and_gates_are_part_of_every_match():
+    for _, key, *_, pattern in licenses.LICENCES + licenses.SENTENCES:
+        for text in written_out(pattern):
+            assert re.fullmatch(pattern, text) and key in text and any(g in text for g in licenses.GATES), (key, text)
+
+
+def test_license_scan_equals_all_rules_without_keywords(spark, monkeypatch):
+    names = ["AGPL-3.0", "AGPLv3", "AGPL", "Affero GPL", "ODbL", "ODbL v1.0", "Expat License", "EULA", "MIT No Attribution", "you can redistribute it and/or modify it under the terms of the GNU General Public License"]
+    texts = [f"x {before}{name}{after} y" for name in names for before in ("", "SPDX-License-Identifier: ", "licensed under the ", "released under ", "see the terms of the ") for after in ("", " or later")]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = sorted(map(tuple, licenses.scan(spark.createDataFrame(rows, DOCS)).collect()))
+    every = [(label, "", *rest) for label, _, *rest in licenses.rules()]
+    monkeypatch.setattr(licenses, "rules", lambda: every)
+    assert got == sorted((i, *plain_scan(t)) for i, t, *_ in rows)
+    labels = {t: r[6] for (_, t, *_), r in zip(rows, got)}
+    assert all(labels.values())
+    said = {"SPDX-License-Identifier: AGPL-3.0": "agpl-3.0", "licensed under the AGPLv3": "agpl-3.0", "AGPL": "agpl", "ODbL": "odbl-1.0", "Expat License": "mit", "EULA": "commercial", "MIT No Attribution": "mit-0"}
+    assert {k: labels[f"x {k} y"] for k in said} == said
