@@ -45,5 +45,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def keyed(doc_id: Column, content: Column) -> Column:
+    """A key of a row, never null: equal for repeated rows, null identifiers being one value."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), content)
+
+
+def one_row_each(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each ``key`` that is in ``kept`` (key)."""
+    rows = docs.withColumn("_row_key", key).dropDuplicates(["_row_key"])
+    return rows.join(kept.select(F.col("key").alias("_row_key")), "_row_key", "left_semi").drop("_row_key")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import cut, keyed, one_row_each, shuffle_partitions
 
 PREFIX_CHARS = 64
 
@@ -65,9 +65,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; identifiers must be unique."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, all columns: exactly one of each group of equal texts.
+
+    It has the group's smallest doc_id, or a null one if the group has any; of several
+    rows with that doc_id any one stays.  Other texts of the same doc_id, and of other
+    null doc_ids, are groups of their own.  An empty table gives an empty table.
+    """
+    kept = exact_dedup(docs).where("kept").select(keyed(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    return one_row_each(docs, keyed(F.col("doc_id"), F.sha2(normalised(F.col("text")), 256)), kept)
 
 
 ORACLE = r"""

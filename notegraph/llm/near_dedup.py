@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keyed, one_row_each
 from .components import connected_components
 from .shingles import bands, common, shingle_sets, sketches
 
@@ -44,8 +44,13 @@ def _texts(batch: pa.RecordBatch, start: int) -> list[bytes]:
     return [x or b"" for x in batch.column("text").slice(start, AT_ONCE).cast(pa.binary()).to_pylist()]
 
 
+def row_key() -> Column:
+    """Equal for rows of equal doc_id and text."""
+    return F.unhex(F.md5(keyed(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands) of whole texts."""
+    """(doc_id, row_key, n_shingles, digest, bands) of whole texts."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,19 +60,20 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, AT_ONCE),
+                        batch.column("row_key").slice(start, AT_ONCE),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                    ["doc_id", "row_key", "n_shingles", "digest", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(sign, "doc_id long, row_key binary, n_shingles long, digest binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(rep, items, long, bands): sorted shingle hashes, a long sketch and the lower halves
-    of the band keys, as bytes."""
+    """(rep, items, long, bands) of ``docs`` (rep, text): sorted shingle hashes, a long sketch
+    and the lower halves of the band keys, as bytes."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,11 +82,11 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 long = (sketches(sets, LONG) & np.uint64(255)).astype(np.uint8)
                 keys = bands(sketches(sets, SKETCH), ROWS).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, AT_ONCE), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in long], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary())],
+                    [batch.column("rep").slice(start, AT_ONCE), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in long], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary())],
                     ["rep", "items", "long", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(gather, "rep long, items binary, long binary, bands binary")
+    return docs.select("rep", "text").mapInArrow(gather, "rep long, items binary, long binary, bands binary")
 
 
 def _likely(percent: int) -> float:
@@ -194,45 +200,57 @@ def _blocks(placed: DataFrame) -> DataFrame:
     return rows.select("key", "rep", "component", F.inline(dealt))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    Documents are linked if their shingle sets overlap by ``percent`` of the union or
-    more; component_id is the smallest doc_id reachable, kept is doc_id = component_id.
-    Texts that are null, empty or white space have no shingles and are linked with
-    nothing.  Fewer than five words are one shingle.  A null doc_id is linked with equal
-    sets alone.  Repeated rows give repeated rows, an empty table an empty one; other
-    columns are ignored.
-    """
+def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of ``docs``, and (digest, n_docs, first, root) of each class of equal
+    sets: its first row and that of its component, as (no_id, doc_id, row_key)."""
     signed = cut(signatures(docs))
-    classes = cut(
-        signed.where("n_shingles > 0")
-        .groupBy("digest")
-        .agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "bands"))).alias("first"), F.count("*").alias("n_docs"))
-        .select("digest", "n_docs", F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands"))
-    )
-    keys = classes.where("rep IS NOT NULL").select("rep", F.explode("bands").alias("key"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "bands")
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(row).alias("least"), F.count("*").alias("n_docs"))
+    first = F.struct("least.no_id", "least.doc_id", "least.row_key").alias("first")
+    classes = cut(classes.select("digest", "n_docs", first, F.monotonically_increasing_id().alias("rep"), F.col("least.bands").alias("bands")))
+    keys = classes.select("rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
     members = cut(keys.join(buckets, "key"))
-    sets = cut(full_sets(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])))
+    # One text for each class: that of its first row, of whose repeats any one serves.
+    wanted = classes.join(members.select("rep").distinct(), "rep").select(F.col("first.row_key").alias("row_key"), "rep")
+    texts = docs.select(row_key().alias("row_key"), "text").join(wanted, "row_key").dropDuplicates(["row_key"])
+    sets = cut(full_sets(texts))
 
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(verified(star, sets, percent))
-    first = connected_components(links).withColumnRenamed("node", "rep")
+    component = connected_components(links).withColumnRenamed("node", "rep")
 
-    placed = members.join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = members.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     blocks = _blocks(placed)
     sketched = blocks.join(sets.select("rep", "long", "bands"), "rep").select("block", "key", "rep", "component", "half", "long", "bands")
     candidates = sketched.repartition("block").sortWithinPartitions("block").mapInArrow(_across(percent), "a long, b long")
     links = links.union(cut(verified(candidates, sets, percent, estimated=True)))
 
     final = connected_components(links).withColumnRenamed("node", "rep")
-    found = cut(classes.join(final, "rep", "left").select("digest", "n_docs", F.coalesce("component", "rep").alias("component_id")))
+    linked = final.join(classes.select("rep", "first"), "rep")
+    roots = linked.groupBy("component").agg(F.min("first").alias("root"))
+    named = linked.select("rep", "component").join(roots, "component").select("rep", "root")
+    return signed, cut(classes.join(named, "rep", "left").select("digest", "n_docs", "first", F.coalesce("root", "first").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Documents are linked if their shingle sets overlap by ``percent`` of the union or
+    more; component_id is the smallest doc_id reachable, kept is doc_id = component_id.
+    Texts that are null, empty or white space have no shingles and are linked with
+    nothing.  Fewer than five words are one shingle.  Different texts of one doc_id are
+    documents of their own, and so are those of null doc_ids; component_id is null where
+    no other doc_id is reachable, and kept then holds.  Repeated rows give repeated rows,
+    an empty table an empty one; other columns are ignored.
+    """
+    signed, found = grouped(docs, percent)
+    found = found.select("digest", "n_docs", F.col("root.doc_id").alias("component_id"))
     # Hot classes are few, by their share; the others are joined by digest.
     total = max(1, signed.count())
     hot = F.broadcast(found.where(F.col("n_docs") * HOT_SHARE >= total).select("digest", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")))
     rest = found.where(F.col("n_docs") * HOT_SHARE < total).select(F.col("digest").alias("key"), "component_id")
-    out = signed.drop("bands").join(hot, "digest", "left")
+    out = signed.drop("bands", "row_key").join(hot, "digest", "left")
     alone = (F.col("n_shingles") == 0) | F.col("is_hot").isNotNull()
     out = out.withColumn("key", F.when(alone, F.concat(F.col("digest"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string").cast("binary"))).otherwise(F.col("digest"))).join(rest, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("hot_id", "component_id"))
@@ -240,6 +258,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; identifiers must be unique."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, all columns: exactly one of each component.
+
+    It has the component's smallest doc_id, a null one only if there is no other; of
+    several texts of that doc_id, and of repeated rows, any one stays.  Texts without
+    shingles are linked with nothing: one row of each such doc_id and text stays.  An
+    empty table gives an empty table.
+    """
+    signed, found = grouped(docs, percent)
+    kept = found.where(F.col("root.row_key") == F.col("first.row_key")).select(F.col("first.row_key").alias("key"))
+    alone = signed.where("n_shingles = 0").select(F.col("row_key").alias("key")).distinct()
+    return one_row_each(docs, row_key(), kept.union(alone))

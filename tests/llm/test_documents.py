@@ -150,6 +150,30 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
+def test_stages_keep_one_row_of_each_group(spark, odd, empty):
+    base = [f"w{i}" for i in range(100)]
+    a, b = " ".join(base), " ".join([*base[:99], "other"])
+    c, d = a.upper().replace("W", "v"), " ".join(f"v{i}" for i in range(99)) + " other"
+    more = [(20, a), (20, a), (20, d), (21, c), (None, b), (None, "none of these words"), (None, "none  of these words"), (None, "none of these words at all"), (30, "one\ttwo"), (30, "one two"), (4, "")]
+    rows = ODD + [(i, t, "en", str(n), 0) for n, (i, t) in enumerate(more)]
+    for own, df in ((ODD, odd), (rows, spark.createDataFrame(rows, DOCS))):
+        norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t, *_ in own]
+        want = {t: min((i for i, u in norm if u == t), key=lambda i: (i is not None, i or 0)) for _, t in norm}
+        kept = exact_dedup.kept_documents(df)
+        assert kept.columns == df.columns
+        got = [(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r.doc_id) for r in kept.collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want.items()))
+        # Each row an identifier of its own, in the order of the doc_ids.
+        order = sorted(own, key=lambda r: (r[0] is None, r[0] or 0))
+        plain = plain_components([(i, r[1]) for i, r in enumerate(order)])
+        want = collections.Counter(order[i][0] for i, n, _, k in plain if k and n) + collections.Counter(i for i, _ in {(order[i][0], order[i][1] or "") for i, n, *_ in plain if not n})
+        kept = near_dedup.kept_documents(df)
+        assert kept.columns == df.columns and collections.Counter(r.doc_id for r in kept.collect()) == want
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).where("n_shingles > 90 AND n_shingles < 100").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(20, 96, 20, True)] * 2 + [(20, 96, 20, True), (21, 96, 20, False), (None, 96, 20, False)], key=str)
+    assert exact_dedup.kept_documents(empty).collect() == [] and near_dedup.kept_documents(empty).collect() == []
+
+
 def test_sketches_estimate_and_fill():
     from notegraph.llm.shingles import sketches
 
