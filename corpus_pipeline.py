@@ -23,8 +23,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
-    return near_dedup.kept_documents(docs)
+    """Of each group of near copies, of a similarity of 0.8 or more, the smallest doc_id stays."""
+    return near_dedup.kept_documents(docs, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

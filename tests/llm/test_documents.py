@@ -150,6 +150,17 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
+def test_near_copy_stage_takes_a_similarity_of_0_8(spark):
+    from corpus_pipeline import drop_near_copies
+
+    base = [f"w{i}" for i in range(104)]  # 100 shingles; of two texts 90 are common, of 110
+    texts = [base, [*base[:94], *(f"x{i}" for i in range(10))], [*(f"y{i}" for i in range(12)), *base[12:]]]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)], DOCS)
+    assert plain_components([(i, " ".join(w)) for i, w in enumerate(texts)], 80) == [(0, 100, 0, True), (1, 100, 0, False), (2, 100, 2, True)]
+    assert sorted(r.doc_id for r in drop_near_copies(spark, docs, "").collect()) == [0, 2]
+    assert near_dedup.near_duplicates(docs).where("kept").count() == 3
+
+
 def test_stages_keep_one_row_of_each_group(spark, odd, empty):
     base = [f"w{i}" for i in range(100)]
     a, b = " ".join(base), " ".join([*base[:99], "other"])
