@@ -161,6 +161,20 @@ def test_near_copy_stage_takes_a_similarity_of_0_8(spark):
     assert near_dedup.near_duplicates(docs).where("kept").count() == 3
 
 
+def test_pairs_are_found_by_whole_band_keys_and_below_the_estimate():
+    import pyarrow as pa
+
+    long = np.zeros((2, near_dedup.LONG), np.uint8)
+    long[1, : near_dedup.LONG // 4] = 1  # agrees in 0.75 of the coordinates
+    key = -5
+    keys = np.full((2, 32), 7, np.uint64)
+    keys[1] += np.uint64(1 << 32)  # the same lower halves in every band
+    keys[:, 9] = np.array([key]).view(np.uint64)
+    rows = {"block": [1, 1], "key": [key] * 2, "rep": [3, 4], "component": [3, 4], "half": [-1, -1], "long": [r.tobytes() for r in long], "bands": [r.tobytes() for r in keys]}
+    out = list(near_dedup._across(85)(iter([pa.RecordBatch.from_pydict(rows)])))
+    assert [b.to_pylist() for b in out] == [[{"a": 3, "b": 4}]]
+
+
 def test_stages_keep_one_row_of_each_group(spark, odd, empty):
     base = [f"w{i}" for i in range(100)]
     a, b = " ".join(base), " ".join([*base[:99], "other"])
