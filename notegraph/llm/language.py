@@ -173,14 +173,22 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
 
 
 def documents_with_language(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language is found, all columns, in one pass."""
+    """The rows of ``docs`` whose language is found, all columns, in one pass.
+
+    If there was nothing to learn from, no language can be told: then only null texts and
+    texts without a letter go.  An empty table gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                names, _ = shared.value.predict(part.column("text").to_pylist())
-                yield part.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+                texts = part.column("text").to_pylist()
+                if shared.value.families.classes:
+                    keep = [n != UNKNOWN for n in shared.value.predict(texts)[0]]
+                else:
+                    keep = [bool(t and _LETTER.search(t)) for t in texts]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

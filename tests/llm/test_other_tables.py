@@ -141,6 +141,14 @@ def test_language_hierarchy_on_held_out_rows(spark, odd, empty):
     assert {r.lang_pred for r in language.identify(docs.where("doc_id < 3").withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_nothing_to_learn_rejects_texts_without_a_letter_alone(spark, odd, empty):
+    held = language.held_out(F.col("doc_id"))
+    for docs in (odd.withColumn("lang", F.lit(None).cast("string")), odd.withColumn("lang", F.when(held, F.lit("en")))):
+        got = sorted(str((r.doc_id, r.text)) for r in language.documents_with_language(docs).collect())
+        assert got == sorted(str((i, t)) for i, t, *_ in ODD if t and any(c.isalpha() for c in t))
+    assert language.documents_with_language(empty).collect() == []
+
+
 # ---- pipeline
 
 
