@@ -15,8 +15,11 @@ Two parts.  ``tokenize_pieces`` encodes whole texts and cuts the long ones.
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,65 +33,73 @@ from .common import cut
 CAPACITY = 2048
 #: Rows that one cell of a length should hold, and the least number of cells.
 CELL_ROWS, LEAST_CELLS = 1_000_000, 64
-#: Word pieces that a Python worker remembers; the store is emptied when full.
-CACHE_ENTRIES = 400_000
+#: Chunks that a Python worker remembers, and their longest; the store is emptied when full.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+#: Texts that are encoded together.
+AT_ONCE = 256
 
 
 class ByteTokenizer:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
-
-    A space that follows a character other than white space, or that stands
-    before one, always starts a new pre-token, so texts are cut at spaces and the
-    ids of each chunk are remembered.  Where white space stands on both sides of
-    a space that cut could split a run, and the text is encoded in one go.
-    The string of a special token is that token, as in the tokenizers library.
+    """Token ids of whole texts, by the tokenizers library, as little-endian unsigned
+    32-bit bytes.
+
+    A space with anything but white space on one side starts a new pre-token, so texts are
+    cut there, and the ids of each distinct chunk are made once.  Unknown chunks of a batch
+    go to the library as one text; its ids are dealt back by the bytes each one stands for.
+    A run of white space stays in one chunk, however long.  The string of a special token
+    is that token; it holds no space.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]):
-        import base64
-
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
-        self._marks = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self._library = library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        added = library.get_added_tokens_decoder()
+        # A character of a byte-level token stands for one byte.
+        sizes = {i: len(label) for label, i in library.get_vocab(with_added_tokens=False).items()} | {i: len(t.content.encode()) for i, t in added.items()}
+        self._bytes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
         self._known: dict[str, bytes] = {}
-        self._run = re.compile(r"\s (?:\s|$)")
-
-    def _raw(self, text: str) -> bytes:
-        return np.array(self._encoding.encode_ordinary(text), "<u4").tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        if self._run.search(text):
-            return self._raw(text)
-        first, *rest = text.split(" ")
+        self._inner, self._cut = re.compile(r"(?<!\S) (?!\S)"), re.compile(r"(?<=\S) | (?=\S)")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that follow a space, which starts their first token."""
+        # One that starts with white space could form a run with the end of another.
+        joined = [c for c in chunks if c[:1].strip()]
+        out = {c: self._ids(" " + c).tobytes() for c in chunks if not c[:1].strip()}
+        if joined:
+            ids = self._ids(" " + " ".join(joined))
+            ends = np.cumsum([len(c.encode()) + 1 for c in joined])
+            at = np.searchsorted(np.cumsum(self._bytes[ids]), ends, side="left") + 1
+            data, start = ids.tobytes(), 0
+            for chunk, end in zip(joined, (4 * at).tolist()):
+                out[chunk] = data[start:end]
+                start = end
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
         known = self._known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        out = [self._raw(first)]
-        for chunk in rest:
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._raw(" " + chunk)
-                if len(chunk) <= 64:
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        # Lone surrogates can't be encoded; the tokenizers library never sees them either.
-        if self._marks is None or not self._marks.search(text):
-            return self._plain(text) if text else b""
-        return b"".join(self._special[x] if x in self._special else self._plain(x) for x in self._marks.split(text) if x)
-
-
-def byte_tokenizer(name: str = "byte_bpe_50k.tiktoken") -> ByteTokenizer:
-    """The public byte-level tokenizer, same ids as its ``.json`` form."""
+        parts = [self._cut.split(t) if self._inner.search(t) else t.split(" ") for t in texts]
+        own = self._learn(list({c for chunks in parts for c in chunks[1:]}.difference(known)))
+        kept = {c: ids for c, ids in own.items() if len(c) <= CACHE_CHARS}
+        known.update(kept)
+        found = ChainMap(known, own).__getitem__ if len(kept) < len(own) else known.__getitem__
+        return [self._ids(first).tobytes() + b"".join(map(found, rest)) for first, *rest in parts]
+
+
+@functools.lru_cache(1)
+def byte_tokenizer(name: str = "byte_bpe_50k.json") -> ByteTokenizer:
+    """Kept from task to task of a Python worker."""
     import public_tokenizers as public
 
-    return ByteTokenizer(public.path(name), public.PATTERN, {"<|endoftext|>": 50256})
+    return ByteTokenizer(public.path(name))
 
 
 def cut_points(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -113,13 +124,16 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0,
         for batch in batches:
             out: list[tuple] = []
             ids_out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = tokens.encode(text.as_py() or "") + end
-                for piece, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
-                    own = ids[4 * start : 4 * (start + length)]
-                    out.append((doc_id, piece, start, length, zlib.crc32(own)))
-                    if with_ids:
-                        ids_out.append(np.frombuffer(own, "<i4"))
+            for begin in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(begin, AT_ONCE)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode_batch(texts)):
+                    ids += end
+                    for piece, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
+                        own = ids[4 * start : 4 * (start + length)]
+                        out.append((doc_id, piece, start, length, zlib.crc32(own)))
+                        if with_ids:
+                            ids_out.append(np.frombuffer(own, "<i4"))
             columns = list(zip(*out)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
