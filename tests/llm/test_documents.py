@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from notegraph.llm import bpe, exact_dedup, licenses, near_dedup, packing, sharding
@@ -251,6 +252,26 @@ def test_exact_dedup(spark, odd, empty):
     assert exact_dedup.exact_dedup(empty).collect() == []
 
 
+@pytest.mark.parametrize("hashes", ["one", "two", "own"])
+def test_texts_are_told_apart_whatever_their_hashes(spark, monkeypatch, hashes):
+    """Equal hashes of different texts, with and without salts, and a text of a third of all rows."""
+    if hashes != "own":
+        monkeypatch.setattr(exact_dedup, "text_hash", lambda norm: F.length(norm).cast("long") % {"one": 1, "two": 2}[hashes])
+    rng = random.Random(12)
+    prefix = "p" * exact_dedup.PREFIX_CHARS
+    texts = [prefix + rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(200)] + [prefix + "hot"] * 100
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"_salt": F.lit(1), "_hash": F.lit("x")}).repartition(5)
+    groups = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        groups[t].append(i)
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect())
+    assert got == sorted((i, min(ids), len(ids), i == min(ids)) for ids in groups.values() for i in ids)
+    kept = exact_dedup.kept_documents(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(map(min, groups.values()))
+
+
 # ---- tokenization automaton
 
 
