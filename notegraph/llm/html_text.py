@@ -1,14 +1,17 @@
 """Main text of web pages from flat text blocks.
 
-A page becomes a list of text blocks.  A block has its number of words, its link
-density (share of words inside links), the same of both neighbours, and what its
-markup says: inside ``article`` or ``main``, inside a container that is named as
-something else (menu, footer, advert, ...), a heading.  A decision tree, trained on
-the small labelled table below, tells main text from the rest.
+A page becomes a flat list of text blocks.  A block has its number of words, its link
+density (share of words inside links), the same of both neighbours, and what its markup
+says: whether it stands in the page's ``article`` or ``main``, whether the page has one
+elsewhere, how strongly an element around it is marked as something else (menu, footer,
+advert, ...), and whether it is a heading.  A mark beyond the article counts only if the
+page has another article without one, so the name of a layout spoils nothing.  A decision tree, trained on the blocks of the small labelled pages below,
+tells main text from the rest.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterable, Iterator
@@ -20,22 +23,29 @@ from pyspark.sql import DataFrame
 # Elements whose content is no text, that start a block, and that hold others.
 UNSHOWN = "script style noscript template svg math iframe object canvas audio video head title"
 BLOCKS = "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html input label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul"
-HOLDERS = "article aside body details dialog div dl fieldset figure footer form header html li main menu nav ol p pre section select span table td textarea tr ul button label"
+HOLDERS = "article aside body details dialog div dl dd dt fieldset figure footer form header html li main menu nav ol option p pre section select span table td th textarea tr ul button label"
 VOID = "br hr input"
-#: Elements, and words in class, id and role attributes, that name something other than main text.
+#: Elements that end where the next of their kind starts.
+ENDS_ITSELF = "p li dd dt option td th tr"
+#: Elements that are something other than main text.
 OTHER_ELEMENTS = "aside footer form menu nav button select textarea dialog fieldset"
+#: Words that mark a class, id or role as such, and words that may stand beside them in a name.
 OTHER_NAMES = (
-    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright "
+    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
     "dialog disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion "
     "recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget"
 )
+NEUTRAL_NAMES = (
+    "bar block bottom box btn button buttons container content foot global group head heading holder icons inner item items left link links list main message outer panel "
+    "post posts primary reader right row secondary section site slot sticky text the title top unit user wrap wrapper"
+)
 
-_UNSHOWN, _BLOCKS, _HOLDERS, _OTHER_ELEMENTS, _OTHER_NAMES = (set(x.split()) for x in (UNSHOWN, BLOCKS, HOLDERS, OTHER_ELEMENTS, OTHER_NAMES))
-_VOID = set(VOID.split())
+_UNSHOWN, _BLOCKS, _HOLDERS, _ENDS_ITSELF, _OTHER_ELEMENTS, _OTHER_NAMES, _NEUTRAL = (set(x.split()) for x in (UNSHOWN, BLOCKS, HOLDERS, ENDS_ITSELF, OTHER_ELEMENTS, OTHER_NAMES, NEUTRAL_NAMES))
+_VOID, _HEADINGS, _MAIN = set(VOID.split()), {f"h{i}" for i in range(1, 7)}, {"article", "main"}
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
     rf"|<({'|'.join(x for x in UNSHOWN.split() if x != 'head')})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>"
     r"|<[a-zA-Z/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -44,34 +54,39 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 #: What a block is told by, in this order.
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_main", "in_other", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "article_elsewhere", "mark", "heading")
+#: How an element is marked as other than main text: not, by a part of a name, by a whole name or its kind.
+PLAIN, WEAK, STRONG = 0, 1, 2
 
-#: The labelled table: FEATURES, then 1 for main text.
+#: The labelled table: pages whose texts say what they are.  +n stands for n words of main
+#: text, -n for n words of something else.
 LABELLED = [
-    # paragraphs, headings and short lines of an article
-    (60, 0.0, 9, 0.0, 40, 0.0, 1, 0, 0, 1), (9, 0.0, 5, 0.0, 60, 0.0, 1, 0, 1, 1), (3, 0.0, 80, 0.0, 30, 0.0, 1, 0, 0, 1), (1, 0.0, 50, 0.0, 8, 0.5, 1, 0, 0, 1),
-    (25, 0.1, 90, 0.0, 12, 0.0, 1, 0, 0, 1), (8, 1.0, 70, 0.0, 66, 0.0, 1, 0, 0, 1), (120, 0.02, 3, 1.0, 2, 1.0, 1, 0, 0, 1), (2, 0.0, 2, 1.0, 0, 0.0, 1, 0, 1, 1),
-    (14, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (40, 0.5, 33, 0.0, 18, 0.0, 1, 0, 0, 1), (6, 0.0, 6, 0.0, 6, 0.0, 1, 0, 0, 1), (200, 0.0, 1, 1.0, 150, 0.0, 1, 0, 0, 1),
-    (2, 0.0, 1, 1.0, 3, 0.0, 1, 0, 0, 1), (3, 0.0, 3, 0.0, 4, 0.0, 1, 0, 0, 1), (3, 1.0, 4, 0.0, 5, 0.0, 1, 0, 0, 1), (1, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 1),
-    (5, 0.0, 0, 0.0, 3, 0.0, 1, 0, 0, 1), (4, 0.0, 4, 0.0, 0, 0.0, 1, 0, 0, 1), (2, 0.9, 3, 0.8, 1, 1.0, 1, 0, 0, 1), (12, 0.7, 2, 1.0, 9, 0.9, 1, 0, 0, 1),
-    (4, 0.0, 4, 0.0, 7, 0.0, 1, 0, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0, 1), (5, 0.5, 2, 0.5, 80, 0.0, 1, 0, 0, 1), (3, 0.0, 4, 0.0, 30, 0.0, 1, 0, 0, 1),
-    (2, 1.0, 5, 0.0, 44, 0.0, 1, 0, 0, 1), (6, 0.6, 90, 0.0, 3, 0.0, 1, 0, 0, 1), (4, 0.8, 60, 0.0, 5, 0.8, 1, 0, 0, 1), (30, 0.9, 15, 0.0, 2, 1.0, 1, 0, 0, 1),
-    # the same where no element names the article
-    (45, 0.0, 6, 0.0, 50, 0.0, 0, 0, 0, 1), (80, 0.05, 45, 0.0, 70, 0.0, 0, 0, 0, 1), (22, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1, 1),
-    (35, 0.2, 60, 0.0, 4, 1.0, 0, 0, 0, 1), (6, 0.0, 55, 0.0, 40, 0.0, 0, 0, 0, 1), (9, 0.0, 48, 0.0, 62, 0.0, 0, 0, 1, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (18, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 1), (28, 0.0, 0, 0.0, 31, 0.0, 0, 0, 0, 1), (5, 0.0, 30, 0.0, 90, 0.0, 0, 0, 1, 1), (16, 0.0, 21, 0.0, 19, 0.1, 0, 0, 0, 1),
-    (2, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1, 1), (3, 0.0, 35, 0.0, 52, 0.0, 0, 0, 1, 1), (1, 0.0, 4, 0.9, 66, 0.0, 0, 0, 1, 1), (4, 0.0, 28, 0.0, 12, 0.0, 0, 0, 1, 1),
-    # menus, footers, adverts, notices, forms and comments that are named as such
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 2, 1.0, 4, 0.0, 0, 1, 0, 0), (4, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0),
-    (14, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0), (30, 0.0, 1, 1.0, 60, 0.0, 0, 1, 0, 0), (12, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0), (55, 0.0, 40, 0.0, 12, 0.0, 0, 1, 0, 0),
-    (20, 0.0, 90, 0.0, 35, 0.0, 1, 1, 0, 0), (8, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0, 0), (3, 0.0, 70, 0.0, 25, 0.0, 1, 1, 1, 0), (45, 0.1, 25, 0.0, 50, 0.0, 1, 1, 0, 0),
-    (6, 0.8, 50, 0.0, 3, 1.0, 1, 1, 0, 0), (2, 0.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0), (90, 0.0, 12, 0.0, 60, 0.0, 0, 1, 0, 0), (150, 0.0, 60, 0.0, 40, 0.0, 1, 1, 0, 0),
-    (1, 0.0, 3, 0.7, 5, 0.6, 0, 1, 1, 0),
-    # the same without a name
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 0.7, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (12, 0.9, 3, 1.0, 8, 0.8, 0, 0, 0, 0),
-    (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (4, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.5, 5, 0.0, 0, 0, 0, 0), (25, 0.8, 10, 0.9, 6, 1.0, 0, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 45, 0.0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 80, 0.0, 0, 0, 0, 0), (9, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0), (4, 0.8, 3, 1.0, 35, 0.0, 0, 0, 0, 0), (2, 0.0, 2, 1.0, 45, 0.0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 30, 0.0, 0, 0, 0, 0), (2, 0.0, 4, 0.5, 3, 1.0, 0, 0, 1, 0),
-    (6, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0), (8, 0.6, 30, 0.0, 5, 0.8, 0, 0, 0, 0), (2, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0),
+    # an article with menus, adverts, notices, forms, comments and a footer around and inside it
+    "<body><nav><ul><li><a>-1</a><li><a>-2</a><li><a>-1</a></ul></nav><div class=ad>-9</div><article><h1>+7</h1><p>+12<br><p>+80<p>+3<p>+40</article><footer>-11</footer></body>",
+    "<body><header><h1>-2</h1><a>-1</a></header><main><h1>+5</h1><p>+1<p>+60 <a>+3</a> +20<p>+2<h2>+3</h2><p>+150<ul><li>+4<li>+6<li><a>+2</a></ul></main><footer>-4 <a>-2</a></footer></body>",
+    "<body><div class=banner>-14</div><article><p>+30<aside>-20</aside><p>+9<form><label>-1</label><button>-1</button></form><p>+50<div class=related><h3>-2</h3><a>-6</a><a>-7</a></div><p>+1</article></body>",
+    "<body><article><h2>+4</h2><p>+25<div class=share>-3</div><p>+70<section class=comments><h3>-1</h3><p>-45<p>-120</section></article><div class=sidebar><p>-30<p>-8</div><footer>-30</footer></body>",
+    "<body><div><a>-2</a></div><article><p><a>+1</a><p>+1<p><a>+2</a><p>+3<p><a>+4</a><p>+5<h2>+2</h2><p><a>+7</a><p>+1<h3>+1</h3><p>+2 <a>+1</a><p>+4 <a>+3</a><p>+1 <a>+8</a><p>+2</article><div><a>-1</a></div><div><a>-5</a></div></body>",
+    "<body><p>-3<main><p>+2<p>+4<h2><a>+3</a></h2><p>+11<p>+6<table><tr><td>+1<td>+1<tr><td>+2<td><a>+1</a></table><p>+3<pre>+9</pre><p>+1</main><p>-8<p><a>-2</a><p>-25<p>-60</body>",
+    "<body><article><p>+14</article></body>", "<body><main>+1</main><footer>-2</footer></body>", "<body><article><h1>+2</h1></article></body>",
+    "<body><article><p>+2<p>+1<p>+3</article><section class=comments><article><p>-40<p>-15</article><article><p>-60</article></section></body>",
+    "<body><article><p>+90<p>+6</article><aside><article><h3>-5</h3><p>-20</article><article><a>-8</a></article></aside></body>",
+    "<body><nav><a>-3</a></nav><article><p><a>+1</a><p><a>+9</a><p>+4 <a>+12</a><p><a>+30</a><li><a>+2</a></article><div class=widget><a>-9</a></div></body>",
+    "<body><article><p class=price>+8<p class='share-price'>+6<div class='form-factor'>+40</div><p>+5<p class=cookie>-12<p class='reader-comments'>-33</article></body>",
+    # layouts whose names hold such a word around the article
+    "<body><div class='layout with-sidebar'><nav><a>-1</a></nav><article><h1>+5</h1><p>+60<p>+3</article></div><footer>-6</footer></body>",
+    "<body class=search-page><div class='no-ads'><article><p>+45<p>+2</article></div></body>", "<body><div class=widget-area><article><p>+60<p>+9</article></div></body>",
+    "<body><form><div class=header><article><h1>+3</h1><p>+55</article></div><label>-1</label></form></body>", "<body><div class=sidebar><main><p>+70<p>+20<p>+1</main></div></body>",
+    "<body><form class=form><main><h1>+4</h1><p>+35<p>+1<aside>-9</aside></main><button>-1</button></form></body>", "<body><div class=modal><article><p>+2<p>+18<div class=ad>-7</div></article></div></body>",
+    # pages without such an element
+    "<body><div><a>-1</a> <a>-1</a> <a>-2</a></div><div><h2>+2</h2><p>+45<p>+60</div><div><a>-2</a></div></body>",
+    "<body><ul><li><a>-1</a><li><a>-2</a><li><a>-3</a></ul><h1>+6</h1><p>+80 <a>+4</a><p>+20<p>+35<div><a>-9</a></div><p>-4</body>",
+    "<body><p>-4<div><a>-2</a></div><div><a>-1</a></div><p>+150</body>", "<body><p>+28<p>+31<p>+16<p>+21</body>", "<body><p>+40</body>",
+    "<body><h1>-2</h1><div><a>-1</a></div><div><a>-2</a></div><h2>+3</h2><p>+35<p>+52<h2>+1</h2><p>+66<div><a>-4</a> -1</div></body>",
+    "<body><div class=content-with-sidebar><p>+50<p>+70<p>+22</div><div class=footer><p>-40</div></body>",
+    "<body><div id=search-results><h2>+4</h2><p>+38<p>+44</div><div class=ads><p>-25</div></body>",
+    "<body><div class=menu><a>-1</a><a>-1</a></div><div class=notice>-30</div><div class=post><h1>+5</h1><p>+30<p>+18<p>+90</div><div class=comments><p>-50<p>-22</div></body>",
+    "<body><table><tr><td><a>-2</a><td><a>-3</a><tr><td>+48<td>+33</table><center>-5</center></body>",
 ]
 
 
@@ -110,85 +125,151 @@ class DecisionTree:
         return node
 
 
-def _is_other(name: str, attributes: str, in_main: bool) -> bool:
+@functools.lru_cache(4096)
+def _name_mark(names: str) -> int:
+    """The mark of the value of a class, id or role: STRONG if one of its names says nothing
+    but what is other, WEAK if a part of one does."""
+    out = PLAIN
+    for name in names.lower().split():
+        words = re.findall(r"[a-z]+", name)
+        if not _OTHER_NAMES.isdisjoint(words):
+            out = max(out, STRONG if all(w in _OTHER_NAMES or w in _NEUTRAL for w in words) else WEAK)
+    return out
+
+
+def _own_mark(name: str, attributes: str, in_main: bool) -> int:
     if name in _OTHER_ELEMENTS or name == "header" and not in_main:
-        return True
-    if not attributes or name in ("article", "main", "body", "html"):
-        return False
+        return STRONG
+    if not attributes or name in _MAIN or name in ("body", "html"):
+        return PLAIN
     if _HIDDEN.search(attributes):
-        return True
-    return any(word in _OTHER_NAMES for m in _NAMED.finditer(attributes) for word in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+        return STRONG
+    marks = [_name_mark(m[1] or m[2] or m[3] or "") for m in _NAMED.finditer(attributes)]
+    if name == "span":  # too small to be more than a part of a sentence unless it says so
+        marks = [m for m in marks if m == STRONG]
+    return max(marks, default=PLAIN)
+
+
+class _Place:
+    """Where the next text stands: a stack of open elements, each with what holds inside it."""
+
+    def __init__(self) -> None:
+        self._stack: list[tuple[str, bool, int, int]] = []
+        self._open: dict[str, int] = {}
+        self.state: tuple[bool, int, int] = (False, PLAIN, PLAIN)  # in main, mark, mark beyond the article
+
+    def push(self, name: str, attributes: str) -> bool:
+        """Open an element; does it change what holds?"""
+        in_main, mark, beyond = before = self.state
+        own = _own_mark(name, attributes, in_main)
+        if name in _MAIN:
+            # Marks so far lie beyond the article from here on.
+            in_main, mark, beyond = True, PLAIN, max(mark, beyond)
+        else:
+            mark = max(mark, own)
+        self.state = in_main, mark, beyond
+        self._stack.append((name, *self.state))
+        self._open[name] = self._open.get(name, 0) + 1
+        return self.state != before
+
+    def pop(self, name: str) -> bool:
+        """Close an element and all in it, if it is open at all; does it change what holds?"""
+        before = self.state
+        if self._open.get(name):
+            while True:
+                last = self._stack.pop()[0]
+                self._open[last] -= 1
+                if last == name:
+                    break
+            self.state = self._stack[-1][1:] if self._stack else (False, PLAIN, PLAIN)
+        return self.state != before
 
+    def starts(self, name: str) -> None:
+        """A block element ends an open paragraph, and the item of its kind right before it."""
+        if self._open.get("p"):
+            self.pop("p")
+        if name in _ENDS_ITSELF and self._stack and self._stack[-1][0] == name:
+            self.pop(name)
+        if name in ("td", "th") and self._stack and self._stack[-1][0] in ("td", "th"):
+            self.pop(self._stack[-1][0])
+        if name == "tr" and self._open.get("tr") and self._stack[-1][0] in ("td", "th"):
+            self.pop("tr")
 
-def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, linked words, in main, in other, heading) of each block with text."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
+
+def text_blocks(page: str) -> list[tuple[str, int, int, bool, int, int, bool]]:
+    """(text, words, linked words, in main, mark, mark beyond the article, heading) of each
+    block with text, in one pass; a stray end tag costs nothing."""
+    out: list[tuple[str, int, int, bool, int, int, bool]] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, in main, in other
-    links, heading, at = 0, False, 0
-    in_main = in_other = False
+    place = _Place()
+    link, heading, at = False, False, 0
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join([t for t, _ in parts])).split())
             if text:
-                linked = sum(len(html.unescape(t).split()) for t, link in parts if link)
-                out.append((text, len(text.split()), linked, in_main, in_other, heading))
+                linked = sum(len(html.unescape(t).split()) for t, own in parts if own)
+                out.append((text, len(text.split()), linked, *state, heading))
             parts.clear()
 
     for m in _TOKEN.finditer(page):
+        state = place.state
         if m.start() > at:
-            parts.append((page[at : m.start()], links > 0))
+            parts.append((page[at : m.start()], link))
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
         if name == "a":
-            links = 0 if m[2] else 1
+            link = not m[2]
             continue
         if name in _BLOCKS:
             flush()
-            links *= name == "br"
-        if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            link = link and name == "br"
+        if name in _HEADINGS:
             heading = not m[2]
-        elif m[2]:
-            if name in _HOLDERS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        if name == "span" and stack[i][2] != (stack[i - 1][2] if i else False):
-                            flush()
-                        del stack[i:]
-                        break
-                in_main, in_other = stack[-1][1:] if stack else (False, False)
-        elif name in _HOLDERS and name not in _VOID:
-            if name in ("body", "main", "article") and not in_main:
-                stack = [s for s in stack if s[0] != "p"]
-                in_main, in_other = stack[-1][1:] if stack else (False, False)
-            if name == "p":
-                while stack and stack[-1][0] == "p":
-                    stack.pop()
-                in_main, in_other = stack[-1][1:] if stack else (False, False)
-            other = in_other or _is_other(name, m[4] or "", in_main)
-            if name == "span" and other != in_other:
+        if name in _BLOCKS and not m[2] and name != "br":
+            place.starts(name)
+        if name in _HOLDERS and name not in _VOID:
+            changed = place.pop(name) if m[2] else place.push(name, m[4] or "")
+            if changed:  # a marked span
                 flush()
-            in_main, in_other = in_main or name in ("article", "main"), other
-            stack.append((name, in_main, in_other))
+    state = place.state
     if at < len(page):
-        parts.append((page[at:], links > 0))
+        parts.append((page[at:], link))
     flush()
     return out
 
 
+def block_rows(blocks: list[tuple]) -> list[tuple]:
+    """FEATURES of each block."""
+    counts = [(n, linked / n) for _, n, linked, *_ in blocks]
+    clean = [in_main and beyond < STRONG for *_, in_main, _, beyond, _ in blocks]
+    if not any(clean):
+        clean = [in_main for *_, in_main, _, _, _ in blocks]
+    somewhere = any(clean)
+    none = (0, 0.0)
+    out = []
+    for i, (*_, mark, _, heading) in enumerate(blocks):
+        before, after = counts[i - 1] if i else none, counts[i + 1] if i + 1 < len(counts) else none
+        out.append((*counts[i], *before, *after, clean[i], somewhere and not clean[i], mark, heading))
+    return out
+
+
+@functools.cache
+def trained_tree() -> DecisionTree:
+    """Trained on the blocks of the labelled pages."""
+    rows = []
+    for page in LABELLED:
+        said = re.sub(r"([+-])(\d+)", lambda m: " ".join(m[1] * int(m[2])), page)
+        blocks = text_blocks(said)
+        rows += [(*row, block[0][0] == "+") for row, block in zip(block_rows(blocks), blocks)]
+    return DecisionTree(rows)
+
+
 def main_text(page: str, tree: DecisionTree) -> str:
     blocks = text_blocks(page)
-    rows = [(n, linked / n) for _, n, linked, *_ in blocks]
-    none = (0, 0.0)
-    keep = []
-    for i, (text, *_, in_main, in_other, heading) in enumerate(blocks):
-        before, after = rows[i - 1] if i else none, rows[i + 1] if i + 1 < len(rows) else none
-        if tree.predict((*rows[i], *before, *after, in_main, in_other, heading)) >= 0.5:
-            keep.append(text)
-    return " ".join(keep)
+    return " ".join([b[0] for b, row in zip(blocks, block_rows(blocks)) if tree.predict(row) >= 0.5])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -199,7 +280,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = DecisionTree(LABELLED)
+        tree = trained_tree()
         for batch in batches:
             texts = [main_text(x.as_py() or "", tree) for x in batch.column("html")]
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})

@@ -3,13 +3,18 @@
 import collections
 import hashlib
 import math
+import os
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from notegraph.llm import chat, html_text, language, queries, topk
 
+from ..compare import SF_DIR
 from .conftest import DOCS, ODD
 
 # ---- top-k
@@ -85,22 +90,94 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="sidebar"><p>Something of some length that stands beside the article as a text</p></div><footer>&copy; 2024 Site</footer></body></html>"""
 
 
+TREE = html_text.trained_tree()
+
+
+def words(n, mark="w"):
+    return " ".join(f"{mark}{i}" for i in range(n))
+
+
 def test_page():
-    tree = html_text.DecisionTree(html_text.LABELLED)
-    assert html_text.main_text(PAGE, tree) == "Title & more First para­graph with a link. Second line Third <p> ééé Last."
-    assert all((tree.predict(r[:-1]) >= 0.5) == bool(r[-1]) for r in html_text.LABELLED)
+    assert html_text.main_text(PAGE, TREE) == "Title & more First para­graph with a link. Second line Third <p> ééé Last."
+
+
+def test_tree_tells_its_labelled_blocks_apart():
+    for page in html_text.LABELLED:
+        blocks = html_text.text_blocks(re.sub(r"([+-])(\d+)", lambda m: " ".join(m[1] * int(m[2])), page))
+        for block, row in zip(blocks, html_text.block_rows(blocks)):
+            assert set(block[0]) - {" "} in ({"+"}, {"-"}) and (TREE.predict(row) >= 0.5) == (block[0][0] == "+"), (page, block)
 
 
 def test_page_without_article():
-    tree = html_text.DecisionTree(html_text.LABELLED)
-    words = " ".join(["word"] * 40)
-    page = f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div><h2>Head line</h2><p>{words}</p><p>{words}</p></div><div><a href=3>Next page</a></div></body>"
-    assert html_text.main_text(page, tree) == f"Head line {words} {words}"
+    said = words(40)
+    page = f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div><h2>Head line</h2><p>{said}</p><p>{said}</p></div><div><a href=3>Next page</a></div></body>"
+    assert html_text.main_text(page, TREE) == f"Head line {said} {said}"
+
+
+@pytest.mark.parametrize("element", ["div", "section", "form", "main", "table><tr><td"])
+@pytest.mark.parametrize("name", ["layout with-sidebar", "search-page", "no-ads", "widget-area", "form-layout", "header-fixed", "has-comments left", "sidebar", "page"])
+def test_names_around_an_article_spoil_nothing(element, name):
+    page = f"<body class='{name}'><nav><a href=1>One</a></nav><{element} class='{name}' id={name.split()[0]}><article><h1>Head</h1><p>{words(60)}</p><p class='share-price'>{words(3)}</p></article></{element.split('>')[0]}><footer>F</footer>"
+    assert html_text.main_text(page, TREE) == f"Head {words(60)} {words(3)}"
+
+
+def test_drawn_pages():
+    """Pages of random parts: all main words are found, and no other word."""
+    rng = random.Random(3)
+    block = lambda mark, low, high: f"<{(e := rng.choice(['p', 'div', 'li', 'h2']))}>{words(rng.randint(low, high), mark)}</{e}>"
+    other = [
+        lambda: "<nav><ul>" + "".join(f"<li><a href=x>{words(rng.randint(1, 3), '-')}</a>" for _ in range(rng.randint(1, 6))) + "</ul></nav>", lambda: f"<div class='{rng.choice(['ad', 'cookie-notice', 'ad-2', 'site-banner', 'promo box'])}'>{block('-', 1, 40)}</div>",
+        lambda: f"<aside>{block('-', 1, 60)}</aside>", lambda: f"<form><label>{words(2, '-')}</label><input><button>{words(1, '-')}</button></form>", lambda: f"<section class=comments>{block('-', 5, 90)}{block('-', 1, 9)}</section>",
+    ]
+    for _ in range(300):
+        some = lambda: "".join(rng.choice(other)() for _ in range(rng.randint(0, 3)))
+        inner = "".join(rng.choice([lambda: block("+", 1, 90)] * 3 + other)() for _ in range(rng.randint(1, 8))) + block("+", 1, 40)
+        e = rng.choice(["article", "main"])
+        page = f"<html><head><title>-</title></head><body><header>{block('-', 1, 4)}</header>{some()}<{e}>{inner}</{e}>{some()}<footer>{words(9, '-')}</footer></body></html>"
+        assert html_text.main_text(page, TREE) == " ".join(re.findall(r"\+\d+", page))
+
+
+class PlainArticle(HTMLParser):
+    """The article's text by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.hidden = 0
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.hidden += tag in ("script", "style")
+        self.parts.append(" " if tag not in ("a", "b", "i", "em", "span", "strong") else "")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.hidden -= tag in ("script", "style")
+        self.parts.append(" " if tag not in ("a", "b", "i", "em", "span", "strong") else "")
+
+    def handle_data(self, data):
+        self.parts.append(data if self.inside and not self.hidden else "")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tables are not here")
+def test_given_pages_equal_a_plain_parser(spark):
+    for r in html_text.extract(spark.read.parquet(f"{SF_DIR}/pages.parquet")).join(spark.read.parquet(f"{SF_DIR}/pages.parquet"), "page_id").collect():
+        plain = PlainArticle()
+        plain.feed(r.html)
+        plain.close()
+        assert r.text == " ".join("".join(plain.parts).split()) and r.n_chars == len(r.text)
 
 
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "<script>x", "<p>a</div></nav><b", "&am</p>", "<a href='>x</a>", "plain", "<" * 5000, "<p " * 3000, "<div>" * 3000])
 def test_broken_pages(page):
-    html_text.main_text(page, html_text.DecisionTree(html_text.LABELLED))
+    html_text.main_text(page, TREE)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40000 + "</p>" * 40000, "<div><p>a" * 40000, "<span>" * 40000 + "</div>" * 40000, "<li>x" * 80000, "<table><tr><td>x" * 20000, "<article>" + "<div>" * 50000 + words(100000), "&lt;" * 300000])
+def test_deep_and_long_pages_take_linear_time(page):
+    began = time.time()
+    html_text.main_text(page, TREE)
+    assert time.time() - began < 5
 
 
 def test_extract_rows(spark):
