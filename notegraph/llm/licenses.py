@@ -1,137 +1,82 @@
 """License scans by ordered signature rules, in DataFrame operations alone.
 
-A text becomes its lower-case words, joined by single spaces.  The rules are regular
-expressions over that form: each licence's names in each of a few phrasings.  A rule is
-tried only where its keyword stands in the text, and no rule where no gate word does.
-Of overlapping detections, one that lies inside another of the same or a higher priority
-is suppressed; the labels of the others are reported, with the base labels.
+A text becomes its lower-case words, joined by single spaces.  The rules of
+``license_rules`` are regular expressions over that form.  One prefilter of all keywords
+tells the texts that can hold a detection; in those a rule is tried where its keyword
+stands.  Of overlapping detections, one that lies inside another of the same or a higher
+priority is suppressed; the labels of the others are reported, with the base labels.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .license_rules import rules
 
-#: The base phrases and their labels.
+#: The base phrases and their labels; each holds a keyword of the rules.
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
-#: Strings of which one stands in every text that a rule or a base phrase can match.
-GATES = (
-    "licen spdx cc commons domain gpl gnu affero lesser apache bsd mozilla eclipse european development artistic boost classpath documentation "
-    "database odbl font hereby redistribution permission reserved confidential eula warranty attribution"
-).split()
-#: label, keyword (a part of whatever the pattern matches), pattern of the name.  ` ?v?(?:ersion )?` style parts allow for how versions are written.
-_V = r"(?: license)?(?: v| version| v version)?"
-LICENCES = [
-    ("agpl-3.0", "affero", rf"gnu affero general public{_V} ?3(?: 0)?"),
-    ("agpl-3.0", "agpl", r"agpl(?: v| version)? ?v?3(?: 0)?"),
-    ("agpl", "affero", r"gnu affero general public license|affero gpl"),
-    ("agpl", "agpl", r"agpl"),
-    ("lgpl-3.0", "lesser", rf"gnu lesser general public{_V} ?3(?: 0)?"),
-    ("lgpl-2.1", "lesser", rf"gnu lesser general public{_V} ?2 1"),
-    ("lgpl-2.0", "library general", rf"gnu library general public{_V} ?2(?: 0)?"),
-    ("lgpl", "lgpl", r"lgpl(?: v| version)?(?: ?v?\d(?: \d)?)?"),
-    ("gpl-3.0", "gnu general public", rf"gnu general public{_V} ?3(?: 0)?"),
-    ("gpl-2.0", "gnu general public", rf"gnu general public{_V} ?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"gpl(?: v| version)? ?v?3(?: 0)?"),
-    ("gpl-2.0", "gpl", r"gpl(?: v| version)? ?v?2(?: 0)?"),
-    ("gpl-classpath-exception", "classpath", r"classpath exception"),
-    ("gfdl", "free documentation", rf"gnu free documentation{_V}(?: ?1 \d)?"),
-    ("apache-2.0", "apache", rf"apache{_V} ?2(?: 0)?"),
-    ("apache-1.1", "apache", rf"apache(?: software)?{_V} ?1 1"),
-    ("mit", "mit", r"mit(?: x11)? license|mit licensed"),
-    ("mit", "expat", r"expat license"),
-    ("mit-0", "mit no attribution", r"mit no attribution(?: license)?"),
-    ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd(?: license)?|bsd 2 clause(?: license)?"),
-    ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd(?: license)?|bsd 3 clause(?: license)?"),
-    ("bsd-4-clause", "bsd", r"(?:original|4 clause|four clause) bsd(?: license)?|bsd 4 clause(?: license)?"),
-    ("bsd", "bsd", r"bsd(?: style)? license"),
-    ("0bsd", "bsd", r"zero clause bsd(?: license)?|0bsd"),
-    ("mpl-2.0", "mozilla", rf"mozilla public{_V} ?2(?: 0)?"),
-    ("mpl-1.1", "mozilla", rf"mozilla public{_V} ?1 1"),
-    ("epl-2.0", "eclipse", rf"eclipse public{_V} ?2(?: 0)?"),
-    ("epl-1.0", "eclipse", rf"eclipse public{_V} ?1(?: 0)?"),
-    ("eupl-1.2", "european union", rf"european union public{_V}(?: ?1 2)?"),
-    ("cddl-1.0", "common development", rf"common development and distribution{_V}(?: ?1 0)?"),
-    ("artistic-2.0", "artistic", rf"artistic{_V} ?2(?: 0)?"),
-    ("artistic-1.0", "artistic", r"(?:perl )?artistic license"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: \d \d)?"),
-    ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: \d \d)?"),
-    ("cc-by-nc", "cc by", r"cc by nc(?: \d \d)?"),
-    ("cc-by-nd", "cc by", r"cc by nd(?: \d \d)?"),
-    ("cc-by-sa", "cc by", r"cc by sa(?: \d \d)?"),
-    ("cc-by-4.0", "cc by", r"cc by 4 0"),
-    ("cc-by-3.0", "cc by", r"cc by 3 0"),
-    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: \d \d)?(?: international| unported)?"),
-    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: \d \d)?(?: international| unported)?"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: \d \d)?(?: international| unported)?"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: \d \d)?(?: international| unported)?"),
-    ("cc-by-4.0", "creative commons", r"creative commons attribution 4 0(?: international)?"),
-    ("isc", "isc", r"isc license"),
-    ("zlib", "zlib", r"zlib(?: libpng)? license"),
-    ("boost-1.0", "boost", rf"boost software{_V}(?: ?1 0)?"),
-    ("python-2.0", "python software", r"python software foundation license(?: version)?(?: 2)?"),
-    ("unlicense", "unlicen", r"unlicense"),
-    ("wtfpl", "do what the", r"do what the f\w+ you want to public license"),
-    ("postgresql", "postgresql", r"postgresql license"),
-    ("odbl-1.0", "open database", rf"open database{_V}(?: ?1 0)?"),
-    ("odbl-1.0", "odbl", r"odbl(?: v| version)?(?: ?v?1 0)?"),
-    ("ofl-1.1", "open font", rf"sil open font{_V}(?: ?1 1)?"),
-    ("public-domain", "public domain", r"public domain"),
-]
-#: priority, score, what stands before and after a name.
-PHRASINGS = [
-    (3, 1.0, "spdx license identifier (?:is )?", ""),
-    (3, 0.95, r"(?:dual )?licensed (?:to you )?under (?:the )?(?:terms of )?(?:the )?", r"(?: only| or later| or any later version| license)?"),
-    (3, 0.95, r"(?:released|distributed|published|available|provided|dedicated) (?:under|to) (?:the )?(?:terms of )?(?:the )?", r"(?: only| or later| or any later version| license)?"),
-    (2, 0.9, r"(?:under|subject to|according to|see|governed by) (?:the )?terms (?:and conditions )?of (?:the )?", ""),
-    (1, 0.7, "", r"(?: only| or later| or any later version)"),
-    (1, 0.6, "", ""),
-]
-#: Whole sentences of licence texts: label, keyword, priority, score, pattern.
-SENTENCES = [
-    ("mit", "permission is hereby granted", 3, 0.9, r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("bsd", "redistribution and use", 3, 0.9, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("isc", "permission to use copy modify", 3, 0.9, r"permission to use copy modify and or distribute this software for any purpose"),
-    ("gpl", "you can redistribute it", 3, 0.8, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("proprietary", "all rights reserved", 1, 0.4, r"all rights reserved"),
-    ("proprietary", "proprietary and confidential", 2, 0.8, r"proprietary and confidential"),
-    ("commercial", "end user license", 2, 0.7, r"end user license agreement"),
-    ("commercial", "eula", 2, 0.7, r"eula"),
-    ("no-warranty", "without warranty", 1, 0.3, r"without warranty of any kind"),
-]
-
-
-@functools.cache
-def rules() -> list[tuple[str, str, int, float, str]]:
-    """(label, keyword, priority, score, pattern) in order; patterns are over words with
-    a single space on either side."""
-    out = [(label, key, priority, score, f"(?<= ){before}(?:{name}){after}(?= )") for priority, score, before, after in PHRASINGS for label, key, name in LICENCES]
-    return out + [(label, key, priority, score, f"(?<= )(?:{pattern})(?= )") for label, key, priority, score, pattern in SENTENCES]
-
-
-def _rule_array() -> Column:
-    return F.array(*[F.struct(*(F.lit(v).alias(n) for v, n in zip((label, key, priority, score, pattern), ("label", "key", "priority", "score", "pattern")))) for label, key, priority, score, pattern in rules()])
-
-
-def _detections(words: Column, rule: Column) -> Column:
+#: What stands for a match while a text is taken apart; no word holds it.
+MARK = "\x01"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def prefilter() -> str:
+    """A pattern for any keyword at the start of a word, by first letters."""
+    keys = sorted({key for _, key, *_ in rules()})
+    parts = [f"{first}(?:{'|'.join(k[1:] for k in own)})" for first, own in itertools.groupby(keys, key=lambda k: k[0])]
+    return f" (?:{'|'.join(parts)})"
+
+
+def _sums_before(lengths: Column) -> Column:
+    """For each element the sum of those before it, in blocks of about the root of their
+    number, so that many matches in one text stay far from quadratic."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def within(size: Column, blocks: Column) -> Column:
+        starts = F.transform(blocks, lambda x, k: total(F.slice(blocks, F.lit(1), k)))
+        return _let(starts, lambda base: F.transform(lengths, lambda x, i: F.get(base, (i / size).cast("int")) + total(F.slice(lengths, i - i % size + 1, i % size))))
+
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths))).cast("int"))
+    sums = lambda s: F.transform(F.sequence(F.lit(0), ((F.size(lengths) - 1) / s).cast("int")), lambda k: total(F.slice(lengths, k * s + 1, s)))
+    return _let(size, lambda s: _let(sums(s), lambda blocks: within(s, blocks)))
+
+
+def _detections(m: Column) -> Column:
     """Intervals of a rule's matches, longest first where they start together."""
-    found = F.regexp_extract_all(words, rule["pattern"], F.lit(0))
-    between = F.split(words, rule["pattern"], -1)
-    empty = F.array().cast("array<struct<start:int,low_end:int,low_priority:int,label:string,score:double>>")
+    lengths = F.transform(m["found"], lambda f, i: F.length(f) + F.length(F.get(m["between"], i)))
+
+    def hit(before: Column, i: Column) -> Column:
+        start = before + F.length(F.get(m["between"], i))
+        end = start + F.length(F.get(m["found"], i))
+        return F.struct(start.alias("start"), (-end).alias("low_end"), (-m["priority"]).alias("low_priority"), m["label"].alias("label"), m["score"].alias("score"))
+
+    return _let(lengths, lambda own: F.transform(_sums_before(own), hit))
+
+
+def _matches(words: str) -> str:
+    """SQL for the rules that match in the column ``words``, an array of
+    struct<label, priority, score, found, between>.  Each pattern is a constant, so it is
+    compiled once; as SQL because that many nested calls take seconds to build one by one."""
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, i))
-        end = start + F.length(F.get(found, i))
-        hit = F.struct(start.alias("start"), (-end).alias("low_end"), (-rule["priority"]).alias("low_priority"), rule["label"].alias("label"), rule["score"].alias("score"))
-        return F.struct(end.alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
+    def one(label: str, priority: int, score: float, pattern: str) -> str:
+        between = f"split(regexp_replace({words}, r'{pattern}', '{MARK}'), '{MARK}', -1)"
+        made = f"named_struct('label', '{label}', 'priority', {priority}, 'score', {score}D, 'found', regexp_extract_all({words}, r'{pattern}', 0), 'between', {between})"
+        return f"if(rlike({words}, r'{pattern}'), {made}, NULL)"
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("hits"))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["hits"])).otherwise(empty)
+    gated = []
+    for key, own in itertools.groupby(sorted(rules(), key=lambda r: r[1]), key=lambda r: r[1]):
+        tried = ", ".join(one(label, priority, score, pattern) for label, _, priority, score, pattern in own)
+        gated.append(f"if(contains({words}, '{key}'), array({tried}), NULL)")
+    return f"array_compact(flatten(array_compact(array({', '.join(gated)}))))"
 
 
 def _survivors(hits: Column) -> Column:
@@ -150,8 +95,8 @@ def _survivors(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), start, step, lambda acc: F.struct(acc["labels"].alias("labels"), acc["score"].alias("score")))
 
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Anything but digits, letters of either case and characters beyond ASCII.
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 
 
 def _place(phrase: str) -> str:
@@ -170,16 +115,18 @@ def scan(docs: DataFrame) -> DataFrame:
     every row of ``docs``.
 
     Words are runs of 0-9, a-z and characters beyond ASCII of the lower-cased text (null:
-    empty).  n_base counts the places of the base phrases; first_word and last_word are
+    empty).  The case of letters beyond ASCII makes no difference to words or base phrases.  n_base counts the places of the base phrases; first_word and last_word are
     their smallest and largest start, null without one.  Labels are distinct, sorted and
     comma-joined, empty without one.  score is the best of the detections that stay, at
     least 0.5 with a base phrase.  Repeated rows give repeated rows, an empty table an
     empty one; other columns are ignored.
     """
-    low = docs.select("doc_id", lower_ascii(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
-    gated = functools.reduce(lambda a, b: a | b, [F.contains(F.col("low"), F.lit(g)) for g in GATES])
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace("low", NO_WORD, " ")), F.lit(" "))
-    rows = low.select("doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.when(gated, words).alias("words"))
+    said = F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), NO_WORD, " "))
+    rows = docs.select("doc_id", said.alias("said"))
+    spaces = F.length("said") - F.length(F.replace("said", F.lit(" "), F.lit("")))
+    words = F.concat(F.lit(" "), F.lower("said"), F.lit(" "))
+    rows = rows.select("doc_id", F.when(F.col("said") == "", 0).otherwise(spaces + 1).cast("long").alias("n_words"), words.alias("words"))
+    rows = rows.withColumn("words", F.when(F.col("words").rlike(prefilter()), F.col("words")))
     rows = rows.withColumn("spaced", F.replace("words", F.lit(" "), F.lit("  ")))
     rows = rows.withColumn("spaced", F.substr("spaced", F.lit(2), F.length("spaced") - 2))
     none = F.lit(0)
@@ -193,11 +140,12 @@ def scan(docs: DataFrame) -> DataFrame:
         firsts.append(F.when(at > 0, _before(F.col("spaced"), at)))
         lasts.append(F.when(back > 0, _before(F.col("spaced"), F.length("spaced") - back - len(own) + 2)))
         labels.append(F.when(at > 0, F.lit(label)))
-    hits = F.flatten(F.transform(F.filter(_rule_array(), lambda r: F.contains(F.col("words"), r["key"])), lambda r: _detections(F.col("words"), r)))
+    hits = F.flatten(F.transform("matches", _detections))
     rows = rows.select(
         "doc_id", "n_words", functools.reduce(lambda a, b: a + b, counts).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"),
-        F.array_compact(F.array(*labels)).alias("base"), F.when(F.col("words").isNotNull(), hits).alias("hits"),
+        F.array_compact(F.array(*labels)).alias("base"), F.expr(f"if(words IS NOT NULL, {_matches('words')}, NULL)").alias("matches"),
     )
+    rows = rows.withColumn("hits", hits)
     rows = rows.withColumn("kept", F.when(F.size("hits") > 0, _survivors(F.col("hits"))))
     own = F.coalesce(F.col("kept.labels"), F.array().cast("array<string>"))
     return rows.select(
