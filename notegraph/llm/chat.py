@@ -40,13 +40,14 @@ def leaf_paths(nodes: DataFrame) -> DataFrame:
     """(leaf, node, height) for each node on the way from a leaf (height 0) to its root.
 
     ``nodes`` has node (unique) and parent (null for a root).  A parent that is no node
-    ends a path like a null.
+    ends a path like a null.  A node whose parents never end, as they form a cycle or lead
+    into one, counts as having no parent.
     """
     known = nodes.select(F.col("node").alias("parent"))
     up = cut(nodes.select("node", "parent").join(known, "parent").select("node", "parent"))
     inner = up.select(F.col("parent").alias("node")).distinct()
     paths = nodes.join(inner, "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"))
-    span = 1
+    span, left = 1, up.count()
     while True:
         further = cut(paths.join(up, "node").select("leaf", F.col("parent").alias("node"), (F.col("height") + span).alias("height")))
         if further.isEmpty():
@@ -55,6 +56,11 @@ def leaf_paths(nodes: DataFrame) -> DataFrame:
         above = up.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         up = cut(up.join(above, "parent").select("node", F.col("above").alias("parent")))
         span *= 2
+        # Nodes that still have an ancestor twice as far get fewer each time, but for cycles.
+        before, left = left, up.count()
+        if left == before:
+            endless = up.select("node", F.lit(True).alias("_endless"))
+            return leaf_paths(nodes.join(endless, "node", "left").select("node", F.when(F.col("_endless").isNull(), F.col("parent")).alias("parent")))
 
 
 def best_branches(nodes: DataFrame, paths: DataFrame, most: int = 1) -> DataFrame:

@@ -144,7 +144,7 @@ python software | python-2.0      | 2 | 0.9  | python software foundation licens
 python software | psf             | 2 | 0.8  | python software foundation license
 cnri            | cnri-python     | 2 | 0.8  | cnri open source (?:gpl compatible )?license agreement
 zope public     | zpl-2.1         | 2 | 0.9  | zope public license(?:{v}2 \d)?
-qt public       | qpl-1.0         | 2 | 0.9  | q?qt public license(?:{v}1 0)?
+qt public       | qpl-1.0         | 2 | 0.9  | qt public license(?:{v}1 0)?
 tcl tk          | tcl             | 2 | 0.8  | tcl tk license
 w3c             | w3c             | 2 | 0.85 | w3c software (?:notice and )?(?:and document )?(?:notice and )?license
 vim license     | vim             | 2 | 0.8  | vim license

@@ -79,6 +79,17 @@ def test_best_branch_of_a_reply_tree(spark):
     assert formatted == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for t in "rae")
 
 
+def test_parents_in_a_cycle_end(spark):
+    """A ring of three with a tail of two leaves, a node that is its own parent, and a chain."""
+    parents = {"a": "b", "b": "c", "c": "a", "t": "a", "u": "t", "v": "t", "own": "own", "r": None, **{f"n{i}": f"n{i - 1}" if i else "r" for i in range(9)}}
+    df = spark.createDataFrame(list(parents.items()), "node string, parent string")
+    got = collections.defaultdict(list)
+    for r in chat.leaf_paths(df).orderBy("leaf", "height").collect():
+        got[r.leaf].append(r.node)
+    assert got == {**{x: [x] for x in ("a", "b", "c", "t", "u", "v", "own")}, "n8": [*(f"n{i}" for i in range(8, -1, -1)), "r"]}
+    assert chat.leaf_paths(df.where("node = 'own'")).collect()[0].leaf == "own"
+
+
 # ---- pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="page">
