@@ -48,10 +48,8 @@ def leaf_paths(nodes: DataFrame) -> DataFrame:
     inner = up.select(F.col("parent").alias("node")).distinct()
     paths = nodes.join(inner, "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"))
     span, left = 1, up.count()
-    while True:
-        further = cut(paths.join(up, "node").select("leaf", F.col("parent").alias("node"), (F.col("height") + span).alias("height")))
-        if further.isEmpty():
-            return paths
+    while left:
+        further = paths.join(up, "node").select("leaf", F.col("parent").alias("node"), (F.col("height") + span).alias("height"))
         paths = cut(paths.union(further))
         above = up.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         up = cut(up.join(above, "parent").select("node", F.col("above").alias("parent")))
@@ -61,6 +59,7 @@ def leaf_paths(nodes: DataFrame) -> DataFrame:
         if left == before:
             endless = up.select("node", F.lit(True).alias("_endless"))
             return leaf_paths(nodes.join(endless, "node", "left").select("node", F.when(F.col("_endless").isNull(), F.col("parent")).alias("parent")))
+    return paths
 
 
 def best_branches(nodes: DataFrame, paths: DataFrame, most: int = 1) -> DataFrame:
