@@ -4,18 +4,17 @@ Features are the shares of hashed byte 3-grams of the letters of a text.  A firs
 level tells language families apart, a second one the languages of a family; both
 levels are one-versus-one linear support vector machines.
 
-The machines are fitted on at most SAMPLE texts, dealt evenly over the languages (a
-bounded, documented sample: the rows with the least hashes); everything else reads all
-rows.  What leaves the executors is that sample's feature rows, of fixed size.
+The machines are fitted on SAMPLE texts, dealt evenly over all languages there are, one
+text each at least (a bounded, documented sample: the rows with the least hashes);
+everything else reads all rows.  What leaves the executors is the count of each language
+and that sample's feature rows, of fixed size.
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 #: Texts the machines are fitted on, and hashed 3-grams (a power of two).
 SAMPLE, DIMENSIONS = 4000, 4096
+#: Classes that are told apart at once, each pair by a machine.
+WIDEST = 16
 #: Families of languages; a language that is not named is its own family.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -94,61 +95,101 @@ class OneVersusOne:
         return np.array(self.classes, object)[best], least[np.arange(len(x)), best]
 
 
-@dataclass
+def grouped(centres: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` groups of classes, alike in size, by halving along the direction in
+    which their centres differ most."""
+    group = np.zeros(len(centres), int)
+    while len(np.unique(group)) * 2 <= most:
+        for g in np.unique(group):
+            own = np.flatnonzero(group == g)
+            if len(own) < 2:
+                continue
+            spread = centres[own] - centres[own].mean(axis=0)
+            along = spread @ np.linalg.svd(spread, full_matrices=False)[2][0]
+            group[own[np.argsort(along, kind="stable")[len(own) // 2 :]]] = group.max() + 1
+        if len(np.unique(group)) >= len(centres):
+            break
+    return group
+
+
 class LanguageModel:
-    """Families first, then the languages of the family that was found."""
+    """Families first, then the languages of the family that was found.
 
-    families: OneVersusOne
-    within: dict[str, OneVersusOne]
+    More than WIDEST families, or languages of one, are told apart by groups of like ones
+    first, so that the number of machines grows with that of languages, not its square.
+    """
 
-    @classmethod
-    def fit(cls, x: np.ndarray, languages: list[str]) -> LanguageModel:
+    def __init__(self, x: np.ndarray, languages: list[str]):
         y = np.array(languages, object)
         family = np.array([_FAMILY.get(c, c) for c in languages], object)
-        return cls(OneVersusOne(x, family), {f: OneVersusOne(x[family == f], y[family == f]) for f in set(family)})
+        self.classes = sorted(set(languages))
+        self._top = _Level(x, [family, y])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names = np.full(len(texts), UNKNOWN, object)
         scores = np.zeros(len(texts))
         at = np.array([i for i, t in enumerate(texts) if t and _LETTER.search(t)], int)
-        if len(at) and self.families.classes:
-            x = np.stack([features(texts[i]) for i in at])
-            family, margin = self.families.predict(x)
-            for f in set(family):
-                own = family == f
-                name, inner = self.within[f].predict(x[own])
-                names[at[own]] = name
-                scores[at[own]] = 1 / (1 + np.exp(-np.clip(2 * np.minimum(margin[own], inner), -30, 30)))
+        if len(at) and self.classes:
+            names[at], margin = self._top.predict(np.stack([features(texts[i]) for i in at]))
+            scores[at] = 1 / (1 + np.exp(-np.clip(2 * margin, -30, 30)))
         return names.tolist(), scores.tolist()
 
 
+class _Level:
+    """One-versus-one machines over the classes of the first of ``levels``, or over groups of
+    them, and a level below each."""
+
+    def __init__(self, x: np.ndarray, levels: list[np.ndarray]):
+        first = levels[0]
+        self.classes = sorted(set(first))
+        if len(self.classes) > WIDEST:
+            centres = np.stack([x[first == c].mean(axis=0) for c in self.classes])
+            of = dict(zip(self.classes, grouped(centres, WIDEST).tolist()))
+            first, below = np.array([of[c] for c in first], object), levels
+        else:
+            below = levels[1:]
+        self.machines = OneVersusOne(x, first)
+        self.below = {c: _Level(x[first == c], [level[first == c] for level in below]) for c in set(first)} if below else {}
+
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, margin = self.machines.predict(x)
+        for c, level in self.below.items():
+            own = found == c
+            if own.any():
+                name, inner = level.predict(x[own])
+                found[own], margin[own] = name, np.minimum(margin[own], inner)
+        return found, margin
+
+
 def held_out(doc_id: Column) -> Column:
     """One document of four takes no part in learning."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Fit on at most ``sample`` labelled rows that are not held out."""
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 10).collect()}
+    """Fit on ``sample`` labelled rows with a letter that are not held out; each row's own
+    text goes with its label, whatever other rows have its doc_id."""
+    labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     each = max(1, sample // max(1, len(counts)))
     # Hashes below a share of the range leave a little more than `each` rows of a language
-    # to be numbered, however many it has.
-    hashed = F.xxhash64("doc_id")
-    share = functools.reduce(lambda rest, c: F.when(F.col("lang") == c, min(1.0, (each + 6 * each**0.5 + 20) / counts[c])).otherwise(rest), counts, F.lit(0.0))
-    few = labelled.select("doc_id", "lang").where(F.pmod(hashed, F.lit(1 << 30)) < share * (1 << 30))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
-    chosen = few.withColumn("place", place).where(F.col("place") <= each)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), "doc_id")  # at most `sample` identifiers
+    # to be numbered, however many it has; their features are of fixed size.
+    rare = each + 6 * each**0.5 + 20
+    shares = docs.sparkSession.createDataFrame([(c, min(1.0, rare / n)) for c, n in counts.items()], "lang string, share double")
+    hashed = F.xxhash64("doc_id", "text")
+    few = labelled.withColumn("place", hashed).join(F.broadcast(shares), "lang").where(F.pmod("place", F.lit(1 << 30)) <= F.col("share") * (1 << 30))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = [(lang, features(t)) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()) if t and _LETTER.search(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in known], pa.string()), pa.array([v.astype(np.float16).tobytes() for _, v in known], pa.binary())], ["lang", "x"])
+            x = [features(t).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(x, pa.binary())], ["lang", "place", "x"])
 
-    got = texts.select("lang", "text").mapInArrow(rows, "lang string, x binary").limit(2 * sample).collect()
+    made = few.select("lang", "place", "text").mapInArrow(rows, "lang string, place long, x binary")
+    n = F.row_number().over(Window.partitionBy("lang").orderBy("place", "x"))
+    got = made.withColumn("n", n).where(F.col("n") <= each).select("lang", "x").collect()
+    got.sort()
     x = np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32).reshape(len(got), DIMENSIONS)
-    return LanguageModel.fit(x, [r["lang"] for r in got])
+    return LanguageModel(x, [r["lang"] for r in got])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
@@ -185,7 +226,7 @@ def documents_with_language(docs: DataFrame, model: LanguageModel | None = None)
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 texts = part.column("text").to_pylist()
-                if shared.value.families.classes:
+                if shared.value.classes:
                     keep = [n != UNKNOWN for n in shared.value.predict(texts)[0]]
                 else:
                     keep = [bool(t and _LETTER.search(t)) for t in texts]

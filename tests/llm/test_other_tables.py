@@ -9,6 +9,7 @@ import re
 import time
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,7 +216,7 @@ def test_language_hierarchy_on_held_out_rows(spark, odd, empty):
     rows = [(i, " ".join(rng.choice(SAID[lang]) for _ in range(rng.randint(15, 60))), lang, "s", 0) for i, lang in enumerate(rng.choice(list(SAID)) for _ in range(600))]
     docs = spark.createDataFrame(rows, DOCS)
     model = language.learn(docs, 300)
-    assert sorted(model.families.classes) == ["germanic", "romance", "slavic"] and model.within["germanic"].classes == ["de", "en"]
+    assert model._top.machines.classes == ["germanic", "romance", "slavic"] and model._top.below["germanic"].machines.classes == ["de", "en"]
     got = {r.doc_id: r for r in language.identify(docs, model).collect()}
     out = [r for r in rows if got[r[0]].held_out]
     assert 100 < len(out) < 200 and sum(got[r[0]].lang_pred == r[2] for r in out) >= 0.97 * len(out)
@@ -229,6 +230,60 @@ def test_language_hierarchy_on_held_out_rows(spark, odd, empty):
     assert {r.lang_pred for r in language.identify(docs.where("doc_id < 3").withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_one_versus_one(x, y, new):
+    """The class that wins most pairs, by one machine a pair, looked at one by one."""
+    classes, out = sorted(set(y)), []
+    machines = {}
+    for a in classes:
+        for b in classes:
+            if a < b:
+                own = [i for i, c in enumerate(y) if c in (a, b)]
+                machines[a, b] = language.linear_svm(x[own], np.array([1 if y[i] == a else -1 for i in own], x.dtype))
+    for row in new:
+        votes = collections.Counter()
+        for (a, b), w in machines.items():
+            m = float(row @ w[:-1] + w[-1])
+            votes[a] += (m > 0) + 1e-3 * math.tanh(m)
+            votes[b] += (m < 0) - 1e-3 * math.tanh(m)
+        out.append(max(classes, key=lambda c: votes[c]))
+    return out
+
+
+def test_language_levels_equal_plain_one_versus_one():
+    rng = random.Random(8)
+    said = [(" ".join(rng.choice(SAID[lang]) for _ in range(12)), lang) for lang in SAID for _ in range(40)]
+    rng.shuffle(said)
+    x, y = np.stack([language.features(t) for t, _ in said]), [c for _, c in said]
+    model = language.LanguageModel(x[:150], y[:150])
+    family = [language._FAMILY[c] for c in y]
+    first = plain_one_versus_one(x[:150], family[:150], x[150:])
+    want = []
+    for f, row in zip(first, x[150:]):
+        own = [i for i in range(150) if family[i] == f]
+        want.append(plain_one_versus_one(x[own], [y[i] for i in own], [row])[0])
+    assert model.predict([t for t, _ in said[150:]])[0] == want
+
+
+def test_every_language_is_learned_and_rows_keep_their_own_text(spark):
+    """Seventy languages without a family, fewer rows than languages in the sample, and a
+    doc_id that an unlabelled row of other text has as well."""
+    rng = random.Random(4)
+    sounds = {f"l{i}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)] for i in range(70)}
+    rows = [(n, " ".join(rng.choice(own) for _ in range(20)), lang, "s", 0) for n, (lang, own) in enumerate((k, v) for k, v in sounds.items() for _ in range(12))]
+    other = [(n, "entirely different words stand here", None, "s", 0) for n in range(0, len(rows), 2)]
+    docs = spark.createDataFrame(rows + other + rows[:5], DOCS)
+    for sample in (700, 60):
+        model = language.learn(docs, sample)
+        assert model.classes == sorted(sounds)
+        right = sum(p == r[2] for p, r in zip(model.predict([r[1] for r in rows])[0], rows))
+        assert right >= 0.97 * len(rows)
+
+    def machines(level):
+        return len(level.machines.pairs) + sum(map(machines, level.below.values()))
+
+    assert machines(model._top) < 70 * 16
+
+
 def test_nothing_to_learn_rejects_texts_without_a_letter_alone(spark, odd, empty):
     held = language.held_out(F.col("doc_id"))
     for docs in (odd.withColumn("lang", F.lit(None).cast("string")), odd.withColumn("lang", F.when(held, F.lit("en")))):
