@@ -20,8 +20,10 @@ the labels of the arcs.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -125,6 +127,7 @@ class WordTokenizer:
         self.labels = self.automaton.labels | {i: s for s, i in special.items()}
         self._special = {s: (np.array([i], "<u4").tobytes(), s) for s, i in special.items()}
         self._marks = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+        self._first = os.path.commonprefix(list(special))  # a quick test before the pattern
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._words = regex.compile(pattern.replace(r"\s", SPACE))
         self._odd, self._space = re.compile("[\x1c-\x1f]"), re.compile(f"[{SPACE}]+")
@@ -148,6 +151,8 @@ class WordTokenizer:
         words = [self._encode_word(w) for w in self._words.findall(chunk)]
         found = b"".join([w[0] for w in words]), " ".join([w[1] for w in words])
         if len(chunk) <= CHUNK_CHARS:
+            if len(self._chunk) > CHUNK_ENTRIES:
+                self._chunk.clear()
             self._chunk[chunk] = found
         return found
 
@@ -158,13 +163,11 @@ class WordTokenizer:
         text = text.lower()
         chunks = [c for c in self._space.split(text) if c] if self._odd.search(text) else text.split()
         known = self._chunk
-        if len(known) > CHUNK_ENTRIES:
-            known.clear()
         out = [known.get(c) or self._encode_chunk(c) for c in chunks]
         return b"".join([x[0] for x in out]), " ".join([x[1] for x in out])
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        if "<|" not in text or not self._marks.search(text):
+        if self._first not in text or not self._marks.search(text):
             return self._plain(text)
         parts = [self._special.get(x) or self._plain(x) for x in self._marks.split(text) if x]
         return b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts if x[1]])
@@ -175,7 +178,9 @@ class WordTokenizer:
         return " ".join([labels[i] for i in ids])
 
 
+@functools.lru_cache(1)
 def word_tokenizer(name: str = "word_bpe_49k.json") -> WordTokenizer:
+    """Kept from task to task of a Python worker, with the arcs it has unfolded."""
     import public_tokenizers as public
 
     return WordTokenizer(public.path(name))

@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 K, SCALE, EVERY = 10, 1024, 100
-SHARD_ROWS, BLOCK_QUERIES, STEP = 8192, 1024, 16
+#: Either side is copied once for each block of the other, so both are of one size.
+SHARD_ROWS, BLOCK_QUERIES, STEP = 8192, 8192, 16
+#: Sums of products below this are exact in 64-bit floats, which multiply faster.
+EXACT = 2**53
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -35,7 +38,7 @@ def max_score(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.nda
     upper = np.maximum(query * low, query * high)
     order = np.argsort(np.minimum(query * low, query * high) - upper, kind="stable")
     live = np.flatnonzero(ids != query_id)
-    partial = np.zeros(len(live), np.int64)
+    partial = np.zeros(len(live), vectors.dtype)
     threshold = None
     for start in range(0, len(order), STEP):
         terms = order[start : start + STEP]
@@ -88,6 +91,9 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
         width = max(matrix.shape[1], queries.shape[1])
         matrix, queries = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (matrix, queries))
         out = []
+        largest = int(np.abs(matrix).max(initial=0)) * int(np.abs(queries).max(initial=0)) * width
+        if largest < EXACT:
+            matrix, queries = matrix.astype(float), queries.astype(float)
         if len(ids):
             low, high = matrix.min(axis=0), matrix.max(axis=0)
             out = [(name, *max_score(ids, matrix, name, query, low, high, k)) for name, query in zip(names, queries)]
