@@ -13,7 +13,7 @@ class EngineConfig:
     skip_dirs: tuple[str, ...] = (".obsidian", ".trash", ".smart-env", ".git", "node_modules", "__pycache__")
     skip_hidden: bool = True
     suffixes: tuple[str, ...] = (".md",)
-    conflict_patterns: tuple[str, ...] = (r"(?i)\.sync-conflict-[0-9]", r"(?i)\(conflicted copy", r"(?i)\(\w+'s conflicted copy", r"(?i)-\w+-PC\.md$", r"^~\$")
+    conflict_patterns: tuple[str, ...] = (r"(?i)\.sync-conflict-[0-9]", r"(?i)\(conflicted copy", r"(?iU)\(\w+'s conflicted copy", r"(?iU)-\w+-PC\.md$", r"^~\$")
     # Dates.
     year_pivot: int = 40
     date_from_filename: bool = True

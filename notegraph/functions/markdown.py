@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 
-# The patterns of the markdown forms.
-FENCE = r"^ {0,3}(`{3,}|~{3,})\s*(\S*)"
-HEADING = r"^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
-KEY_VALUE = r"^(\w[\w .-]*?)\s*:\s*(.*)$"
-LIST_ITEM = r"^\s*-\s+(.*)$"
+# The patterns of the markdown forms; (?U) makes word characters and white
+# space those of Unicode.
+FENCE = r"(?U)^ {0,3}(`{3,}|~{3,})\s*(\S*)"
+HEADING = r"(?U)^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
+KEY_VALUE = r"(?U)^(\w[\w .-]*?)\s*:\s*(.*)$"
+LIST_ITEM = r"(?U)^\s*-\s+(.*)$"
 WIKILINK = r"(!?)\[\[([^\[\]|#]*?)(#[^\[\]|]*?)?(?:\|([^\[\]]*?))?\]\]"
-MARKDOWN_LINK = r"(!?)\[([^\[\]]*?)\]\(([^()\s]+)(?:\s+\"[^\"]*\")?\)"
-QUOTE = r"^\s{0,3}>+\s?"
-CALLOUT = r"^\s*\[!(\w+)\]([+-])?\s*(.*)$"
-TAG = r"(?m)(?:(?<=^)|(?<=\s))#([A-Za-z][\w/-]*)"
+MARKDOWN_LINK = r"(?U)(!?)\[([^\[\]]*?)\]\(([^()\s]+)(?:\s+\"[^\"]*\")?\)"
+QUOTE = r"(?U)^\s{0,3}>+\s?"
+CALLOUT = r"(?U)^\s*\[!(\w+)\]([+-])?\s*(.*)$"
+TAG = r"(?mU)(?:(?<=^)|(?<=\s))#([A-Za-z][\w/-]*)"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -30,7 +31,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def _first(items: Column) -> Column:
@@ -93,7 +94,7 @@ def parse_frontmatter(rows: Column) -> Column:
 def as_list(entry: Column) -> Column:
     """A frontmatter value as bare words: lists trimmed, single values split at commas and
     white space, leading # dropped."""
-    bare = F.when(entry["is_list"], F.transform(entry["vals"], strip)).otherwise(F.split(strip(entry["vals"][0]), r"[,\s]+"))
+    bare = F.when(entry["is_list"], F.transform(entry["vals"], strip)).otherwise(F.split(strip(entry["vals"][0]), r"(?U)[,\s]+"))
     words = F.transform(F.filter(bare, lambda x: x != ""), lambda x: F.regexp_replace(x, "^#+", ""))
     return F.coalesce(words, F.array().cast("array<string>"))
 
@@ -218,7 +219,7 @@ def markdown_links(text: Column) -> Column:
     bang, href = (F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(g)) for g in (1, 3))
     notes = F.transform(F.filter(F.arrays_zip(bang.alias("b"), href.alias("h")), lambda z: (z["b"] == "") & F.lower(z["h"]).endswith(".md")), lambda z: z["h"])
     no_images = F.regexp_replace(text, MARKDOWN_LINK.replace("(!?)", "!", 1), "")
-    bare = F.regexp_replace(no_images, r"\[\]\(([^()\s]+)(?:\s+\"[^\"]*\")?\)", "$1")
+    bare = F.regexp_replace(no_images, r"(?U)\[\]\(([^()\s]+)(?:\s+\"[^\"]*\")?\)", "$1")
     return F.struct(F.regexp_replace(bare, MARKDOWN_LINK.replace("(!?)", "", 1), "$1").alias("text"), notes.alias("links"))
 
 
@@ -226,10 +227,10 @@ def clean_prose(text: Column, config: EngineConfig = EngineConfig()) -> Column:
     """struct<text, links, embeds, tags> of a text outside fenced blocks."""
     out = F.regexp_replace(F.regexp_replace(text, r"(?s)%%.*?%%", ""), r"(?s)<!--.*?-->", "")
     out = F.regexp_replace(strip_callouts(out), r"(?s)==(.+?)==", "$1")
-    out = F.regexp_replace(out, r"\[\^[^\]\s]+\]:?", "")
+    out = F.regexp_replace(out, r"(?U)\[\^[^\]\s]+\]:?", "")
 
     def finish(wiki: Column, plain: Column) -> Column:
-        body = F.regexp_replace(F.regexp_replace(plain["text"], TAG, "$1"), r"(?m)\s\^[A-Za-z0-9-]{1,32}\s*$", "")
+        body = F.regexp_replace(F.regexp_replace(plain["text"], TAG, "$1"), r"(?mU)\s\^[A-Za-z0-9-]{1,32}\s*$", "")
         tags = F.regexp_extract_all(plain["text"], F.lit(TAG), F.lit(1))
         return F.struct(body.alias("text"), F.concat(wiki["links"], plain["links"]).alias("links"), wiki["embeds"].alias("embeds"), tags.alias("tags"))
 

@@ -65,7 +65,7 @@ def estimate_tokens(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """White space runs to one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def snippet(body: Column, terms: Column, width: int = 320) -> Column:

@@ -107,3 +107,14 @@ def test_fence_needs_its_own_character_and_length(spark):
     df = spark.createDataFrame([("````\n```\n~~~~\n````\nout\n~~~ x",)], "t string")
     masked = df.select(markdown.fence_mask(markdown.lines(F.col("t")))).first()[0]
     assert [r.inside for r in masked] == [True, True, True, True, False, True]
+
+
+def test_letters_and_white_space_beyond_ascii(spark):
+    from notegraph.sources import vault
+
+    text = "---\ntítulo: Año nuevo\ntags:\u00a0[niño, Größe]\n---\n#año/niño y #Größe\u00a0\n\n##\u00a0Título\u00a0\n> [!información] Día\n"
+    r = markdown.parse_notes(spark.createDataFrame([("n.md", text)], "path string, text string")).first()
+    assert r.frontmatter["título"].vals == ["Año nuevo"] and r.tags == ["niño", "Größe", "año/niño"]
+    assert [x.heading for x in r.sections] == ["n", "Título"] and r.sections[0].body == "año/niño y Größe" and r.sections[1].body == "Información: Día"
+    names = spark.createDataFrame([("Nota (José's conflicted copy).md",), ("n-Büro-PC.md",), ("Nota.md",)], "name string")
+    assert [x[0] for x in names.select(vault.is_conflict_name(F.col("name"))).collect()] == [True, True, False]
