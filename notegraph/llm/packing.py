@@ -34,7 +34,9 @@ CAPACITY = 2048
 #: Rows that one cell of a length should hold, and the least number of cells.
 CELL_ROWS, LEAST_CELLS = 1_000_000, 64
 #: Chunks that a Python worker remembers, and their longest; the store is emptied when full.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 64
+#: Latin letters, all of them letters in every version of Unicode.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Texts that are encoded together.
 AT_ONCE = 256
 
@@ -45,9 +47,11 @@ class ByteTokenizer:
 
     A space with anything but white space on one side starts a new pre-token, so texts are
     cut there, and the ids of each distinct chunk are made once.  Unknown chunks of a batch
-    go to the library as one text; its ids are dealt back by the bytes each one stands for.
-    A run of white space stays in one chunk, however long.  The string of a special token
-    is that token; it holds no space.
+    are cut once more, where a Latin letter meets punctuation or a digit and around a line
+    break of its own, which start pre-tokens as well; the library gets their unknown parts,
+    those that follow a space as one text, whose ids are dealt back by the bytes each one
+    stands for.  A run of white space stays in one chunk, however long.  The string of a
+    special token is that token; it holds no white space and is never cut.
     """
 
     def __init__(self, path: str):
@@ -61,17 +65,25 @@ class ByteTokenizer:
         # A character of a byte-level token stands for one byte.
         sizes = {i: len(label) for label, i in library.get_vocab(with_added_tokens=False).items()} | {i: len(t.content.encode()) for i, t in added.items()}
         self._bytes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
-        self._known: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}  # chunks after a space
+        self._tails: dict[str, bytes] = {}  # parts of chunks, without a space
         self._inner, self._cut = re.compile(r"(?<!\S) (?!\S)"), re.compile(r"(?<=\S) | (?=\S)")
+        special = {c for t in added.values() for c in t.content}
+        marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalpha() and c not in special)
+        self._part = re.compile(rf"(?<=[{LATIN}])(?=[{marks}])|(?<=[!-~{LATIN}])(?=\n)|(?<=[!-~{LATIN}]\n)(?=[{LATIN}])")
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4")
+        return self._each([text])[0]
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+    def _after_space(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that follow a space, which starts their first token."""
         # One that starts with white space could form a run with the end of another.
         joined = [c for c in chunks if c[:1].strip()]
-        out = {c: self._ids(" " + c).tobytes() for c in chunks if not c[:1].strip()}
+        alone = [c for c in chunks if not c[:1].strip()]
+        out = {c: ids.tobytes() for c, ids in zip(alone, self._each([" " + c for c in alone]))}
         if joined:
             ids = self._ids(" " + " ".join(joined))
             ends = np.cumsum([len(c.encode()) + 1 for c in joined])
@@ -82,16 +94,32 @@ class ByteTokenizer:
                 start = end
         return out
 
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not known, from those of their parts."""
+        cut, known, tails = self._part.split, self._known, self._tails
+        whole = {c for c in chunks if c.isalpha()}  # nothing to cut
+        parts = [(c, *cut(c)) for c in chunks - whole]
+        own = self._after_space(list(whole.union(p[1] for p in parts).difference(known)))
+        rest = list({t for p in parts for t in p[2:]}.difference(tails))
+        more = {t: ids.tobytes() for t, ids in zip(rest, self._each(rest))}
+        tails.update((t, ids) for t, ids in more.items() if len(t) <= CACHE_CHARS)
+        for chunk, head, *others in parts:
+            ids = own[head] if head in own else known[head]
+            own[chunk] = ids + b"".join([more[t] if t in more else tails[t] for t in others]) if others else ids
+        return own
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         known = self._known
-        if len(known) > CACHE_ENTRIES:
+        if len(known) + len(self._tails) > CACHE_ENTRIES:
             known.clear()
+            self._tails.clear()
         parts = [self._cut.split(t) if self._inner.search(t) else t.split(" ") for t in texts]
-        own = self._learn(list({c for chunks in parts for c in chunks[1:]}.difference(known)))
+        own = self._learn({c for chunks in parts for c in chunks[1:]}.difference(known))
         kept = {c: ids for c, ids in own.items() if len(c) <= CACHE_CHARS}
         known.update(kept)
         found = ChainMap(known, own).__getitem__ if len(kept) < len(own) else known.__getitem__
-        return [self._ids(first).tobytes() + b"".join(map(found, rest)) for first, *rest in parts]
+        firsts = self._each([first for first, *_ in parts])
+        return [first.tobytes() + b"".join(map(found, rest)) for first, (_, *rest) in zip(firsts, parts)]
 
 
 @functools.lru_cache(1)
