@@ -236,9 +236,10 @@ def pack_sources(spark, sf_dir):
 
 def pack_sources_transcluded(spark, sf_dir):
     """Rows only: what is offered depends on what was taken.  Tested against a plain loop."""
-    hits = _hits(spark, sf_dir).withColumn("body", F.concat("body", F.lit(" [embeds: "), (F.col("doc_id") % 1000).cast("string"), F.lit("]")))
-    links = hits.select(F.col("path").alias("src"), F.concat(F.lit("x/"), (F.col("doc_id") % 1000).cast("string")).alias("raw"), F.lit("embed").alias("kind"), F.col("path").alias("dst")).distinct()
-    moved = links.join(views.notes(spark, sf_dir).select(F.col("path").alias("dst"), "doc_id"), "dst").select("src", "raw", "kind", ((F.col("doc_id") + 1) % 1000).alias("doc_id"))
+    n = views.note_count(spark, sf_dir)
+    hits = _hits(spark, sf_dir).withColumn("body", F.concat("body", F.lit(" [embeds: "), (F.col("doc_id") % n).cast("string"), F.lit("]")))
+    links = hits.select(F.col("path").alias("src"), F.concat(F.lit("x/"), (F.col("doc_id") % n).cast("string")).alias("raw"), F.lit("embed").alias("kind"), F.col("path").alias("dst")).distinct()
+    moved = links.join(views.notes(spark, sf_dir).select(F.col("path").alias("dst"), "doc_id"), "dst").select("src", "raw", "kind", ((F.col("doc_id") + 1) % n).alias("doc_id"))
     edges = moved.join(views.notes(spark, sf_dir).select("doc_id", F.col("path").alias("dst")), "doc_id").select("src", "raw", "kind", "dst")
     return answer.pack_sources(answer.offers(hits, views.chunks(spark, sf_dir), edges), 900).select("query_id", "n", "path", "kind", "dropped")
 

@@ -177,7 +177,7 @@ def snippets(spark, sf_dir):
 def why_citation(spark, sf_dir):
     q, v = _asked(spark, sf_dir)
     hits = searcher(spark, sf_dir).search(q, SearchOptions(dedupe=1.0), v)
-    return hits.select("query_id", "chunk_id", retrieval.why(F.col("bm25_rank"), F.col("vector_rank"), F.col("boosted")).alias("why"), retrieval.citation(F.col("path"), F.col("ord") + 1).alias("citation"))
+    return hits.select("query_id", "chunk_id", retrieval.why(F.col("bm25_rank"), F.col("vector_rank"), F.col("boosted")).alias("why"), retrieval.citation(F.col("path"), F.col("start_line")).alias("citation"))
 
 
 def hits_json(spark, sf_dir):

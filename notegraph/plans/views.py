@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_terms
 
-QUESTION_TERMS = 8
 #: Words of a passage that are looked up before the passage is compared in full.
 PASSAGE_WORDS = 6
 
@@ -43,8 +42,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, q): the first terms of each passage."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(query_terms(F.col("text")), 1, QUESTION_TERMS), " ").alias("q"))
+    """(query_id, q): the terms of each whole passage, up to the limit of a question."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(query_terms(F.col("text")), " ").alias("q"))
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +83,16 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("query_id", (F.col("query_id") % n).alias("place")).join(own, "place").select("query_id", "vec")
 
 
+def note_count(spark: SparkSession, sf_dir: str) -> int:
+    return max(table(spark, sf_dir, "documents").count(), 1)
+
+
 def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, raw, kind): links written in five ways; every fifth one is an embed."""
+    """(src, raw, kind): links written in five ways, to notes all over the table; every
+    fifth one is an embed."""
     d = F.col("doc_id")
-    target = (d * 7 + 3) % 1000
+    n = note_count(spark, sf_dir)
+    target = (d * 7 + 3) % n
     raw = (
         F.when(d % 6 == 0, target.cast("string"))
         .when(d % 6 == 1, F.col("path"))
@@ -96,7 +101,7 @@ def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(d % 6 == 4, F.concat(F.lit("some/folder/"), target.cast("string"), F.lit(".MD")))
         .otherwise(F.concat(F.lit("concept "), (d % 40 + 1).cast("string")))
     )
-    more = F.concat(F.lit("Document "), ((d + 11) % 1000).cast("string"))
+    more = F.concat(F.lit("Document "), ((d + 11) % n).cast("string"))
     kind = F.when(d % 5 == 0, "embed").otherwise("link")
     own = notes(spark, sf_dir)
     return own.select(F.col("path").alias("src"), raw.alias("raw"), kind.alias("kind")).unionByName(own.select(F.col("path").alias("src"), more.alias("raw"), F.lit("link").alias("kind")))
@@ -126,7 +131,7 @@ SQL = {
       SELECT query_id, array_to_string(terms, ' ') AS q, terms FROM (
         SELECT item_id AS query_id, (SELECT list(w ORDER BY p) FROM (SELECT w, min(p) AS p FROM (
             SELECT unnest(t) AS w, unnest(range(len(t))) AS p FROM (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}\\p{N}]+)*') AS t))
-          GROUP BY w ORDER BY p LIMIT 8)) AS terms
+          GROUP BY w ORDER BY p LIMIT 32)) AS terms
         FROM benchmark))""",
     "expected": """expected AS (
       SELECT DISTINCT item_id AS query_id, path FROM benchmark b JOIN notes n ON contains(n.text, b.text)
@@ -136,11 +141,12 @@ SQL = {
       SELECT chunk_id, vec FROM chunks JOIN vectors ON (doc_id + ord) % (SELECT count(*) FROM vectors) = place)""",
     "question_vectors": """question_vectors AS (
       SELECT query_id, vec FROM questions JOIN vectors ON query_id % (SELECT count(*) FROM vectors) = place)""",
-    "raw_links": """raw_links AS (
-      SELECT path AS src, CASE doc_id % 6 WHEN 0 THEN ((doc_id * 7 + 3) % 1000)::VARCHAR WHEN 1 THEN path WHEN 2 THEN 'ALIAS ' || ((doc_id * 7 + 3) % 1000)
-               WHEN 3 THEN 'Concept ' || (doc_id % 40) WHEN 4 THEN 'some/folder/' || ((doc_id * 7 + 3) % 1000) || '.MD' ELSE 'concept ' || (doc_id % 40 + 1) END AS raw,
-             CASE WHEN doc_id % 5 = 0 THEN 'embed' ELSE 'link' END AS kind FROM notes
-      UNION ALL SELECT path, 'Document ' || ((doc_id + 11) % 1000), 'link' FROM notes)""",
+    "raw_links": """n_notes AS (SELECT greatest(count(*), 1) AS n FROM documents),
+    raw_links AS (
+      SELECT path AS src, CASE doc_id % 6 WHEN 0 THEN ((doc_id * 7 + 3) % n)::VARCHAR WHEN 1 THEN path WHEN 2 THEN 'ALIAS ' || ((doc_id * 7 + 3) % n)
+               WHEN 3 THEN 'Concept ' || (doc_id % 40) WHEN 4 THEN 'some/folder/' || ((doc_id * 7 + 3) % n) || '.MD' ELSE 'concept ' || (doc_id % 40 + 1) END AS raw,
+             CASE WHEN doc_id % 5 = 0 THEN 'embed' ELSE 'link' END AS kind FROM notes, n_notes
+      UNION ALL SELECT path, 'Document ' || ((doc_id + 11) % n), 'link' FROM notes, n_notes)""",
     "aliases": """aliases AS (SELECT path, ['Alias ' || doc_id, 'document ' || doc_id] AS aliases FROM notes)""",
 }
 
