@@ -70,8 +70,10 @@ def pack_sources(offers: DataFrame, budget: int) -> DataFrame:
 
 
 def offers(hits: DataFrame, chunks: DataFrame, links: DataFrame | None, options: AnswerOptions = AnswerOptions()) -> DataFrame:
-    """Hits with the excerpts of what they transclude, as ``pack_sources`` takes them."""
-    own = hits.select("query_id", "rank", F.lit(0).alias("part"), "path", F.lit("hit").alias("kind"), "body")
+    """Hits with the excerpts of what they transclude, as ``pack_sources`` takes them.
+    A hit's context, where the search attached some, follows its body in the same source."""
+    body = F.array_join(F.concat(F.array("body"), F.transform("context", lambda c: c["body"])), "\n\n") if "context" in hits.columns else F.col("body")
+    own = hits.select("query_id", "rank", F.lit(0).alias("part"), "path", F.lit("hit").alias("kind"), body.alias("body"))
     if links is None or not options.expand_transclusions:
         return own
     more = transclusions(hits, links).join(excerpts(chunks, options.excerpt_chars).withColumnRenamed("path", "target"), "target")

@@ -127,7 +127,7 @@ class Index:
     def searchable(self) -> DataFrame:
         """Chunks as ``retrieval.Searcher`` takes them: numbered, with their note's date."""
         dated = self.table("notes").select("path", "date")
-        return self.table("chunks").join(dated, "path").select(F.xxhash64("path", "ord").alias("chunk_id"), "path", "ord", "date", "breadcrumb", F.col("meta_text").alias("meta"), "body", "text_hash", "embed_text")
+        return self.table("chunks").join(dated, "path").select(F.xxhash64("path", "ord").alias("chunk_id"), "path", "ord", "start_line", "date", "breadcrumb", F.col("meta_text").alias("meta"), "body", "text_hash", "embed_text")
 
     def write(self, tables: dict[str, DataFrame], config: str = "", model: str = "") -> None:
         """Write ``tables`` as the next snapshot."""
@@ -141,8 +141,9 @@ class Index:
 
 def build(index: Index, found: DataFrame, config=None, full: bool = False, dry_run: bool = False) -> DataFrame:
     """Bring the index up to the notes in ``found`` (path, text, content_hash) and return
-    the changes.  A changed configuration, like ``full``, makes every note anew; with
-    ``dry_run`` nothing is written."""
+    the changes.  A changed configuration, like ``full``, makes every note anew.  Nothing is
+    written with ``dry_run``, or where nothing changed.  Vectors belong to texts, so those
+    of the last snapshot are kept, with their model, whatever the notes."""
     from ..config import EngineConfig
     from ..functions.chunking import chunk_notes
     from ..functions.dates import note_date
@@ -154,9 +155,13 @@ def build(index: Index, found: DataFrame, config=None, full: bool = False, dry_r
     own = index.manifest()
     old = None if own is None or full or own["config"] != key else {t: index.table(t) for t in ("notes", "chunks")}
     known = old["notes"] if old else found.where(F.lit(False))
-    status = changes(found, known).persist()
+    status = changes(found, known)
     if dry_run:
         return status
+    status.persist()
+    if old and status.where("status <> 'same'").isEmpty():
+        status.unpersist()  # a later build must not find these rows in the cache
+        return status
     todo = status.where(F.col("status").isin("new", "changed"))
     gone = status.where(F.col("status").isin("deleted", "changed"))
     parsed = parse_notes(found.join(todo.select("path"), "path", "left_semi"), config)
@@ -167,5 +172,8 @@ def build(index: Index, found: DataFrame, config=None, full: bool = False, dry_r
     if old:
         notes, chunks = without_notes(old["notes"], gone).unionByName(notes), without_notes(old["chunks"], gone).unionByName(chunks)
     raw = notes.select(F.col("path").alias("src"), F.explode("links").alias("raw"), F.lit("link").alias("kind")).unionByName(notes.select(F.col("path").alias("src"), F.explode("embeds").alias("raw"), F.lit("embed").alias("kind")))
-    index.write({"notes": notes, "chunks": chunks, "links": resolve_links(raw, notes)}, key)
+    model = own["model"] if own else ""
+    kept = {"vectors": index.table("vectors")} if model else {}
+    index.write({"notes": notes, "chunks": chunks, "links": resolve_links(raw, notes)} | kept, key, model)
+    status.unpersist()
     return status

@@ -115,6 +115,15 @@ def neighbour_context(hits: DataFrame, chunks: DataFrame, span: int) -> DataFram
     return found.join(others, ["query_id", "near_id"], "left_anti").select("query_id", "chunk_id", F.col("near_ord").alias("ord"), "near_id", F.col("near_body").alias("body"))
 
 
+def with_context(hits: DataFrame, chunks: DataFrame, span: int) -> DataFrame:
+    """``hits`` plus context: array<struct<ord, body>> of ``neighbour_context`` in note
+    order, empty where a hit has none; at most 2 * span entries."""
+    entries = F.array_sort(F.collect_list(F.struct("ord", "body"))).alias("context")
+    near = neighbour_context(hits, chunks, span).groupBy("query_id", "chunk_id").agg(entries)
+    none = F.array().cast(near.schema["context"].dataType)
+    return hits.join(near, ["query_id", "chunk_id"], "left").withColumn("context", F.coalesce("context", none))
+
+
 def why(bm25_rank: Column, vector_rank: Column, boosted: Column) -> Column:
     """Which retriever found a hit, as in ``b3 v11 link``."""
     return F.concat_ws(" ", F.concat(F.lit("b"), bm25_rank.cast("string")), F.concat(F.lit("v"), vector_rank.cast("string")), F.when(boosted, "link"))
@@ -125,11 +134,13 @@ def citation(path: Column, line: Column) -> Column:
 
 
 class Searcher:
-    """Search over one index: chunks (chunk_id, path, ord, date, breadcrumb, meta, body),
-    vectors (chunk_id, vec) and links (src, dst), the last two optional."""
+    """Search over one index: chunks (chunk_id, path, ord, date, breadcrumb, meta, body[,
+    start_line]), vectors (chunk_id, vec) and links (src, dst), the last two optional.
+    Without start_line every chunk is one line of its note."""
 
     def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, links: DataFrame | None = None):
-        self.chunks, self.vectors, self.links = chunks, vectors, links
+        own = chunks if "start_line" in chunks.columns else chunks.withColumn("start_line", F.col("ord") + 1)
+        self.chunks, self.vectors, self.links = own, vectors, links
 
     def ranked_lists(self, questions: DataFrame, options: SearchOptions, question_vectors: DataFrame | None = None) -> DataFrame:
         """(query_id, retriever, rank, chunk_id) before fusion."""
@@ -150,19 +161,21 @@ class Searcher:
     def candidates(self, questions: DataFrame, options: SearchOptions, question_vectors: DataFrame | None = None) -> DataFrame:
         """Fused, filtered and boosted, not yet selected."""
         fused = fuse(self.ranked_lists(questions, options, question_vectors), options.rrf_k, options.weights)
-        rows = fused.join(self.chunks.select("chunk_id", "path", "ord", "date"), "chunk_id").where(in_range(F.col("date"), options.since, options.until))
+        rows = fused.join(self.chunks.select("chunk_id", "path", "ord", "start_line", "date"), "chunk_id").where(in_range(F.col("date"), options.since, options.until))
         if self.links is None:
             return rows.withColumn("boosted", F.lit(False))
         return link_boost(rows, self.links, options.link_boost, options.rrf_k, options.link_seeds)
 
     def search(self, questions: DataFrame, options: SearchOptions = SearchOptions(), question_vectors: DataFrame | None = None) -> DataFrame:
-        """Hits (query_id, rank, chunk_id, path, ord, date, score, ranks, boosted, breadcrumb, body)."""
+        """Hits (query_id, rank, chunk_id, path, ord, start_line, date, score, ranks, boosted,
+        breadcrumb, body); with ``neighbours`` also context, as ``with_context`` gives it."""
         found = self.candidates(questions, options, question_vectors)
         if self.vectors is None:
             hits = select_capped(found, options.top_k, options.per_note)
         else:
             hits = select_diverse(found, self.vectors, options.top_k, options.per_note, options.dedupe)
-        return hits.join(self.chunks.select("chunk_id", "breadcrumb", "body"), "chunk_id")
+        hits = hits.join(self.chunks.select("chunk_id", "breadcrumb", "body"), "chunk_id")
+        return with_context(hits, self.chunks, options.neighbours) if options.neighbours > 0 else hits
 
     def explain(self, questions: DataFrame, options: SearchOptions = SearchOptions(), question_vectors: DataFrame | None = None) -> DataFrame:
         """Both lists of each question and whether the other has the chunk as well."""
@@ -172,8 +185,9 @@ class Searcher:
 
 
 def hits_json(hits: DataFrame) -> DataFrame:
-    """(query_id, json) of each hit."""
-    cite = citation(F.col("path"), F.col("ord") + 1)
+    """(query_id, json) of each hit; context is empty where the search attached none."""
+    cite = citation(F.col("path"), F.col("start_line"))
+    context = F.transform("context", lambda c: c["body"]) if "context" in hits.columns else F.array().cast("array<string>")
     ranks = F.struct(F.col("bm25_rank").alias("bm25"), F.col("vector_rank").alias("vector"))
-    fields = F.struct("rank", cite.alias("citation"), "path", (F.col("ord") + 1).alias("line"), "breadcrumb", F.col("date").cast("string").alias("date"), F.round("score", 6).alias("score"), ranks.alias("ranks"), "boosted", "body")
+    fields = F.struct("rank", cite.alias("citation"), "path", F.col("start_line").alias("line"), "breadcrumb", F.col("date").cast("string").alias("date"), F.round("score", 6).alias("score"), ranks.alias("ranks"), "boosted", "body", context.alias("context"))
     return hits.select("query_id", F.to_json(fields).alias("json"))

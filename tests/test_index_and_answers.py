@@ -69,6 +69,23 @@ def test_index_reports_search_and_vectors(spark, tmp_path):
         vectors.embed_texts(pending, "stub", lambda texts: [[1.0]] * 5).collect()
 
 
+def test_a_build_keeps_vectors_and_writes_only_changes(spark, tmp_path):
+    root = tmp_path / "vault"
+    write(root, {"One.md": "# A\n\nalpha"})
+    index = maintain.Index(spark, str(tmp_path / "index"))
+    maintain.build(index, vault.notes(spark, str(root)))
+    vectors = spark.createDataFrame([("h", "m", [1.0])], "text_hash string, model string, vec array<double>")
+    index.write({t: index.table(t) for t in ("notes", "chunks", "links")} | {"vectors": vectors}, index.manifest()["config"], "m")
+    before = index.manifest()
+    maintain.build(index, vault.notes(spark, str(root)))
+    assert index.manifest() == before
+    write(root, {"Two.md": "beta"})
+    maintain.build(index, vault.notes(spark, str(root)))
+    assert index.manifest()["snapshot"] == before["snapshot"] + 1 and index.manifest()["model"] == "m"
+    assert [tuple(r) for r in index.table("vectors").collect()] == [("h", "m", [1.0])]
+    assert {r.path: r.start_line for r in index.searchable().collect()} == {r.path: r.start_line for r in index.table("chunks").collect()}
+
+
 def test_kept_scores(spark, tmp_path):
     now = spark.createDataFrame([("m", 3, 0.5, 0.25)], "label string, n long, mrr double, r_at_1 double")
     evaluate.save(now, str(tmp_path / "scores"))

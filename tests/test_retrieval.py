@@ -1,10 +1,11 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from notegraph.config import SearchOptions
-from notegraph.operators import bm25, graph, retrieval, vectors
+from notegraph.operators import answer, bm25, graph, retrieval, vectors
 
 CHUNKS = [
     (1, "a.md", 0, None, "a", "a md", "alpha beta beta"), (2, "a.md", 1, None, "a", "a md", "beta gamma"), (3, "b.md", 0, "2024-01-05", "b beta", "b md", "delta"), (4, "c.md", 0, "2024-03-01", "c", "c md", "O'Brien said o brien"),
@@ -99,6 +100,20 @@ def test_context_leaves_hits_out(spark, chunks):
     assert retrieval.neighbour_context(both, chunks, 1).count() == 0
 
 
+def test_search_attaches_context_and_cites_lines(spark):
+    rows = [(i, "a.md", i, 10 * i + 3, None, "", "", body) for i, body in enumerate(["zero", "one alpha", "two", "three", "four alpha"])]
+    own = spark.createDataFrame(rows, "chunk_id long, path string, ord int, start_line int, date date, breadcrumb string, meta string, body string")
+    hits = retrieval.Searcher(own).search(ask(spark, "alpha"), SearchOptions(use_vector=False, neighbours=1))
+    found = {r.chunk_id: [(c.ord, c.body) for c in r.context] for r in hits.collect()}
+    assert found == {1: [(0, "zero"), (2, "two")], 4: [(3, "three")]}
+    packed = {r.rank: r.body for r in answer.offers(hits, own, None).collect()}
+    assert sorted(packed.values()) == ["four alpha\n\nthree", "one alpha\n\nzero\n\ntwo"]
+    shown = [json.loads(r.json) for r in retrieval.hits_json(hits).collect()]
+    assert {(h["citation"], h["line"], tuple(h["context"])) for h in shown} == {("a.md:13", 13, ("zero", "two")), ("a.md:43", 43, ("three",))}
+    plain = retrieval.Searcher(own).search(ask(spark, "alpha"), SearchOptions(use_vector=False))
+    assert all(json.loads(r.json)["context"] == [] for r in retrieval.hits_json(plain).collect())
+
+
 def test_links_resolve_by_depth_name_alias_and_never_to_self(spark):
     notes = spark.createDataFrame([("x/WV.md", ["Virginia W"]), ("WV.md", []), ("y/z/Other.md", None), ("y/Self.md", ["me"])], "path string, aliases array<string>")
     links = spark.createDataFrame(
