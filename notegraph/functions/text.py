@@ -40,11 +40,16 @@ def match_string(text: Column) -> Column:
     return F.array_join(F.transform(query_terms(text), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
 
 
+def _ascii(text: Column) -> Column:
+    """Whether every character is one byte; a look at two lengths, not at the characters."""
+    return F.octet_length(text) == F.length(text)
+
+
 def fold(text: Column) -> Column:
-    """Lower case, Latin diacritics removed, final sigma as sigma."""
+    """Lower case, Latin diacritics removed, final sigma as sigma; in ASCII only the case changes."""
     accented, plain = latin_folding()
     low = F.translate(F.lower(text), accented + "ς", plain + "σ")
-    return F.regexp_replace(low, r"[\x{300}-\x{36F}]", "")
+    return F.when(_ascii(text), F.lower(text)).otherwise(F.regexp_replace(low, r"[\x{300}-\x{36F}]", ""))
 
 
 def index_tokens(text: Column) -> Column:
@@ -54,7 +59,9 @@ def index_tokens(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """The size of ``index_tokens``, without making them."""
-    return F.regexp_count(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{300}-\x{36F}]", ""), F.lit(TOKEN))
+    known = F.coalesce(text, F.lit(""))
+    bare = F.when(_ascii(known), known).otherwise(F.regexp_replace(known, r"[\x{300}-\x{36F}]", ""))
+    return F.regexp_count(bare, F.lit(TOKEN))
 
 
 def estimate_tokens(text: Column) -> Column:

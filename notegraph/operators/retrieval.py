@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import SearchOptions
 from ..functions.text import query_terms
 from .bm25 import bm25_topk
+from .lineage import cut
 from .vectors import vector_topk
 
 
@@ -54,6 +55,7 @@ def link_boost(fused: DataFrame, links: DataFrame, boost: float, k: int = 60, se
     distinct notes, and the flag boosted.  The bonus is a fraction of one first place."""
     if not boost:
         return fused.withColumn("boosted", F.lit(False))
+    fused = cut(fused)  # at most two lists a question, read for the seeds and for the scores
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("vector_rank"))
     placed = fused.withColumn("place", F.row_number().over(order))
     first = placed.groupBy("query_id", "path").agg(F.min("place").alias("place"))

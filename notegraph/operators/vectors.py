@@ -48,10 +48,15 @@ def embed_texts(pending: DataFrame, model: str, provider: Callable[[list[str]],
 
 def check_dimensions(vectors: DataFrame) -> int:
     """The one dimension of all vectors; an error if models were mixed."""
-    low, high = vectors.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    return _shape(vectors)[1]
+
+
+def _shape(vectors: DataFrame) -> tuple[int, int]:
+    """Rows and dimension, in one pass."""
+    rows, low, high = vectors.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
     if low != high:
         raise ValueError(f"vectors have {low} to {high} dimensions; rebuild the index with one model")
-    return low or 0
+    return rows, low or 0
 
 
 def vector_topk(vectors: DataFrame, questions: DataFrame, n: int = 50, floor: float = 0.0) -> DataFrame:
@@ -60,8 +65,7 @@ def vector_topk(vectors: DataFrame, questions: DataFrame, n: int = 50, floor: fl
     ``vectors`` has (chunk_id, vec), ``questions`` (query_id, vec).  Scores under
     ``floor`` are left out.
     """
-    check_dimensions(vectors)
-    shards = -(-max(1, vectors.count()) // SHARD_ROWS)
+    shards = -(-max(1, _shape(vectors)[0]) // SHARD_ROWS)
     blocks = -(-max(1, questions.count()) // BLOCK_QUERIES)
 
     def best(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:

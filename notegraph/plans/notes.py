@@ -10,6 +10,7 @@ from ..config import AnswerOptions, EngineConfig, SearchOptions
 from ..functions import chunking, dates, markdown
 from ..functions import text as T
 from ..operators import answer, bm25, evaluate, graph, maintain, retrieval
+from ..operators.lineage import cut
 from ..sources import vault
 from ..streaming import think
 from . import retrieval as plans
@@ -298,7 +299,7 @@ def sse_decode(spark, sf_dir):
 def _ranks(spark, sf_dir):
     s, v = plans.searcher(spark, sf_dir), views.question_vectors(spark, sf_dir)
     q = views.questions(spark, sf_dir)
-    lists = s.ranked_lists(q, SearchOptions(), v)
+    lists = cut(s.ranked_lists(q, SearchOptions(), v))  # all modes fuse the same lists
     chunks = s.chunks.select("chunk_id", "path", "ord", "date")
     hits = None
     for label, o in MODES.items():
