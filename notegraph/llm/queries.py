@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, language, licenses, near_dedup, packing, sharding, topk
+from . import bpe, chat, exact_dedup, html_text, language, licenses, near_dedup, packing, sharding, token_files, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.coded_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_exact_topk, op4_sharding, op5_exact_dedup, op6_bpe, op7_language_id, op8_license_scan, op9_chat_formatting, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_exact_topk, op4_sharding, op5_exact_dedup, op6_bpe, op7_language_id, op8_license_scan, op9_chat_formatting, op10_html_extraction, op11_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
