@@ -56,5 +56,15 @@ def one_row_each(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     return rows.join(kept.select(F.col("key").alias("_row_key")), "_row_key", "left_semi").drop("_row_key")
 
 
+#: Rows of a table that may be copied to every task.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if a count shows that it has at most SMALL_ROWS rows;
+    beyond that joins are left to Spark, which splits hot keys."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

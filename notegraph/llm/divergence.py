@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
 SCALE = 1_000_000_000
 LEAST_DOCS, TOP_TERMS = 3, 200
@@ -132,9 +132,9 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = T
     langs = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("terms").alias("n_terms"), F.count("*").alias("n_groups"))
     width = F.greatest(F.lit(1), F.least(F.lit(MOST_TERMS), F.floor(cells / F.col("n_groups"))))
     langs = cut(langs.withColumn("blocks", F.ceil(F.col("n_terms") / width).cast("long")))
-    groups = cut(groups.select("lang", "source", "total").join(langs, "lang"))
+    groups = cut(groups.select("lang", "source", "total").join(small(langs), "lang"))
 
-    dealt = kept.join(langs.select("lang", "blocks"), "lang").select("lang", "source", "term", "n", F.pmod(F.xxhash64("term"), "blocks").alias("block"))
+    dealt = kept.join(small(langs.select("lang", "blocks")), "lang").select("lang", "source", "term", "n", F.pmod(F.xxhash64("term"), "blocks").alias("block"))
     heads = groups.where("blocks > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
 
     def price(key: tuple, rows: pa.Table, head: pa.Table) -> Iterator[pa.RecordBatch]:

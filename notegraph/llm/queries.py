@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, exact_dedup, html_text, language, licenses, near_dedup, packing, sharding, token_files, topk
+from . import bpe, chat, collocations, divergence, exact_dedup, html_text, language, licenses, near_dedup, packing, sharding, token_files, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,9 +63,13 @@ def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_exact_topk, op4_sharding, op5_exact_dedup, op6_bpe, op7_language_id, op8_license_scan, op9_chat_formatting, op10_html_extraction, op11_token_output, op12_divergence_audit)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_exact_topk, op4_sharding, op5_exact_dedup, op6_bpe, op7_language_id, op8_license_scan, op9_chat_formatting, op10_html_extraction, op11_token_output, op12_divergence_audit, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": topk.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE, "op12_divergence_audit": divergence.ORACLE}
+    return {"op3_exact_topk": topk.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op9_chat_formatting": chat.ORACLE, "op12_divergence_audit": divergence.ORACLE, "op13_collocations": collocations.ORACLE}
