@@ -18,26 +18,27 @@ import functools
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import SPACE
 from .common import checkpoint_dir, cut
 
 #: Tokens after which a file is closed; a document is never cut.
 FILE_TOKENS = 1 << 23
 #: The id that ends a document.
 END_ID = 1
-#: Chunks of text that a Python worker remembers, and their longest; the store is emptied when full.
+#: Words that a Python worker remembers, and their longest; the store is emptied when full.
 CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 64
-#: Texts that are encoded together, values packed together, positions looked up together.
-AT_ONCE, PACKED, LOOKUPS = 256, 1 << 20, 1 << 16
+#: Bytes of text that are encoded together, values packed together, positions looked up together.
+ENCODED, PACKED, LOOKUPS = 3 << 20, 1 << 20, 1 << 16
 
 _MAGIC = b"DACT"
 _HEAD = struct.Struct("<4sIQQQQQ")  # magic, levels, partition, place in it, its tokens before, documents, tokens
@@ -96,13 +97,13 @@ class TokenFile:
             self._levels.append((width, chunks, words, ranks))
 
     @staticmethod
-    def build(part: int, place: int, before: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-        """Image of the documents with these ids (little-endian unsigned 32-bit)."""
-        left = np.frombuffer(b"".join(ids), "<u4")
-        bounds = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype="<i8")
+    def build(part: int, place: int, before: int, doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
+        """Image of documents with so many of the ``ids`` each."""
+        left = ids.astype(np.uint32)
+        bounds = np.cumsum([0, *sizes], dtype="<i8")
         widths = best_widths(left)
         out = [
-            _HEAD.pack(_MAGIC, len(widths), part, place, before, len(ids), len(left)),
+            _HEAD.pack(_MAGIC, len(widths), part, place, before, len(sizes), len(left)),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             np.array([d is not None for d in doc_ids], np.uint8).tobytes(),
             bounds.tobytes(),
@@ -172,48 +173,89 @@ class TokenFile:
 
 
 class LibraryWords:
-    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit bytes.
-
-    The library drops white space and no word crosses it, so the ids of each distinct run of
-    other characters are made once.  Texts with the string of a special token go to the
-    library whole.
+    """Ids of whole texts by the tokenizers library, as little-endian bytes of ``dtype``.
+
+    The library drops white space, no word crosses it, and its first step is NFC and lower
+    case; so texts are brought to that form, and the ids of each distinct run of other
+    characters in a batch are made once.  Of unknown runs, Latin letters and marks behind them are
+    words of their own; the library gets all such words of a batch as one text, whose ids
+    are dealt back by the tokens that end a word.  Other runs go to the library as they are,
+    and so do texts with the string of a special token and a few others.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self._library = Tokenizer.from_file(path)
-        self._library.no_truncation()
-        self._library.no_padding()
-        special = [t.content for t in self._library.get_added_tokens_decoder().values()]
-        self._first = os.path.commonprefix(special)  # a quick test before the others
-        self._special = special
-        self._odd, self._space = re.compile("[\x1c-\x1f]"), re.compile(f"[{SPACE}]+")
+        self._library = library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        vocabulary = library.get_vocab(with_added_tokens=True)
+        self.dtype = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        suffix = library.model.end_of_word_suffix
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for label, i in vocabulary.items() if suffix and label.endswith(suffix)]] = True
+        self._special = [t.content for t in library.get_added_tokens_decoder().values()]
+        self._first = os.path.commonprefix(self._special)  # a quick test before the others
+        # Separators that are no white space to the library, and a letter whose lower case has a mark that NFC may move.
+        self._odd = re.compile("[\x1c-\x1fİ]")
+        marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum())
+        self._parts = re.compile(f"([a-zß-öø-ɏ]*)([{marks}]*)")
         self._known: dict[str, bytes] = {}
 
     def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _split(self, text: str) -> list[str]:
-        return [c for c in self._space.split(text) if c] if self._odd.search(text) else text.split()
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each_word(self, words: list[str]) -> list[bytes]:
+        """Ids of texts that are one word of the library each."""
+        ids = np.array(self._library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._each(words)
+        data, at = ids.tobytes(), (ends * ids.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *at], at)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
         known = self._known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        whole = {i for i, t in enumerate(texts) if self._special and self._first in t and any(s in t for s in self._special)}
-        chunks = [[] if i in whole else self._split(t) for i, t in enumerate(texts)]
-        fresh = list(set().union(*chunks).difference(known))
-        own = dict(zip(fresh, self._each(fresh)))
-        long = {c: own.pop(c) for c in fresh if len(c) > CACHE_CHARS}
-        known.update(own)
-        get = known.__getitem__ if not long else lambda c: long[c] if c in long else known[c]
-        out = [b"".join(map(get, c)) for c in chunks]
-        for i, ids in zip(whole, self._each([texts[i] for i in whole])):
+        out = list(map(known.get, chunks))
+        parts, others = {}, []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            found = self._parts.fullmatch(chunks[i])
+            if found:
+                parts[i] = found.groups()
+            else:
+                others.append(i)
+        fresh = list({w for p in parts.values() for w in p}.difference(known, ("",)))
+        own = dict(zip(fresh, self._each_word(fresh))) if fresh else {}
+        known.update((w, ids) for w, ids in own.items() if len(w) <= CACHE_CHARS)
+        for i, (head, tail) in parts.items():
+            out[i] = (own.get(head) or known[head] if head else b"") + (own.get(tail) or known[tail] if tail else b"")
+        for i, ids in zip(others, self._each([chunks[i] for i in others])):
             out[i] = ids
         return out
 
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        whole = {i for i, t in enumerate(texts) if self._first in t and any(s in t for s in self._special) or self._odd.search(t)}
+        # lower() gives a final sigma at word ends, the library none
+        plain = ["" if i in whole else t.lower() if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for i, t in enumerate(texts)]
+        split = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
+        chunks = split.flatten().dictionary_encode()
+        at = chunks.indices.to_numpy()
+        ids = self._chunks(chunks.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.dtype).itemsize
+        starts, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), self.dtype)
+        size = sizes[at]
+        ends = np.cumsum(size)
+        flat = data[np.repeat(starts[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends)[split.offsets.to_numpy()].tolist()
+        out = [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        for i, own in zip(whole, self._each([texts[i] for i in whole])):
+            out[i] = own
+        return out
+
 
 @functools.lru_cache(1)
 def library_words(name: str = "word_bpe_49k.json") -> LibraryWords:
@@ -223,18 +265,26 @@ def library_words(name: str = "word_bpe_49k.json") -> LibraryWords:
     return LibraryWords(public.path(name))
 
 
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ENCODED bytes of text each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    number = np.cumsum(sizes, dtype=np.int64) // ENCODED
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)]
+    return zip(cuts, cuts[1:])
+
+
 def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, row, n_tokens, ids) of ``docs`` (doc_id, text): ids as bytes, the end id last;
-    row tells repeats apart."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(doc_id, row, n_tokens, ids) of ``docs`` (doc_id, text): ids as bytes, two or four for
+    each, the end id last; row tells repeats apart."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = library_words(tokenizer)
+        end = np.array([end_id], words.dtype).tobytes()
         for batch in batches:
-            for begin in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(begin, AT_ONCE)
+            for begin, stop in _portions(batch.column("text")):
+                part = batch.slice(begin, stop - begin)
                 ids = [x + end for x in words.encode_batch([t or "" for t in part.column("text").to_pylist()])]
-                columns = [part.column("doc_id"), part.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                columns = [part.column("doc_id"), part.column("row"), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_tokens", "ids"])
 
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, "doc_id long, row long, n_tokens long, ids binary")
@@ -252,22 +302,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = before = tokens = part = 0
-        names, ids = [], []
+        names, sizes, ids = [], [], []
 
         def close() -> pa.RecordBatch:
             nonlocal place, before, tokens
-            image = TokenFile.build(part, place, before, names, ids)
+            data = b"".join(ids)
+            image = TokenFile.build(part, place, before, names, sizes, np.frombuffer(data, f"<u{len(data) // tokens}"))
             place, before, tokens = place + 1, before + tokens, 0
-            names.clear()
-            ids.clear()
+            for column in (names, sizes, ids):
+                column.clear()
             return pa.RecordBatch.from_arrays([pa.array([image], pa.binary())], ["image"])
 
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for doc_id, size, own in zip(batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("ids")):
                 names.append(doc_id)
+                sizes.append(size)
                 ids.append(own.as_py())
-                tokens += len(ids[-1]) // 4
+                tokens += size
                 if tokens >= file_tokens:
                     yield close()
         if ids:
@@ -275,7 +327,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
 
     order = [F.col("doc_id").isNull(), "doc_id", "row"]
     laid = encoded.repartitionByRange(max(1, files), *order).sortWithinPartitions(*order)
-    images = laid.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("part")).mapInArrow(build, "image binary")
+    images = laid.select("doc_id", "n_tokens", "ids", F.spark_partition_id().cast("long").alias("part")).mapInArrow(build, "image binary")
     # The text writer passes bytes on as they are; the line break behind an image is not read.
     images.select(F.col("image").cast("string")).write.option("maxRecordsPerFile", 1).text(f"{path}/files")
 
