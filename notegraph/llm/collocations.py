@@ -25,10 +25,10 @@ import bisect
 import struct
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +37,8 @@ from .common import cut, small
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Bytes of text of a block and of a range; runs sampled for a range; documents in so many that are sampled.
 BLOCK_BYTES, RANGE_BYTES, SAMPLED, ONE_IN = 8 << 20, 8 << 20, 32, 8
+#: Of counts as decimals: 38 digits hold both products.
+SCORE = "(CAST(1000 AS DECIMAL(4, 0)) * {a} * {n}) div ({l} * {r})"
 
 _SPLITS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(0x2E if b in _SPLITS else b + 32 if 0x41 <= b <= 0x5A else 0x20 if b == 0x09 else b for b in range(256))
@@ -57,8 +59,19 @@ def _slices(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def _words(data: bytes) -> list[bytes]:
-    return data.replace(_MARK, b" . ").split()
+def _words(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of ``data`` in order, and the place in them, from 1, of each word;
+    0 for a mark."""
+    split = pc.split_pattern(pa.array([data.replace(_MARK, b" . ")], pa.large_binary()), pattern=" ")
+    found = split.flatten().dictionary_encode()
+    known, at = found.dictionary.to_pylist(), found.indices.to_numpy()
+    order = sorted((i for i, w in enumerate(known) if w and w != _MARK), key=known.__getitem__)
+    place = np.full(len(known), -1, np.int32)
+    place[order] = np.arange(1, len(order) + 1)
+    if _MARK in known:
+        place[known.index(_MARK)] = 0
+    ids = place[at]
+    return [known[i] for i in order], ids[ids >= 0]
 
 
 def _runs(ids: np.ndarray) -> np.ndarray:
@@ -76,12 +89,15 @@ def _summed(runs: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndar
     if not len(runs):
         return runs, counts
     bits = int(n_words).bit_length()
-    columns = runs.astype(np.int64).T
-    if 3 * bits <= 62:
-        keys = ((columns[3] << bits) | columns[4], (columns[0] << 2 * bits) | (columns[1] << bits) | columns[2])
-    else:
-        keys = columns[::-1]
-    order = np.lexsort(keys)
+
+    def key(columns: tuple[int, ...]) -> np.ndarray:
+        out = runs[:, columns[0]].astype(np.int64)
+        for k in columns[1:]:
+            out <<= bits
+            out |= runs[:, k]
+        return out
+
+    order = np.lexsort((key((3, 4)), key((0, 1, 2))) if 3 * bits <= 62 else runs.T[::-1])
     runs, counts = runs[order], counts[order]
     first = np.flatnonzero(np.r_[True, (runs[1:] != runs[:-1]).any(axis=1)])
     return runs[first], np.add.reduceat(counts, first)
@@ -203,25 +219,23 @@ def _by_lang(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
             yield name, block
 
 
-def splitters(texts: DataFrame, n: int) -> list[tuple]:
-    """``n`` - 1 runs, each with its language before it, that cut all runs into parts of like
-    size; the driver sorts about ``SAMPLED`` sampled runs for each part."""
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def splitters(texts: DataFrame, total: int, n: int) -> list[tuple]:
+    """``n`` - 1 runs, each with its language before it, that cut all runs of ``total`` bytes
+    into parts of like size; the driver sorts about ``SAMPLED`` sampled runs for each part."""
+    if n < 2:
+        return []
     step = max(1, total // (6 * ONE_IN * SAMPLED * n))  # a word with its space takes about six bytes
 
     def sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skip = step // 2
         for lang, data in _by_lang(batches):
-            words, out = _words(data), []
-            for at in range(skip, len(words), step):
-                run = words[at : at + WORDS]
-                run = run[: run.index(_MARK)] if _MARK in run else run
-                if run:
-                    out.append(b" ".join(run))
-            skip = (skip - len(words)) % step
+            words, ids = _words(data)
+            runs = _runs(ids)
+            out = [b" ".join([words[w - 1] for w in run if w]) for run in runs[skip::step].tolist()]
+            skip = (skip - len(runs)) % step
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(out, pa.binary())], ["lang", "run"])
 
-    rows = texts.where(F.rand(7) * ONE_IN < 1).mapInArrow(sample, "lang string, run binary").collect() if n > 1 else []
+    rows = texts.where(F.rand(7) * ONE_IN < 1).mapInArrow(sample, "lang string, run binary").collect()
     keys = sorted((r["lang"].encode(), *bytes(r["run"]).split(b" ")) for r in rows)
     return sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
 
@@ -232,19 +246,13 @@ def phrases(docs: DataFrame, least: int = LEAST, range_bytes: int = RANGE_BYTES)
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    known = spark.sparkContext.broadcast(splitters(texts, -(-total // range_bytes)))  # one run for each range_bytes of text
+    known = spark.sparkContext.broadcast(splitters(texts, total, -(-total // range_bytes)))  # one run for each range_bytes of text
 
     def count_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = known.value
         for lang, data in _by_lang(batches):
-            numbers: dict[bytes, int] = defaultdict(count().__next__)
-            found = _words(data)
-            ids = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
-            del found
-            words = sorted(w for w in numbers if w != _MARK)
-            place = np.zeros(len(numbers), np.int32)
-            place[[numbers[w] for w in words]] = np.arange(1, len(words) + 1)
-            runs = _runs(place[ids]) if len(ids) else np.zeros((0, WORDS), np.int32)
+            words, ids = _words(data)
+            runs = _runs(ids)
             runs, counts = _summed(runs, np.ones(len(runs), np.int64), len(words))
             key = lang.encode()
 
@@ -296,8 +304,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, range_byte
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
     exact = {c: f"CAST({c} AS DECIMAL(19, 0))" for c in "alnr"}
-    score = F.expr(f"(CAST(1000 AS DECIMAL(4, 0)) * {exact['a']} * {exact['n']}) div ({exact['l']} * {exact['r']})")
-    scored = cuts.join(n, "lang").withColumn("score", score)
+    scored = cuts.join(n, "lang").withColumn("score", F.expr(SCORE.format(**exact)))
     weakest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("w")).select("lang", "phrase", "w.a", "w.l", "w.r", "w.n", "w.score")
 
     lengths = F.sequence(F.lit(2), F.col("size") - 1)

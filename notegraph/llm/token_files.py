@@ -7,9 +7,9 @@ ones before each block of 512 bits turns the place of an id in one level into it
 in the next, so any token is read from a few bytes without decoding its neighbours.  The
 widths are those that make the file smallest, by the histogram of the ids' bits.
 
-Documents are encoded, range-partitioned by doc_id and laid down by Spark's own writer,
-one file for about FILE_TOKENS tokens, so a retried task leaves nothing behind and any
-store that Spark writes to will do.  A manifest beside the files says where each begins.
+Documents are range-partitioned by doc_id, encoded and laid down by Spark's own writer, one
+file for FILE_TOKENS tokens at most and a document, so a retried task leaves nothing behind
+and any store that Spark writes to will do.  A manifest beside the files says where each begins.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import checkpoint_dir, cut
 
 #: Tokens after which a file is closed; a document is never cut.
 FILE_TOKENS = 1 << 23
+#: Bytes of text that a token stands for, about; only the number of files depends on it.
+TEXT_BYTES = 2
 #: The id that ends a document.
 END_ID = 1
 #: Words that a Python worker remembers, and their longest; the store is emptied when full.
@@ -273,41 +275,25 @@ def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
     return zip(cuts, cuts[1:])
 
 
-def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, row, n_tokens, ids) of ``docs`` (doc_id, text): ids as bytes, two or four for
-    each, the end id last; row tells repeats apart."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = library_words(tokenizer)
-        end = np.array([end_id], words.dtype).tobytes()
-        for batch in batches:
-            for begin, stop in _portions(batch.column("text")):
-                part = batch.slice(begin, stop - begin)
-                ids = [x + end for x in words.encode_batch([t or "" for t in part.column("text").to_pylist()])]
-                columns = [part.column("doc_id"), part.column("row"), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_tokens", "ids"])
-
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, "doc_id long, row long, n_tokens long, ids binary")
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> None:
     """Encode ``docs`` (doc_id, text) and write them under ``path``, which must not exist, in
     ascending order of doc_id, null ones last; repeated rows and doc_ids are documents of
     their own, in any order.  A null or empty text is the end id alone.  An empty table
-    gives a manifest without files.  Other columns are ignored."""
+    gives a manifest without files.  Other columns are ignored.
+
+    Texts are ordered first and encoded where their file is written, so nothing but the
+    texts goes through a shuffle and nothing else is kept on the way."""
     spark = docs.sparkSession
-    encoded = cut(encode(docs, tokenizer, end_id))
-    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    files = -(-total // file_tokens)
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = library_words(tokenizer)
+        end = np.array([end_id], words.dtype).tobytes()
         place = before = tokens = part = 0
         names, sizes, ids = [], [], []
 
         def close() -> pa.RecordBatch:
             nonlocal place, before, tokens
-            data = b"".join(ids)
-            image = TokenFile.build(part, place, before, names, sizes, np.frombuffer(data, f"<u{len(data) // tokens}"))
+            image = TokenFile.build(part, place, before, names, sizes, np.frombuffer(b"".join(ids), words.dtype))
             place, before, tokens = place + 1, before + tokens, 0
             for column in (names, sizes, ids):
                 column.clear()
@@ -315,19 +301,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
 
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for doc_id, size, own in zip(batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("ids")):
-                names.append(doc_id)
-                sizes.append(size)
-                ids.append(own.as_py())
-                tokens += size
-                if tokens >= file_tokens:
-                    yield close()
+            for begin, stop in _portions(batch.column("text")):
+                rows = batch.slice(begin, stop - begin)
+                for doc_id, own in zip(rows.column("doc_id").to_pylist(), words.encode_batch([t or "" for t in rows.column("text").to_pylist()])):
+                    names.append(doc_id)
+                    ids.append(own + end)
+                    sizes.append(len(ids[-1]) // len(end))
+                    tokens += sizes[-1]
+                    if tokens >= file_tokens:
+                        yield close()
         if ids:
             yield close()
 
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # row spreads repeats over range partitions; a retry may number rows anew, which changes no result.
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     order = [F.col("doc_id").isNull(), "doc_id", "row"]
-    laid = encoded.repartitionByRange(max(1, files), *order).sortWithinPartitions(*order)
-    images = laid.select("doc_id", "n_tokens", "ids", F.spark_partition_id().cast("long").alias("part")).mapInArrow(build, "image binary")
+    laid = rows.repartitionByRange(max(1, -(-total // (TEXT_BYTES * file_tokens))), *order).sortWithinPartitions(*order)
+    images = laid.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(build, "image binary")
     # The text writer passes bytes on as they are; the line break behind an image is not read.
     images.select(F.col("image").cast("string")).write.option("maxRecordsPerFile", 1).text(f"{path}/files")
 
