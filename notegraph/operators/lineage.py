@@ -6,6 +6,10 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that may be copied to every task.
+SMALL_ROWS = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,3 +36,10 @@ def cut(df: DataFrame) -> DataFrame:
     a lost executor costs a read, not a recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if a count shows that it has at most SMALL_ROWS rows;
+    beyond that joins are left to Spark, which splits hot keys.  Give a table that is cheap
+    to count, such as a cut one."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
