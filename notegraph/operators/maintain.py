@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+from .bm25 import KeywordIndex, cell, doc_lengths, postings
+from .lineage import cut
+from .snapshots import Tables, bucket_of
 
 
 def changes(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -72,43 +72,29 @@ def latest_notes(notes: DataFrame, limit: int = 25) -> DataFrame:
     return notes.where("date IS NOT NULL").select("path", "date", "date_source").orderBy(F.desc("date"), "path").limit(limit)
 
 
-class Index:
-    """A folder of Parquet tables, each snapshot in a folder of its own.
-
-    A build writes a new snapshot and then the manifest that names it, so readers see
-    the old one or the new one.  A manifest of another schema version is an error.
-    """
-
-    TABLES = ("notes", "chunks", "links", "vectors")
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+class Index(Tables):
+    """The tables of a note collection: notes, chunks, postings and lengths of the chunks by
+    path, links by their source, vectors by the hash of their text."""
 
-    def _manifests(self) -> DataFrame | None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.json(f"{self.path}/manifest", schema="snapshot long, schema_version int, config string, model string") if fs.exists(hadoop) else None
+    KEYS = {"notes": "path", "chunks": "path", "postings": "path", "lengths": "path", "links": "src", "vectors": "text_hash"}
+    #: What every build writes; a snapshot without one of them is made anew.
+    WHOLE = ("notes", "chunks", "postings", "lengths", "links")
+    #: Postings lie in cells of terms, in the order of terms, so a search opens few of them.
+    WITHIN = {"postings": "cell"}
+    SORTED = {"notes": ("path",), "chunks": ("path", "ord"), "postings": ("term", "chunk_id"), "links": ("src",)}
 
-    def manifest(self) -> dict | None:
-        rows = self._manifests()
-        last = rows.orderBy(F.desc("snapshot")).first() if rows is not None else None
-        if last is None:
-            return None
-        if last["schema_version"] != SCHEMA_VERSION:
-            raise ValueError(f"the index has schema version {last['schema_version']}, not {SCHEMA_VERSION}; rebuild it")
-        return last.asDict()
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, cells: int = 16):
+        super().__init__(spark, path, buckets)
+        self.cells = cells
 
-    def table(self, name: str) -> DataFrame:
+    def vectors(self) -> DataFrame:
+        """(text_hash, model, dim, vec), of all models."""
         own = self.manifest()
-        if own is None:
-            raise FileNotFoundError(f"no index at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/snapshot-{own['snapshot']}/{name}")
+        return self.table("vectors") if own and "vectors" in own["schemas"] else self.spark.createDataFrame([], VECTORS)
 
     def stats(self) -> DataFrame:
         """(name, n) of the tables there are."""
-        own = {name: self.table(name) for name in ("notes", "chunks", "links")}
-        vectors = self.table("vectors") if self.manifest()["model"] else own["notes"].limit(0)
-        return index_stats(own["notes"], own["chunks"], own["links"], vectors)
+        return index_stats(self.table("notes"), self.table("chunks"), self.table("links"), self.vectors())
 
     def links_report(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Edge counts, the most linked notes and the links without a note."""
@@ -122,58 +108,131 @@ class Index:
 
     def show(self, path: str) -> DataFrame:
         """The chunks of one note in order."""
-        return self.table("chunks").where(F.col("path") == path).orderBy("ord")
+        bucket = self.spark.range(1).select(bucket_of(F.lit(path), self.buckets)).first()[0]
+        return self.table("chunks", {bucket}).where(F.col("path") == path).orderBy("ord")
 
     def searchable(self) -> DataFrame:
         """Chunks as ``retrieval.Searcher`` takes them: numbered, with their note's date."""
         dated = self.table("notes").select("path", "date")
-        return self.table("chunks").join(dated, "path").select(F.xxhash64("path", "ord").alias("chunk_id"), "path", "ord", "start_line", "date", "breadcrumb", F.col("meta_text").alias("meta"), "body", "text_hash", "embed_text")
-
-    def write(self, tables: dict[str, DataFrame], config: str = "", model: str = "") -> None:
-        """Write ``tables`` as the next snapshot."""
+        return self.table("chunks").join(dated, "path").select(chunk_id(), "path", "ord", "start_line", "date", "breadcrumb", F.col("meta_text").alias("meta"), "body", "text_hash", "embed_text")
+
+    def keywords(self) -> KeywordIndex:
+        """The stored postings, for ``retrieval.Searcher`` and ``bm25_topk``."""
+        return KeywordIndex(self.searchable(), self.table("postings").drop("path"), self.table("lengths").drop("path"), self.cells)
+
+    def pending(self, model: str) -> DataFrame:
+        """The texts (text_hash, embed_text) that ``model`` has no vector for."""
+        return pending_vectors(self.table("chunks"), self.vectors(), model)
+
+    def embed(self, model: str, provider, batch: int = 16, commit_texts: int = 100_000, retries: int = 2) -> int:
+        """Embed what is pending for ``model`` and return how many texts that were.
+
+        Texts go to ``provider`` in batches; about ``commit_texts`` at a time are committed,
+        so a run that dies repeats no committed part.  Vectors of other models stay, under
+        their own key, until ``drop_vectors``."""
+        from .vectors import embed_texts
+
+        todo = cut(self.pending(model))
+        total = todo.count()
+        parts = -(-total // commit_texts)
+        for part in range(parts):
+            own = todo.where(F.pmod(F.xxhash64("text_hash"), F.lit(parts)) == part)
+            made, schema = self.write_buckets("vectors", embed_texts(own, model, provider, batch, retries))
+            last = self.manifest()
+            self.commit(last["files"] | {"vectors": last["files"].get("vectors", []) + made}, last["schemas"] | {"vectors": schema}, last["config"], model)
+        return total
+
+    def drop_vectors(self, model: str | None = None) -> None:
+        """Drop the vectors that no chunk needs, and with ``model`` those of all others."""
+        own = vacuum_vectors(self.vectors(), self.table("chunks"))
+        own = own if model is None else own.where(F.col("model") == model)
         last = self.manifest()
-        n = last["snapshot"] + 1 if last else 0
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/snapshot-{n}/{name}")
-        row = json.dumps({"snapshot": n, "schema_version": SCHEMA_VERSION, "config": config, "model": model})
-        self.spark.range(1).select(F.lit(row).alias("value")).coalesce(1).write.mode("append").text(f"{self.path}/manifest")
-
-
-def build(index: Index, found: DataFrame, config=None, full: bool = False, dry_run: bool = False) -> DataFrame:
-    """Bring the index up to the notes in ``found`` (path, text, content_hash) and return
-    the changes.  A changed configuration, like ``full``, makes every note anew.  Nothing is
-    written with ``dry_run``, or where nothing changed.  Vectors belong to texts, so those
-    of the last snapshot are kept, with their model, whatever the notes."""
-    from ..config import EngineConfig
+        self.replace({"vectors": set(range(self.buckets))}, {"vectors": own}, last["config"], model or last["model"])
+
+    def chunk_vectors(self, model: str) -> DataFrame:
+        """(chunk_id, vec) for ``retrieval.Searcher``."""
+        own = self.vectors().where(F.col("model") == model).select("text_hash", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+        return self.table("chunks").select(chunk_id(), "text_hash").join(own, "text_hash").select("chunk_id", "vec")
+
+
+VECTORS = "text_hash string, model string, dim int, vec array<float>"
+
+
+def chunk_id() -> Column:
+    return F.xxhash64("path", "ord").alias("chunk_id")
+
+
+def _made(found: DataFrame, config, cells: int) -> dict[str, DataFrame]:
+    """notes, chunks, postings and lengths of the notes in ``found``; each note is parsed once."""
     from ..functions.chunking import chunk_notes
     from ..functions.dates import note_date
     from ..functions.markdown import parse_notes
+
+    extra = [F.col(c).cast(t).alias(c) if c in found.columns else F.lit(None).cast(t).alias(c) for c, t in (("mtime", "timestamp"), ("size", "long"))]
+    parsed = cut(parse_notes(found, config))
+    front = F.transform_values("frontmatter", lambda k, v: v["vals"])
+    dated = parsed.withColumn("_date", note_date(F.col("path"), front, config))
+    notes = dated.select("path", "content_hash", "title", "aliases", "tags", "links", "embeds", F.col("_date.date").alias("date"), F.col("_date.source").alias("date_source"))
+    notes = notes.join(found.select("path", *extra), "path").withColumn("indexed_at", F.current_timestamp())
+    chunks = cut(chunk_notes(parsed, config))
+    named = chunks.select("path", chunk_id(), "breadcrumb", "body", F.col("meta_text").alias("meta"))
+    lengths = doc_lengths(named).join(named.select("path", "chunk_id"), "chunk_id").select("path", "chunk_id", "n_tokens")
+    terms = postings(named).join(named.select("path", "chunk_id"), "chunk_id")
+    return {"notes": notes, "chunks": chunks, "postings": terms.withColumn("cell", cell(F.col("term"), cells)), "lengths": lengths}
+
+
+def resolved_links(notes: DataFrame) -> DataFrame:
+    """(src, dst, raw, kind) of all links and embeds of ``notes``."""
     from .graph import resolve_links
 
+    raw = notes.select(F.col("path").alias("src"), F.explode("links").alias("raw"), F.lit("link").alias("kind")).unionByName(notes.select(F.col("path").alias("src"), F.explode("embeds").alias("raw"), F.lit("embed").alias("kind")))
+    return resolve_links(raw, notes)
+
+
+def build(index: Index, found: DataFrame, config=None, full: bool = False, dry_run: bool = False, root: str | None = None) -> DataFrame:
+    """Bring the index up to the notes in ``found`` (path, text, content_hash[, mtime, size])
+    and return the changes.  A changed configuration, like ``full``, makes every note anew.
+    Nothing is written with ``dry_run``, or where nothing changed; otherwise the buckets of
+    changed notes alone, and those of links that now mean another note.  Vectors belong to
+    texts and stay; ``Index.embed`` makes those that are missing.  With ``root``, the folder
+    of the notes, an index inside it is an error."""
+    from ..config import EngineConfig
+    from ..sources.vault import assert_outside
+
+    if root is not None:
+        assert_outside(index.path, root)
     config = config or EngineConfig()
     key = repr(config)
     own = index.manifest()
-    old = None if own is None or full or own["config"] != key else {t: index.table(t) for t in ("notes", "chunks")}
-    known = old["notes"] if old else found.where(F.lit(False))
+    old = own is not None and not full and own["config"] == key
+    known = index.table("notes") if old else found.where(F.lit(False))
     status = changes(found, known)
     if dry_run:
         return status
-    status.persist()
-    if old and status.where("status <> 'same'").isEmpty():
-        status.unpersist()  # a later build must not find these rows in the cache
+    status = cut(status)
+    moved = status.where("status <> 'same'")
+    if old and moved.isEmpty():
+        return status
+    old = old and all(t in own["schemas"] for t in index.WHOLE)
+    fresh = found.join(status.where(F.col("status").isin("new", "changed")).select("path"), "path", "left_semi") if old else found
+    made = _made(fresh, config, index.cells)
+    if not old:
+        made["notes"] = cut(made["notes"])
+        tables = made | {"links": resolved_links(made["notes"])}
+        if own and "vectors" in own["schemas"]:
+            tables["vectors"] = index.vectors()
+        index.write(tables, key, own["model"] if own else "")
         return status
-    todo = status.where(F.col("status").isin("new", "changed"))
     gone = status.where(F.col("status").isin("deleted", "changed"))
-    parsed = parse_notes(found.join(todo.select("path"), "path", "left_semi"), config)
-    front = F.transform_values("frontmatter", lambda k, v: v["vals"])
-    dated = parsed.withColumn("_date", note_date(F.col("path"), front, config))
-    notes = dated.select("path", "content_hash", "title", "aliases", "tags", "links", "embeds", F.col("_date.date").alias("date"), F.col("_date.source").alias("date_source"))
-    chunks = chunk_notes(parsed, config)
-    if old:
-        notes, chunks = without_notes(old["notes"], gone).unionByName(notes), without_notes(old["chunks"], gone).unionByName(chunks)
-    raw = notes.select(F.col("path").alias("src"), F.explode("links").alias("raw"), F.lit("link").alias("kind")).unionByName(notes.select(F.col("path").alias("src"), F.explode("embeds").alias("raw"), F.lit("embed").alias("kind")))
-    model = own["model"] if own else ""
-    kept = {"vectors": index.table("vectors")} if model else {}
-    index.write({"notes": notes, "chunks": chunks, "links": resolve_links(raw, notes)} | kept, key, model)
-    status.unpersist()
+    buckets = {r[0] for r in moved.select(bucket_of(F.col("path"), index.buckets)).distinct().collect()}  # at most ``buckets`` numbers
+    rows = {name: without_notes(index.table(name, buckets), gone).unionByName(df) for name, df in made.items()}
+    rows["notes"] = cut(rows["notes"])
+    elsewhere = index.table("notes", set(range(index.buckets)) - buckets)
+    # A new name may be what an old link means, so links are resolved anew and compared.
+    before, links = index.table("links"), cut(resolved_links(elsewhere.unionByName(rows["notes"])))
+    sides = [(links, before), (before, links)]
+    differ = [a.exceptAll(b.select(*a.columns)).select(bucket_of(F.col("src"), index.buckets).alias("b")) for a, b in sides]
+    touched = {r[0] for r in differ[0].unionByName(differ[1]).distinct().collect()}
+    rows["links"] = links.where(bucket_of(F.col("src"), index.buckets).isin(touched))
+    index.replace({"links": touched} | dict.fromkeys(made, buckets), rows, key, own["model"])
     return status

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import SearchOptions
 from ..functions.text import query_terms
-from .bm25 import bm25_topk
+from .bm25 import KeywordIndex, bm25_topk
 from .lineage import cut
 from .vectors import vector_topk
 
@@ -138,18 +138,20 @@ def citation(path: Column, line: Column) -> Column:
 class Searcher:
     """Search over one index: chunks (chunk_id, path, ord, date, breadcrumb, meta, body[,
     start_line]), vectors (chunk_id, vec) and links (src, dst), the last two optional.
-    Without start_line every chunk is one line of its note."""
+    Without start_line every chunk is one line of its note.  ``keywords`` are stored
+    postings of the chunks; without them each search makes those of its terms."""
 
-    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, links: DataFrame | None = None):
+    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, links: DataFrame | None = None, keywords: KeywordIndex | None = None):
         own = chunks if "start_line" in chunks.columns else chunks.withColumn("start_line", F.col("ord") + 1)
         self.chunks, self.vectors, self.links = own, vectors, links
+        self.keywords = keywords or KeywordIndex(own)
 
     def ranked_lists(self, questions: DataFrame, options: SearchOptions, question_vectors: DataFrame | None = None) -> DataFrame:
         """(query_id, retriever, rank, chunk_id) before fusion."""
         asked = questions.where(F.size(query_terms(F.col("q"))) > 0)
         lists = []
         if options.use_bm25:
-            lists.append(bm25_topk(self.chunks, asked, options.candidates, options.column_weights).withColumn("retriever", F.lit("bm25")))
+            lists.append(bm25_topk(self.keywords, asked, options.candidates, options.column_weights).withColumn("retriever", F.lit("bm25")))
         if options.use_vector and self.vectors is not None and question_vectors is not None:
             own = question_vectors.join(asked.select("query_id"), "query_id", "left_semi")
             lists.append(vector_topk(self.vectors, own, options.candidates, options.min_score).withColumn("retriever", F.lit("vector")))

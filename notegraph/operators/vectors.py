@@ -6,6 +6,7 @@ product inside a task, of which only the best n of each question leave it.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -24,18 +25,28 @@ def normalised(vec: Column) -> Column:
     return F.when(norm > 0, F.transform(vec, lambda x: x / norm)).otherwise(vec)
 
 
-def embed_texts(pending: DataFrame, model: str, provider: Callable[[list[str]], list[list[float]]], batch: int = 16) -> DataFrame:
+def embed_texts(pending: DataFrame, model: str, provider: Callable[[list[str]], list[list[float]]], batch: int = 16, retries: int = 0, wait: float = 1.0) -> DataFrame:
     """(text_hash, model, dim, vec) of ``pending`` (text_hash, embed_text).
 
     ``provider`` maps up to ``batch`` texts to as many vectors of one dimension; they are
-    brought to unit length.  It runs inside tasks, so it must be picklable.
+    brought to unit length.  It runs inside tasks, so it must be picklable.  A call that
+    fails is made again up to ``retries`` times, after ``wait`` seconds and twice as long
+    each time.
     """
 
+    def asked(texts: list[str]) -> list[list[float]]:
+        for k in range(retries):
+            try:
+                return provider(texts)
+            except Exception:  # whatever the service raises; the last call's error is the task's
+                time.sleep(wait * 2**k)
+        return provider(texts)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for start in range(0, rows.num_rows, batch):
                 part = rows.slice(start, batch)
-                got = np.asarray(provider(part.column("embed_text").to_pylist()), np.float32)
+                got = np.asarray(asked(part.column("embed_text").to_pylist()), np.float32)
                 if got.ndim != 2 or len(got) != part.num_rows:
                     raise ValueError(f"{part.num_rows} texts gave vectors of shape {got.shape}")
                 norm = np.linalg.norm(got, axis=1, keepdims=True)

@@ -86,6 +86,102 @@ def test_a_build_keeps_vectors_and_writes_only_changes(spark, tmp_path):
     assert {r.path: r.start_line for r in index.searchable().collect()} == {r.path: r.start_line for r in index.table("chunks").collect()}
 
 
+def small_index(spark, tmp_path, files):
+    root = tmp_path / "vault"
+    write(root, files)
+    index = maintain.Index(spark, str(tmp_path / "index"), buckets=4, cells=3)
+    maintain.build(index, vault.notes(spark, str(root)), root=str(root))
+    return root, index
+
+
+def test_a_changed_note_rewrites_its_bucket_alone(spark, tmp_path):
+    root, index = small_index(spark, tmp_path, {f"n{i}.md": f"# T{i}\n\nword{i} shared [[n{(i + 1) % 12}]]" for i in range(12)})
+    before = index.manifest()["files"]
+    write(root, {"n3.md": "# T3\n\nother words [[n7]] [[late]]"})
+    maintain.build(index, vault.notes(spark, str(root)))
+    after = index.manifest()["files"]
+    for name in index.WHOLE:
+        assert len(set(after[name]) - set(before[name])) == 1 and len(set(before[name]) - set(after[name])) == 1, name
+    assert {r.path: r.body for r in index.table("chunks").collect()}["n3.md"] == "# T3\n\nother words n7 late"
+    # A new name changes what an old link means: the link's bucket is rewritten with it.
+    write(root, {"late.md": "here at last"})
+    maintain.build(index, vault.notes(spark, str(root)))
+    assert {(r.raw, r.dst) for r in index.table("links").where("src = 'n3.md'").collect()} == {("n7", "n7.md"), ("late", "late.md")}
+    row = index.table("notes").where("path = 'late.md'").first()
+    assert row["size"] == 12 and row["mtime"] is not None and row["indexed_at"] is not None
+    folders = lambda: {f"{p.parent.name}/{p.name}" for p in (tmp_path / "index").glob("notes/bucket=*/version=*")}
+    assert len(folders()) > len(index.files("notes"))
+    wanted = sorted(map(tuple, index.table("notes").select("path", "content_hash").collect()))
+    assert index.expire(keep=1) > 0 and folders() == set(index.files("notes"))
+    assert sorted(map(tuple, index.table("notes").select("path", "content_hash").collect())) == wanted
+    with pytest.raises(ValueError):
+        maintain.build(index, vault.notes(spark, str(root)), root=str(tmp_path))
+
+
+def test_stored_postings_answer_as_the_chunks_do(spark, tmp_path):
+    from notegraph.operators import bm25
+
+    rng = random.Random(4)
+    words = ["alpha", "beta", "o'brien", "café", "the", "the", "rare"]
+    root, index = small_index(spark, tmp_path, {f"d/n{i}.md": f"---\ntags: [t{i % 3}]\n---\n" + " ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for i in range(40)})
+    write(root, {"d/n5.md": "o'brien rare rare", "d/n40.md": "cafe alpha"})
+    (root / "d" / "n6.md").unlink()
+    maintain.build(index, vault.notes(spark, str(root)))
+    asked = spark.createDataFrame([(1, "alpha rare"), (2, "O'Brien's o'brien"), (3, "cafe café the"), (4, "nothing here"), (5, "t1 d beta")], "query_id long, q string")
+    stored = bm25.bm25_topk(index.keywords(), asked, 7)
+    fresh = bm25.bm25_topk(index.searchable(), asked, 7)
+    rows = [sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in x.collect()) for x in (stored, fresh)]
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} == {1, 2, 3, 5}
+    cells = {r[0] for r in asked.limit(1).select(F.explode(F.split("q", " ")).alias("t")).select(bm25.cell(F.col("t"), 3)).collect()}
+    files = index.keywords().hits(spark.createDataFrame([("alpha",), ("rare",)], "token string")).inputFiles()
+    assert {int(f.split("/cell=")[1].split("/")[0]) for f in files} <= {0, 1, 2} and len(cells) <= 2
+
+
+class Provider:
+    """Counts its calls in a file; fails on a text while the file ``broken`` is there."""
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def __call__(self, texts):
+        import os
+        import uuid
+
+        if os.path.exists(f"{self.folder}/broken") and any("word3" in t for t in texts):
+            raise RuntimeError("down")
+        for t in texts:
+            with open(f"{self.folder}/asked-{uuid.uuid4().hex}", "w") as f:
+                f.write(t)
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_embedding_resumes_where_it_was_killed(spark, tmp_path):
+    root, index = small_index(spark, tmp_path, {f"n{i}.md": f"word{i}" for i in range(12)})
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    asked = lambda: [f.read_text() for f in calls.glob("asked-*")]
+    (calls / "broken").touch()
+    with pytest.raises(Exception):
+        index.embed("stub", Provider(calls), batch=2, commit_texts=2, retries=0)
+    done = index.vectors().count()
+    committed = {r.embed_text for r in index.table("chunks").join(index.vectors(), "text_hash").collect()}
+    assert 0 <= done < 12
+    (calls / "broken").unlink()
+    first = asked()
+    assert index.embed("stub", Provider(calls), batch=2, commit_texts=2) == 12 - done
+    later = list(asked())
+    for t in first:
+        later.remove(t)
+    assert not committed & set(later) and index.pending("stub").isEmpty()
+    assert index.embed("stub", Provider(calls)) == 0 and index.manifest()["model"] == "stub"
+    assert index.embed("other", Provider(calls), commit_texts=50) == 12 and index.vectors().count() == 24
+    write(root, {"n0.md": "changed"})
+    maintain.build(index, vault.notes(spark, str(root)))
+    assert index.embed("other", Provider(calls)) == 1
+    index.drop_vectors("other")
+    assert index.vectors().count() == 12 and index.chunk_vectors("other").count() == 12
+
+
 def test_kept_scores(spark, tmp_path):
     now = spark.createDataFrame([("m", 3, 0.5, 0.25)], "label string, n long, mrr double, r_at_1 double")
     evaluate.save(now, str(tmp_path / "scores"))
