@@ -16,15 +16,22 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 
-_LEAD, _TAIL = r"(?:(?<=^)|(?<=[\s_]))", r"(?=$|[\s_\-])"
-# The date forms; pattern, groups of day, month and year.
+# What a date may follow and come before, and the date forms; pattern, groups
+# of day, month and year.
+BEFORE = r"(?:(?<=^)|(?<=\s)|(?<=_))"
+AFTER = r"(?=$|\s|[_\-])"
 FORMS = [
-    (_LEAD + r"(\d{4})-(\d{1,2})-(\d{1,2})" + _TAIL, 3, 2, 1),
-    (_LEAD + r"(\d{1,2})([-.])(\d{1,2})\2(\d{4})" + _TAIL, 1, 3, 4),
-    (_LEAD + r"(\d{1,2})([-.])(\d{1,2})\2(\d{2})" + _TAIL, 1, 3, 4),
+    (BEFORE + r"([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})" + AFTER, 3, 2, 1),
+    (BEFORE + r"([0-9]{1,2})([-.])([0-9]{1,2})\2([0-9]{4})" + AFTER, 1, 3, 4),
+    (BEFORE + r"([0-9]{1,2})([-.])([0-9]{1,2})\2([0-9]{2})" + AFTER, 1, 3, 4),
 ]
 
 
+def _java(pattern: str) -> str:
+    """White space beyond ASCII counts, as it does in Python."""
+    return pattern.replace(r"\s", r"(?U:\s)")
+
+
 def _year(digits: Column, pivot: int) -> Column:
     value = digits.cast("int")
     return F.when(F.length(digits) == 4, value).when(value < pivot, value + 2000).otherwise(value + 1900)
@@ -39,7 +46,7 @@ def find_date(text: Column, config: EngineConfig = EngineConfig()) -> Column:
     """The first valid date of a text, or null."""
     found = []
     for pattern, day, month, year in FORMS:
-        groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (day, month, year)]
+        groups = [F.regexp_extract_all(text, F.lit(_java(pattern)), F.lit(g)) for g in (day, month, year)]
         # As the two-digit form can't end in the middle of a longer year, forms don't mix.
         days = F.transform(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "dmy")]), lambda z: _valid(z["d"].cast("int"), z["m"].cast("int"), _year(z["y"], config.year_pivot)))
         found.append(F.get(F.filter(days, lambda x: x.isNotNull()), F.lit(0)))
@@ -58,7 +65,7 @@ def note_date(path: Column, frontmatter: Column, config: EngineConfig = EngineCo
     """
     out = F.struct(F.lit(None).cast("date").alias("date"), F.lit("").alias("source"))
     for key in reversed(config.date_keys):
-        value = F.regexp_replace(F.get(frontmatter[key], F.lit(0)), r"^\s+|\s+$", "")
+        value = F.regexp_replace(F.get(frontmatter[key], F.lit(0)), r"(?U)^\s+|\s+$", "")
         day = find_date(value, config)
         out = F.when(day.isNotNull(), F.struct(day.alias("date"), F.lit(f"frontmatter:{key}").alias("source"))).otherwise(out)
     if config.date_from_filename:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import AnswerOptions
 from ..functions.dates import stem
-from ..functions.text import estimate_tokens
+from ..functions.text import estimate_tokens, squeeze
 
 RULES = (
     "Answer from the numbered sources alone. After each statement, give the number of its source in square brackets, like [2]. "
@@ -88,12 +88,13 @@ def disambiguate(sources: DataFrame) -> DataFrame:
     return sources.withColumn("label", F.when(n > 1, stem(F.col("path"))).otherwise(""))
 
 
+# The frame of a source and of a prompt, whose marks citations and tests rely on.
 def render(n: Column, breadcrumb: Column, label: Column, date: Column, kind: Column, body: Column) -> Column:
     """What a model sees of a source; never the path."""
     return F.concat(
         F.lit("["), n.cast("string"), F.lit("] "), breadcrumb, F.when(label != "", F.concat(F.lit(" -- "), label)).otherwise(""),
         F.coalesce(F.concat(F.lit("  ("), date.cast("string"), F.lit(")")), F.lit("")), F.when(kind == "transclusion", "  (transcluded into the note above)").otherwise(""),
-        F.lit("\n"), F.regexp_replace(body, r"^\s+|\s+$", ""),
+        F.lit("\n"), F.regexp_replace(body, r"(?U)^\s+|\s+$", ""),
     )
 
 
@@ -128,14 +129,39 @@ def sse_pieces(lines: DataFrame) -> DataFrame:
     return data.withColumn("done", done).where("done = 0").select("session", "seq", piece.alias("piece")).where("piece IS NOT NULL AND piece <> ''")
 
 
-def answer(prompts: DataFrame, sources: DataFrame, chat: Callable[[str, str], str]) -> DataFrame:
-    """(query_id, text, cited, bogus): ``chat(system, user)`` is asked where there are
-    sources; what comes back is cleaned and its citations are checked."""
-    @F.pandas_udf("string")
-    def ask(system: pd.Series, user: pd.Series) -> pd.Series:
-        return pd.Series([chat(s, u) for s, u in zip(system, user)], dtype=object)
+def answer(prompts: DataFrame, sources: DataFrame, chat: Callable[[str, str], str] | None) -> DataFrame:
+    """(query_id, text, n_sources, dropped, cited, bogus, warnings), a row for each prompt.
 
-    counts = sources.groupBy("query_id").agg(F.count("*").alias("n_sources"))
-    asked = prompts.join(counts, "query_id").select("query_id", "n_sources", visible(ask("system", "user")).alias("text"))
+    ``sources`` has query_id and n[, dropped].  ``chat(system, user)`` is asked where there
+    are sources, or nowhere if it is None, which shows what would be asked; the text is
+    empty then.  What comes back is cleaned and its citations are checked."""
+    dropped = F.max("dropped") if "dropped" in sources.columns else F.lit(0)
+    counts = sources.groupBy("query_id").agg(F.count("*").alias("n_sources"), dropped.cast("long").alias("dropped"))
+    rows = prompts.join(counts, "query_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_sources", "dropped")})
+    text = F.lit("")
+    if chat is not None:
+
+        @F.pandas_udf("string")
+        def ask(system: pd.Series, user: pd.Series, n: pd.Series) -> pd.Series:
+            return pd.Series([chat(s, u) if k else "" for s, u, k in zip(system, user, n)], dtype=object)
+
+        text = visible(ask("system", "user", "n_sources"))
+    asked = rows.select("query_id", "n_sources", "dropped", text.alias("text"))
     cited, bogus = check_citations(F.col("text"), F.col("n_sources"))
-    return asked.select("query_id", "text", cited.alias("cited"), bogus.alias("bogus"))
+    checked = asked.select("query_id", "text", "n_sources", "dropped", cited.alias("cited"), bogus.alias("bogus"))
+    return checked.withColumn("warnings", warnings(F.col("text"), F.col("cited"), F.col("bogus"), F.col("dropped")))
+
+
+def warnings(text: Column, cited: Column, bogus: Column, dropped: Column) -> Column:
+    """What a reader must know of an answer: ``bogus`` if it cites what it was not given,
+    ``uncited`` if it says something and cites no source, ``dropped`` if some didn't fit."""
+    found = F.array(F.when(F.size(bogus) > 0, "bogus"), F.when((squeeze(text) != "") & (F.size(cited) == 0), "uncited"), F.when(dropped > 0, "dropped"))
+    return F.filter(found, lambda w: w.isNotNull())
+
+
+def listing(answers: DataFrame, sources: DataFrame, show_all: bool = False) -> DataFrame:
+    """(query_id, n, is_cited, hidden, ...) of the ``sources`` (query_id, n, ...) that an answer
+    cites, or of all; hidden is the number of the question's sources that are left out."""
+    marked = sources.join(answers.select("query_id", "cited"), "query_id").withColumn("is_cited", F.array_contains("cited", F.col("n").cast("int")))
+    out = marked.withColumn("hidden", F.count_if(~F.col("is_cited") & F.lit(not show_all)).over(Window.partitionBy("query_id")))
+    return out.where(F.col("is_cited") | F.lit(show_all)).drop("cited")

@@ -43,3 +43,10 @@ def small(df: DataFrame) -> DataFrame:
     beyond that joins are left to Spark, which splits hot keys.  Give a table that is cheap
     to count, such as a cut one."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a scan has fewer partitions than there are, as over one
+    small file; a large scan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,6 +5,8 @@ Every relation carries query_id; one question is the case of one row.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ from .vectors import vector_topk
 def fuse(lists: DataFrame, k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
     """Reciprocal rank fusion of (query_id, retriever, rank, chunk_id).
 
-    Returns (query_id, chunk_id, score, bm25_rank, vector_rank).  A retriever without a
-    weight counts 1.
+    Returns (query_id, chunk_id, score, bm25_rank, vector_rank, ranks): ranks maps the name
+    of each retriever that has the chunk, of any number, to its rank.  A retriever without
+    a weight counts 1.
     """
     weight: Column = F.lit(1.0)
     for name, value in (weights or {}).items():
@@ -28,6 +31,7 @@ def fuse(lists: DataFrame, k: int = 60, weights: dict[str, float] | None = None)
         F.sum(weight / (F.lit(k) + F.col("rank"))).alias("score"),
         F.min(F.when(F.col("retriever") == "bm25", F.col("rank"))).alias("bm25_rank"),
         F.min(F.when(F.col("retriever") == "vector", F.col("rank"))).alias("vector_rank"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("retriever", "rank")))).alias("ranks"),
     )
 
 
@@ -75,34 +79,35 @@ def select_capped(candidates: DataFrame, top_k: int, per_note: int) -> DataFrame
     return capped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= top_k)
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
 def select_diverse(candidates: DataFrame, vectors: DataFrame, top_k: int, per_note: int, dedupe: float) -> DataFrame:
     """Walk the candidates of a question by (score, path, ord) and take one unless its
     note has ``per_note`` hits already or its vector is within ``dedupe`` of a hit's.
 
     A chunk without a vector is never a duplicate.  The walk depends on what was taken
-    before, so it is a fold over the question's candidates, of which there are at most
-    two lists' worth.
+    before, so a question is one group, of at most two lists' worth of candidates; what
+    each is to each other is one matrix product before the walk.
     """
     if dedupe >= 1.0:
         return select_capped(candidates, top_k, per_note)
+
+    def walk(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, paths = rows.column("chunk_id").to_pylist(), rows.column("path").to_pylist()
+        known = [v for v in rows.column("vec").to_pylist() if v is not None]
+        matrix = np.array([v if v is not None else [0.0] * len(known[0]) for v in rows.column("vec").to_pylist()]) if known else np.zeros((len(ids), 1))
+        near = matrix @ matrix.T >= dedupe
+        near &= np.outer(*[rows.column("vec").is_valid().to_numpy()] * 2)
+        taken: list[int] = []
+        order = zip(rows.column("key").to_pylist(), paths, rows.column("ord").to_pylist(), range(len(ids)))
+        for *_, i in sorted(order):
+            if len(taken) == top_k:
+                break
+            if sum(paths[j] == paths[i] for j in taken) < per_note and not near[i, taken].any():
+                taken.append(i)
+        return pa.table({"query_id": pa.array([key[0].as_py()] * len(taken), pa.int64()), "chunk_id": pa.array([ids[i] for i in taken], pa.int64()), "rank": pa.array(range(1, len(taken) + 1), pa.int32())})
+
     vec = vectors.select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))
-    entry = F.struct((-F.round("score", 9)).alias("key"), "path", "ord", "chunk_id", "vec")
-    lists = candidates.join(vec, "chunk_id", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("walk"))
-    none = F.array().cast("array<struct<key:double,path:string,ord:int,chunk_id:bigint,vec:array<double>>>")
-
-    def step(taken: Column, c: Column) -> Column:
-        full = F.size(taken) >= top_k
-        crowded = F.size(F.filter(taken, lambda t: t["path"] == c["path"])) >= per_note
-        repeated = F.exists(taken, lambda t: F.coalesce(_dot(t["vec"], c["vec"]) >= dedupe, F.lit(False)))
-        return F.when(full | crowded | repeated, taken).otherwise(F.concat(taken, F.array(c)))
-
-    typed = F.transform("walk", lambda c: F.struct(c["key"].alias("key"), c["path"].alias("path"), c["ord"].cast("int").alias("ord"), c["chunk_id"].cast("long").alias("chunk_id"), c["vec"].alias("vec")))
-    chosen = lists.select("query_id", F.posexplode(F.aggregate(typed, none, step)).alias("place", "hit"))
-    chosen = chosen.select("query_id", (F.col("place") + 1).alias("rank"), F.col("hit.chunk_id").alias("chunk_id"))
+    lists = candidates.select("query_id", (-F.round("score", 9)).alias("key"), "path", "ord", "chunk_id").join(vec, "chunk_id", "left")
+    chosen = lists.groupBy("query_id").applyInArrow(walk, "query_id long, chunk_id long, rank int")
     return candidates.join(chosen, ["query_id", "chunk_id"])
 
 
@@ -131,6 +136,12 @@ def why(bm25_rank: Column, vector_rank: Column, boosted: Column) -> Column:
     return F.concat_ws(" ", F.concat(F.lit("b"), bm25_rank.cast("string")), F.concat(F.lit("v"), vector_rank.cast("string")), F.when(boosted, "link"))
 
 
+def why_all(ranks: Column, boosted: Column) -> Column:
+    """``why`` over any retrievers: the first letter of each with its rank, in order."""
+    places = F.array_sort(F.transform(F.map_entries(ranks), lambda e: F.concat(F.substring(e["key"], 1, 1), e["value"].cast("string"))))
+    return F.concat_ws(" ", places, F.when(boosted, "link"))
+
+
 def citation(path: Column, line: Column) -> Column:
     return F.concat(path, F.lit(":"), line.cast("string"))
 

@@ -10,7 +10,7 @@ from ..config import AnswerOptions, EngineConfig, SearchOptions
 from ..functions import chunking, dates, markdown
 from ..functions import text as T
 from ..operators import answer, bm25, evaluate, graph, maintain, retrieval
-from ..operators.lineage import cut
+from ..operators.lineage import cut, spread
 from ..sources import vault
 from ..streaming import think
 from . import retrieval as plans
@@ -24,7 +24,7 @@ MODES = {"hybrid": SearchOptions(dedupe=1.0), "bm25 only": SearchOptions(dedupe=
 
 def find_date_filename(spark, sf_dir):
     """Order dates written in five ways, found again."""
-    o = views.table(spark, sf_dir, "orders")
+    o = spread(views.table(spark, sf_dir, "orders"))
     form = ["yyyy-MM-dd", "dd-MM-yyyy", "dd.MM.yyyy", "dd-MM-yy", "d.M.yy"]
     name = F.concat(F.lit("Meeting_"), *[F.when(F.col("o_orderkey") % 5 == i, F.date_format("o_orderdate", f)).otherwise("") for i, f in enumerate(form)], F.lit(" notes"))
     return o.select("o_orderkey", dates.find_date(name).alias("found"))
@@ -167,7 +167,7 @@ _NOTE = (
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.table(spark, sf_dir, "part")
+    p = spread(views.table(spark, sf_dir, "part"))
     fill = {"name": F.col("p_name"), "key": F.col("p_partkey"), "brand": F.regexp_replace("p_brand", "#", ""), "size": F.col("p_size"), "type": F.col("p_type"), "n": F.col("p_partkey") % 25, "o": F.col("p_partkey") % 7, "price": F.col("p_size") * 3}
     text = F.lit(_NOTE)
     for k, v in fill.items():
@@ -227,7 +227,7 @@ def context_budget(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     chunks = views.chunks(spark, sf_dir)
-    return bm25.bm25_topk(chunks, views.questions(spark, sf_dir), 8).join(chunks, "chunk_id").withColumn("rank", F.col("rank").cast("long"))
+    return bm25.bm25_topk(views.keywords(spark, sf_dir), views.questions(spark, sf_dir), 8).join(chunks, "chunk_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 def pack_sources(spark, sf_dir):

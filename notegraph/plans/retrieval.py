@@ -50,7 +50,7 @@ picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 
 
 def searcher(spark: SparkSession, sf_dir: str, linked: bool = False) -> retrieval.Searcher:
-    return retrieval.Searcher(views.chunks(spark, sf_dir), views.chunk_vectors(spark, sf_dir), resolved(spark, sf_dir) if linked else None)
+    return retrieval.Searcher(views.chunks(spark, sf_dir), views.chunk_vectors(spark, sf_dir), resolved(spark, sf_dir) if linked else None, views.keywords(spark, sf_dir))
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def corpus_stats(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    return _out(bm25.bm25_topk(views.chunks(spark, sf_dir), views.questions(spark, sf_dir), 50))
+    return _out(bm25.bm25_topk(views.keywords(spark, sf_dir), views.questions(spark, sf_dir), 50))
 
 
 def phrase_questions(spark, sf_dir):
@@ -146,7 +146,7 @@ def diversified_selection(spark, sf_dir):
 
 
 def link_neighbourhood(spark, sf_dir):
-    seeds = bm25.bm25_topk(views.chunks(spark, sf_dir), views.questions(spark, sf_dir), 3).join(views.chunks(spark, sf_dir).select("chunk_id", "path"), "chunk_id").select("query_id", "path").distinct()
+    seeds = bm25.bm25_topk(views.keywords(spark, sf_dir), views.questions(spark, sf_dir), 3).join(views.chunks(spark, sf_dir).select("chunk_id", "path"), "chunk_id").select("query_id", "path").distinct()
     return retrieval.neighbourhood(seeds, resolved(spark, sf_dir))
 
 
@@ -158,7 +158,7 @@ def link_boost(spark, sf_dir):
 
 def neighbour_context(spark, sf_dir):
     chunks = views.chunks(spark, sf_dir)
-    hits = bm25.bm25_topk(chunks, views.questions(spark, sf_dir), 8).join(chunks.select("chunk_id", "path", "ord"), "chunk_id")
+    hits = bm25.bm25_topk(views.keywords(spark, sf_dir), views.questions(spark, sf_dir), 8).join(chunks.select("chunk_id", "path", "ord"), "chunk_id")
     return retrieval.neighbour_context(hits, chunks, 2)
 
 
@@ -170,7 +170,7 @@ def explain_overlap(spark, sf_dir):
 
 def snippets(spark, sf_dir):
     chunks, q = views.chunks(spark, sf_dir), views.questions(spark, sf_dir)
-    hits = bm25.bm25_topk(chunks, q, 8).join(chunks.select("chunk_id", "body"), "chunk_id").join(q, "query_id")
+    hits = bm25.bm25_topk(views.keywords(spark, sf_dir), q, 8).join(chunks.select("chunk_id", "body"), "chunk_id").join(q, "query_id")
     return hits.select("query_id", "chunk_id", T.snippet(F.col("body"), T.query_terms(F.col("q")), 60).alias("snippet"))
 
 
@@ -182,7 +182,7 @@ def why_citation(spark, sf_dir):
 
 def hits_json(spark, sf_dir):
     q = views.questions(spark, sf_dir)
-    return retrieval.hits_json(retrieval.Searcher(views.chunks(spark, sf_dir)).search(q, SearchOptions(use_vector=False))).select("query_id", F.get_json_object("json", "$.rank").cast("long").alias("rank"), F.get_json_object("json", "$.citation").alias("citation"))
+    return retrieval.hits_json(retrieval.Searcher(views.chunks(spark, sf_dir), keywords=views.keywords(spark, sf_dir)).search(q, SearchOptions(use_vector=False))).select("query_id", F.get_json_object("json", "$.rank").cast("long").alias("rank"), F.get_json_object("json", "$.citation").alias("citation"))
 
 
 def queries():

@@ -7,10 +7,14 @@ passages are the questions, and the notes that hold one word by word are expecte
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms
+from ..operators import bm25
+from ..operators.lineage import checkpoint_dir, spread
 
 #: Words of a passage that are looked up before the passage is compared in full.
 PASSAGE_WORDS = 6
@@ -37,7 +41,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = notes(spark, sf_dir).select("doc_id", "path", "date", "breadcrumb", "meta", F.posexplode(F.split("text", "\n", -1)).alias("ord", "body"))
+    rows = spread(notes(spark, sf_dir)).select("doc_id", "path", "date", "breadcrumb", "meta", F.posexplode(F.split("text", "\n", -1)).alias("ord", "body"))
     return rows.where(F.col("body").rlike(r"\S")).select((F.col("doc_id") * 100000 + F.col("ord")).alias("chunk_id"), "doc_id", "path", "ord", "date", "breadcrumb", "meta", "body")
 
 
@@ -56,7 +60,7 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = PASSAGE_WORDS - 2
     passages = table(spark, sf_dir, "benchmark").where(F.size(words) >= PASSAGE_WORDS)
     passages = passages.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.array_join(F.slice(words, 2, inner), " ").alias("key"))
-    docs = notes(spark, sf_dir)
+    docs = spread(notes(spark, sf_dir))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - inner + 1), lambda i: F.array_join(F.slice("w", i, inner), " ")))
     keys = docs.select("path", words.alias("w")).where(F.size("w") >= inner).select("path", F.explode(grams).alias("key"))
     # Texts are joined to the few candidates, not carried along with every key.
@@ -83,6 +87,22 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("query_id", (F.col("query_id") % n).alias("place")).join(own, "place").select("query_id", "vec")
 
 
+#: Folders of the keyword indexes that this process has written, by session, tables and their state.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def keywords(spark: SparkSession, sf_dir: str) -> bm25.KeywordIndex:
+    """The stored keyword index of ``chunks``.  The first query of a session over some tables
+    writes it; the next ones read what their terms need, as long as the files stay as they are."""
+    state = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select(F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(20, 0)"))).first()[0]
+    key = (spark.sparkContext.applicationId, sf_dir, state)
+    if key not in _WRITTEN:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/keywords-{uuid.uuid4().hex}"
+        bm25.stored(chunks(spark, sf_dir), path)
+        _WRITTEN[key] = path
+    return bm25.read_stored(chunks(spark, sf_dir), _WRITTEN[key])
+
+
 def note_count(spark: SparkSession, sf_dir: str) -> int:
     return max(table(spark, sf_dir, "documents").count(), 1)
 

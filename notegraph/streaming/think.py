@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,9 +13,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OPEN, CLOSE = "<think>", "</think>"
 
 
-def held_back(text: str, tag: str) -> int:
-    """Length of the longest end of ``text`` that could begin ``tag``."""
-    return next((n for n in range(min(len(tag) - 1, len(text)), 0, -1) if tag.startswith(text[-n:])), 0)
+def _begun(tag: str) -> re.Pattern:
+    """Matches the end of a buffer that may go on to be ``tag``: its first letter, and each
+    further one only behind those before it."""
+    rest = ""
+    for letter in reversed(tag[1:-1]):
+        rest = f"(?:{re.escape(letter)}{rest})?"
+    return re.compile(re.escape(tag[0]) + rest + r"\Z")
+
+
+_BEGUN = {tag: _begun(tag) for tag in (OPEN, CLOSE)}
 
 
 def visible_part(rest: str, inside: bool) -> tuple[str, str, bool]:
@@ -24,9 +32,9 @@ def visible_part(rest: str, inside: bool) -> tuple[str, str, bool]:
         tag = CLOSE if inside else OPEN
         before, found, after = rest.partition(tag)
         if not found:
-            keep = held_back(rest, tag)
-            ready = rest[: len(rest) - keep]
-            return shown + ("" if inside else ready), rest[len(rest) - keep :], inside
+            waiting = _BEGUN[tag].search(rest)
+            at = waiting.start() if waiting else len(rest)
+            return shown + ("" if inside else rest[:at]), rest[at:], inside
         shown += "" if inside else before
         rest, inside = after, not inside
 

@@ -285,8 +285,19 @@ def test_sse_lines(spark):
 def test_answers_are_asked_only_with_sources(spark):
     q = spark.createDataFrame([(1, "who?"), (2, "what?")], "query_id long, q string")
     s = spark.createDataFrame([(1, 1, "[1] x\nbody")], "query_id long, n long, rendered string")
-    got = answer.answer(answer.prompts(s, q), s, lambda system, user: "<think>hm</think>It is x [1][4]." if "who?" in user else "no").collect()
-    assert [(r.query_id, r.text, r.cited, r.bogus) for r in got] == [(1, "It is x [1][4].", [1], [4])]
+    s = s.withColumn("dropped", F.lit(2))
+    answers = answer.answer(answer.prompts(s, q), s, lambda system, user: "<think>hm</think>It is x [1][4]." if "who?" in user else "no")
+    got = sorted((r.query_id, r.text, r.n_sources, r.cited, r.bogus, r.warnings) for r in answers.collect())
+    assert got == [(1, "It is x [1][4].", 1, [1], [4], ["bogus", "dropped"]), (2, "", 0, [], [], [])]
+    dry = answer.answer(answer.prompts(s, q), s, None).collect()
+    assert sorted((r.query_id, r.text, r.n_sources) for r in dry) == [(1, "", 1), (2, "", 0)]
+
+
+def test_uncited_sources_are_hidden_and_counted(spark):
+    answers = spark.createDataFrame([(1, [2]), (2, [])], "query_id long, cited array<int>")
+    sources = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "d")], "query_id long, n long, path string")
+    assert [(r.query_id, r.n, r.path, r.hidden) for r in answer.listing(answers, sources).collect()] == [(1, 2, "b", 2)]
+    assert sorted((r.query_id, r.n, r.is_cited, r.hidden) for r in answer.listing(answers, sources, True).collect()) == [(1, 1, False, 0), (1, 2, True, 0), (1, 3, False, 0), (2, 1, False, 0)]
 
 
 def test_scores(spark):

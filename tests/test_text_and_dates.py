@@ -45,3 +45,11 @@ def test_snippet(spark):
     df = spark.createDataFrame([("a " * 50 + "needle " + "b " * 50, ["needle"]), ("short", ["x"]), ("c " * 100, ["zzz"])], "b string, t array<string>")
     got = [r[0] for r in df.select(text.snippet(F.col("b"), F.col("t"), 30)).collect()]
     assert got == ["... a a a a a needle b b b b b b b ...", "short", "c c c c c c c c c c c c c c c  ..."]
+
+
+def test_dates_behind_white_space_beyond_ascii(spark):
+    texts = ["Meeting\u00a02026-08-31", "x\u20033.4.2023\u2003y", "no2026-08-31"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [str(r[0]) for r in df.select(dates.find_date(F.col("t"))).collect()] == ["2026-08-31", "2023-04-03", "None"]
+    df = spark.createDataFrame([("a/b.md", {"date": ["\u00a02024-05-06\u2003"]})], "p string, f map<string, array<string>>")
+    assert str(df.select(dates.note_date(F.col("p"), F.col("f"))["date"]).first()[0]) == "2024-05-06"
