@@ -3,6 +3,8 @@ with the SQL each is compared with."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..config import AnswerOptions, EngineConfig, SearchOptions
 from ..functions import chunking, dates, markdown
 from ..functions import text as T
 from ..operators import answer, bm25, evaluate, graph, maintain, retrieval
-from ..operators.lineage import cut, spread
+from ..operators.lineage import checkpoint_dir, cut, spread
 from ..sources import vault
 from ..streaming import think
 from . import retrieval as plans
@@ -285,6 +287,29 @@ def think_filter(spark, sf_dir):
     return think.visible_batch(_pieces(spark, sf_dir))
 
 
+def think_stream(spark, sf_dir):
+    """The same by the stateful stream, whose state is stored and taken up half-way."""
+    return think.visible_stream(_pieces(spark, sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/think-{uuid.uuid4().hex}")
+
+
+def answer_warnings(spark, sf_dir):
+    """Warnings of each reply as an answer to six sources, of which one in seven lost some."""
+    r = _replies(spark, sf_dir)
+    cited, bogus = answer.check_citations(F.col("text"), F.lit(6))
+    own = r.select("conv_id", "turn", "text", cited.alias("cited"), bogus.alias("bogus"))
+    found = answer.warnings(F.col("text"), F.col("cited"), F.col("bogus"), (F.col("conv_id") % 7 == 0).cast("int"))
+    return own.select("conv_id", "turn", F.array_join(found, ",").alias("warnings"))
+
+
+def source_listing(spark, sf_dir):
+    """The sources, of six, that each reply cites, and how many it leaves unmentioned."""
+    r = _replies(spark, sf_dir)
+    cited, _ = answer.check_citations(F.col("text"), F.lit(6))
+    answers = r.select(F.struct("conv_id", "turn").alias("query_id"), cited.alias("cited"))
+    sources = answers.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n"))
+    return answer.listing(answers, sources).select("query_id.conv_id", "query_id.turn", F.col("n").cast("long").alias("n"), "hidden")
+
+
 def sse_decode(spark, sf_dir):
     pieces = _pieces(spark, sf_dir)
     data = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("piece").alias("content")).alias("delta"))).alias("choices")))
@@ -350,7 +375,7 @@ def expected_notes(spark, sf_dir):
 _ALL = (
     find_date_filename, find_date_rejects, note_date_precedence, dates_report, latest_notes, resolve_links, backlinks, outlinks, link_stats, most_linked, unwritten_concepts, change_detection, pending_vectors, put_vectors,
     cascade_delete, upsert_snapshot, index_stats, chunk_size_stats, conflict_names, skip_report, newline_normalise, content_hash, note_metadata, section_split, fence_lines, chunk_notes, paragraphs, pack_units,
-    estimate_tokens, context_budget, pack_sources, pack_sources_transcluded, excerpts, disambiguate, prompt_text, check_citations, think_filter, sse_decode, first_ranks, recall_and_mrr, verdict, baseline_delta,
+    estimate_tokens, context_budget, pack_sources, pack_sources_transcluded, excerpts, disambiguate, prompt_text, check_citations, think_filter, think_stream, answer_warnings, source_listing, sse_decode, first_ranks, recall_and_mrr, verdict, baseline_delta,
     answer_tally, bad_expected_paths, expected_notes,
 )
 
@@ -443,6 +468,13 @@ def oracle_sql():
         "check_citations": """WITH r AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN [] ELSE list_sort(list_distinct([(conv_id % 9)::INT, (turn % 4)::INT])) END AS used FROM conversations WHERE role = 'assistant')
             SELECT conv_id, turn, array_to_string([x FOR x IN used IF x BETWEEN 1 AND 6], ',') AS cited, array_to_string([x FOR x IN used IF x NOT BETWEEN 1 AND 6], ',') AS bogus FROM r""",
         "think_filter": "WITH " + think_sql + " SELECT session, shown AS visible FROM w",
+        "think_stream": "WITH " + think_sql + " SELECT session, shown AS visible FROM w",
+        "answer_warnings": """WITH r AS (SELECT conv_id, turn, text, CASE WHEN conv_id % 3 = 0 THEN [] ELSE list_distinct([(conv_id % 9)::INT, (turn % 4)::INT]) END AS used FROM conversations WHERE role = 'assistant')
+            SELECT conv_id, turn, concat_ws(',', CASE WHEN len([x FOR x IN used IF x NOT BETWEEN 1 AND 6]) > 0 THEN 'bogus' END,
+              CASE WHEN regexp_matches(text, '\\S') AND len([x FOR x IN used IF x BETWEEN 1 AND 6]) = 0 OR conv_id % 3 > 0 AND len([x FOR x IN used IF x BETWEEN 1 AND 6]) = 0 THEN 'uncited' END,
+              CASE WHEN conv_id % 7 = 0 THEN 'dropped' END) AS warnings FROM r""",
+        "source_listing": """WITH r AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN [] ELSE [x FOR x IN list_distinct([(conv_id % 9)::INT, (turn % 4)::INT]) IF x BETWEEN 1 AND 6] END AS used FROM conversations WHERE role = 'assistant')
+            SELECT conv_id, turn, unnest(used)::BIGINT AS n, 6 - len(used) AS hidden FROM r""",
         "sse_decode": "WITH " + think_sql + " SELECT session, ceil(length(whole) / 7.0)::BIGINT AS n, length(whole) AS n_chars FROM w WHERE whole <> ''",
         "first_ranks": _EVAL_SQL + " SELECT label, query_id, rank FROM ranks",
         "recall_and_mrr": _EVAL_SQL + " SELECT label, n, mrr, r_at_1, r_at_3, r_at_8 FROM scores",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SearchOptions
 from ..functions import text as T
 from ..operators import bm25, graph, retrieval, vectors
+from ..operators.lineage import cut
 from . import views
 
 _ACCENTED, _PLAIN = T.latin_folding()
@@ -140,7 +141,7 @@ def percap_selection(spark, sf_dir):
 
 
 def diversified_selection(spark, sf_dir):
-    """Rows only: the walk depends on earlier choices.  Tested against a plain loop."""
+    """The walk past near-duplicates, each choice depending on those before."""
     q, v = _asked(spark, sf_dir)
     return _out(searcher(spark, sf_dir).search(q, SearchOptions(), v), "path")
 
@@ -174,6 +175,15 @@ def snippets(spark, sf_dir):
     return hits.select("query_id", "chunk_id", T.snippet(F.col("body"), T.query_terms(F.col("q")), 60).alias("snippet"))
 
 
+def ranks_of_three(spark, sf_dir):
+    """Three lists fused, the third being the vector list upside down, with every list's rank."""
+    q, v = _asked(spark, sf_dir)
+    lists = cut(searcher(spark, sf_dir).ranked_lists(q, SearchOptions(), v))
+    third = lists.where("retriever = 'vector'").select("query_id", F.lit("reversed").alias("retriever"), (51 - F.col("rank")).alias("rank"), "chunk_id")
+    fused = retrieval.fuse(lists.unionByName(third), weights={"reversed": 0.5})
+    return fused.select("query_id", "chunk_id", F.round("score", 6).alias("score"), retrieval.why_all(F.col("ranks"), F.lit(False)).alias("why"))
+
+
 def why_citation(spark, sf_dir):
     q, v = _asked(spark, sf_dir)
     hits = searcher(spark, sf_dir).search(q, SearchOptions(dedupe=1.0), v)
@@ -190,7 +200,7 @@ def queries():
         f.__name__: f
         for f in (
             tokenize_terms, fts_match_string, token_df, doc_lengths, corpus_stats, bm25_topk, bm25_phrase, vector_topk, vector_floor, normalize_vectors, rrf_fusion, hybrid_search,
-            hybrid_dated, percap_selection, diversified_selection, link_neighbourhood, link_boost, neighbour_context, explain_overlap, snippets, why_citation, hits_json,
+            hybrid_dated, percap_selection, diversified_selection, link_neighbourhood, link_boost, neighbour_context, explain_overlap, snippets, ranks_of_three, why_citation, hits_json,
         )
     }
 
@@ -224,6 +234,16 @@ near AS (SELECT DISTINCT query_id, near AS path FROM seeds JOIN edges USING (pat
         "hybrid_search": _HYBRID + "," + _percap("cand") + picked,
         "hybrid_dated": _HYBRID + ", dated AS (SELECT * FROM cand WHERE date BETWEEN DATE '2024-06-01' AND DATE '2025-06-30')," + _percap("dated") + picked,
         "percap_selection": _HYBRID + "," + _percap("cand", 20).replace("own <= 3", "own <= 1") + picked,
+        "diversified_selection": _HYBRID.replace("WITH ", "WITH RECURSIVE ", 1)
+        + """, ordered AS (SELECT query_id, chunk_id, path, score, vec, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, ord) AS pos FROM cand LEFT JOIN chunk_vectors USING (chunk_id)),
+            walk AS (SELECT DISTINCT query_id, 0::BIGINT AS pos, []::STRUCT(chunk_id BIGINT, path VARCHAR, vec DOUBLE[])[] AS taken FROM ordered
+              UNION ALL SELECT w.query_id, o.pos, CASE WHEN len(taken) >= 8 OR len([t FOR t IN taken IF t.path = o.path]) >= 3 OR len([t FOR t IN taken IF list_inner_product(t.vec, o.vec) >= 0.95]) > 0 THEN taken
+                ELSE list_append(taken, {'chunk_id': o.chunk_id, 'path': o.path, 'vec': o.vec}) END FROM walk w JOIN ordered o ON o.query_id = w.query_id AND o.pos = w.pos + 1),
+            done AS (SELECT query_id, unnest([t.chunk_id FOR t IN taken]) AS chunk_id, unnest(range(1, len(taken) + 1)) AS rank FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) = 1)
+            SELECT query_id, rank, chunk_id, round(score, 6) AS score, path FROM done JOIN ordered USING (query_id, chunk_id)""",
+        "ranks_of_three": _HYBRID
+        + """, lists AS (SELECT query_id, chunk_id, rank, 'b' AS r, 1.0 AS w FROM bm25_top UNION ALL SELECT query_id, chunk_id, rank, 'v', 1.0 FROM vector_top UNION ALL SELECT query_id, chunk_id, 51 - rank, 'r', 0.5 FROM vector_top)
+            SELECT query_id, chunk_id, round(sum(w / (60 + rank)), 6) AS score, string_agg(r || rank, ' ' ORDER BY r || rank) AS why FROM lists GROUP BY 1, 2""",
         "link_neighbourhood": linked + ", seeds AS (SELECT DISTINCT query_id, path FROM bm25_top JOIN chunks USING (chunk_id) WHERE rank <= 3)," + near + " SELECT query_id, path FROM near",
         "link_boost": linked
         + """, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST) AS place FROM cand),

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -77,3 +77,26 @@ def visible_batch(pieces: DataFrame) -> DataFrame:
 
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("piece", F.lit("")).alias("piece")))), lambda p: p["piece"]), "")
     return pieces.groupBy("session").agg(visible(whole).alias("visible"))
+
+
+def visible_stream(pieces: DataFrame, folder: str, rounds: int = 2) -> DataFrame:
+    """``visible_batch`` by the stream: ``pieces`` (session, seq, piece) arrive in ``rounds``, a
+    share of each session in each, and the state of every session is taken up again from
+    the checkpoint when the next round starts.  ``folder`` must be shared and new.
+
+    The state lies in as many parts as the session has cores, if shuffles have more."""
+    spark = pieces.sparkSession
+    own = Window.partitionBy("session")
+    rows = pieces.withColumns({"n": F.count("*").over(own), "place": F.row_number().over(own.orderBy("seq"))})
+    rows = rows.select("session", F.col("seq").cast("long").alias("seq"), "piece", (F.col("place") == F.col("n")).alias("is_last"), F.floor((F.col("place") - 1) * rounds / F.col("n")).cast("int").alias("round"))
+    rows.write.partitionBy("round").parquet(f"{folder}/rounds")
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
+    schema = "session string, seq long, piece string, is_last boolean"
+    for k in range(rounds):
+        session.read.schema(schema).parquet(f"{folder}/rounds/round={k}").write.mode("append").parquet(f"{folder}/in")
+        shown = think_filter(session.readStream.schema(schema).parquet(f"{folder}/in"))
+        query = shown.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
+        query.awaitTermination()
+    out = spark.read.schema("session string, seq long, visible string").parquet(f"{folder}/out")
+    return out.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "visible"))), lambda p: p["visible"]), "").alias("visible"))
