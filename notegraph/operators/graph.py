@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut, small
+
+#: Links of one text that meet one copy of what it means.
+LINKS_A_COPY = 100_000
+
 
 def _bare(path: Column) -> Column:
     return F.regexp_replace(path, r"(?i)\.md$", "")
@@ -26,7 +31,7 @@ def note_names(notes: DataFrame) -> DataFrame:
     return rows.select(F.lower(strip(F.col("name"))).alias("name"), "path").where("name <> ''").distinct()
 
 
-def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:
+def resolve_links(links: DataFrame, notes: DataFrame, per_copy: int = LINKS_A_COPY) -> DataFrame:
     """(src, dst, raw, kind): ``links`` (src, raw, kind) with the note each one means.
 
     The whole text is looked up first, then its last part; the first that names any note
@@ -44,10 +49,15 @@ def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:
     key = F.lower(_bare(strip(F.col("raw"))))
     full = best.select(F.col("name").alias("full_key"), F.col("found").alias("full"))
     last = best.select(F.col("name").alias("last_key"), F.col("found").alias("last"))
-    keyed = edges.withColumn("full_key", key).withColumn("last_key", _last(F.col("full_key")))
-    joined = keyed.join(full, "full_key", "left").join(last, "last_key", "left")
-    others = F.filter(F.coalesce("full", "last"), lambda n: n["path"] != F.col("src"))
-    return joined.select("src", F.get(others, F.lit(0))["path"].alias("dst"), "raw", "kind")
+    keyed = cut(edges.withColumn("full_key", key).withColumn("last_key", _last(F.col("full_key"))))
+    # Each text is looked up once, however many links have it, then meets its links again.
+    # A text with many links is copied, and they are dealt over its copies.
+    asked = cut(keyed.groupBy("full_key", "last_key").agg(F.ceil(F.count("*") / per_copy).cast("int").alias("copies")))
+    known = asked.join(full, "full_key", "left").join(last, "last_key", "left").select("full_key", F.coalesce("full", "last").alias("found"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    popular = small(asked.where("copies > 1").select("full_key", "copies"))
+    dealt = keyed.join(popular, "full_key", "left").withColumn("copy", F.pmod(F.xxhash64("src", "raw", "kind"), F.coalesce("copies", F.lit(1))).cast("int"))
+    others = F.filter(F.col("found"), lambda n: n["path"] != F.col("src"))
+    return dealt.join(known, ["full_key", "copy"], "left").select("src", F.get(others, F.lit(0))["path"].alias("dst"), "raw", "kind")
 
 
 def backlinks(edges: DataFrame) -> DataFrame:

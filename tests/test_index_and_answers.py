@@ -200,9 +200,50 @@ def test_cases(spark, tmp_path):
     f = tmp_path / "cases.jsonl"
     f.write_text('# comment\n\n{"q": "who", "expect": ["a.md"], "why": "x"}\n{"q": "pin"}\n')
     assert [(r.q, r.expect) for r in vault.load_cases(spark, str(f)).collect()] == [("who", ["a.md"]), ("pin", [])]
-    f.write_text('{"expect": []}\n')
-    with pytest.raises(Exception):
-        vault.load_cases(spark, str(f)).collect()
+    for text in ('{"q": "fine"}\n\n{"expect": []}\n', '# x\n{"q": "fine"}\n{"q": \n'):
+        f.write_text(text)
+        with pytest.raises(Exception, match="line 3 of .*cases.jsonl"):
+            vault.load_cases(spark, str(f)).collect()
+
+
+def test_vault_source_prunes_and_reports(spark, tmp_path, monkeypatch):
+    root = tmp_path / "vault"
+    write(root, {"_u/_x.md": "u", "top.MD": "t", ".obsidian/p.md": "no", "a/node_modules/n.md": "no", "a/b/c/deep.md": "d", "a/.hidden.md": "h", "a/pic.png": "p"})
+    rows = {r.path: r for r in vault.scan(spark, str(root)).collect()}
+    assert {p: r.skip_reason for p, r in rows.items()} == {"_u/_x.md": None, "top.MD": None, "a/b/c/deep.md": None, "a/.hidden.md": "hidden", "a/pic.png": "suffix"}
+    assert rows["a/b/c/deep.md"].text == "d" and rows["top.MD"]["size"] == 1 and rows["a/pic.png"].content_hash is None
+
+    class Away:
+        st_file_attributes = vault.RECALL_ON_DATA_ACCESS | 0x20
+
+    assert vault.is_placeholder(Away()) and not vault.is_placeholder((root / "top.MD").stat())
+    walked = [vault._VaultReader(str(root), {"node_modules"}, True, (".md",)).read(p) for p in vault._VaultReader(str(root), {"node_modules"}, True, (".md",)).partitions()]
+    assert len(walked) == 3  # the root's own files, and a task for each folder that is entered
+    monkeypatch.setattr(vault, "is_placeholder", lambda status: True)
+    (path, *_, away, content), = vault._VaultReader(str(root), set(), True, (".md",)).read(vault._Folder(str(root / "_u"), True))
+    assert path == "_u/_x.md" and away and content is None
+
+
+def test_links_to_a_popular_name_are_dealt_over_copies(spark):
+    from notegraph.operators import graph
+
+    notes = spark.createDataFrame([("a/hub.md", ["Hub"]), ("z/y/hub.md", []), *((f"n{i}.md", []) for i in range(30))], "path string, aliases array<string>")
+    links = [(f"n{i}.md", "HUB", "link") for i in range(30)] + [("a/hub.md", "hub", "link"), ("n1.md", "n2", "embed"), ("n1.md", "none", "link")]
+    got = graph.resolve_links(spark.createDataFrame(links, "src string, raw string, kind string"), notes, per_copy=4)
+    want = {(s, {"HUB": "a/hub.md", "hub": "z/y/hub.md", "n2": "n2.md", "none": None}[r], r, k) for s, r, k in links}
+    assert set(map(tuple, got.collect())) == want and got.count() == len(links)
+    # Without coalescing and broadcasts, as at a size where neither happens.
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = graph.resolve_links(spark.createDataFrame(links, "src string, raw string, kind string"), notes, per_copy=4)
+        most = got.where("raw = 'HUB'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert most < 15
 
 
 def plain_gather(offered, budget):
