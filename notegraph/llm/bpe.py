@@ -6,8 +6,7 @@ the base symbols, each of which may follow each, and takes the merges in order.
 gadget of a merge (u, v) -> w does three things: the arc v leaves the state u, an arc w
 is added wherever u and then v could be read, and the state w gets the arcs v has then.
 
-Forty-nine thousand gadgets copied in full would need tens of millions of arcs, so
-arcs are unfolded on demand: whether a state a has the arc b is decided by walking
+Forty-nine thousand gadgets copied in full make 618,612,971 arcs, so arcs are unfolded on demand: whether a state a has the arc b is decided by walking
 back through the gadgets that made a and b, newest first, and is remembered as an
 entry of the transition table.  In ``_arc`` the gadget of rank r acts at time 3r + 1
 between two tokens, its result stands as left neighbour from 3r and as right one from

@@ -36,7 +36,7 @@ from .common import cut, small
 
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Bytes of text of a block and of a range; runs sampled for a range; documents in so many that are sampled.
-BLOCK_BYTES, RANGE_BYTES, SAMPLED, ONE_IN = 8 << 20, 8 << 20, 32, 8
+BLOCK_BYTES, RANGE_BYTES, SAMPLED, ONE_IN = 5 << 20, 5 << 20, 32, 8
 #: Of counts as decimals: 38 digits hold both products.
 SCORE = "(CAST(1000 AS DECIMAL(4, 0)) * {a} * {n}) div ({l} * {r})"
 
