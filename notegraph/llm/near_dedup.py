@@ -5,10 +5,13 @@
    one class from here on, so copies cost nothing further.
 2. Classes that share a band key are a bucket.  Each member is compared with the bucket's
    smallest class, on the full sets; the links give first components.
-3. Where a bucket still holds several components, every pair across them is compared on
-   long sketches, and the pairs that could be links are verified on the full sets.
-   Pairs inside a component are skipped, for they could add nothing.  Large buckets are
-   compared in blocks (``_blocks``), so no task holds one whole.
+3. Where a bucket still holds several components, every pair across them is compared by
+   size and on long sketches, in the bucket of its first common band alone.  Members with
+   a likely partner send their full sets to the block, once each, and pairs are verified
+   there; a pair whose ends are joined by then is skipped, as it could add nothing.
+   Large buckets are compared in blocks (``_blocks``), so no task holds one whole.
+   N texts that lie just below the threshold of each other still cost N * N / 2
+   comparisons, but no more than N rows leave or enter a block.
 4. Components of all links, joined back to documents.
 
 With 32 bands of 4 coordinates a pair at the threshold of 0.85 shares no band key
@@ -28,13 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, keyed, one_row_each
 from .components import connected_components
-from .shingles import bands, common, shingle_sets, sketches
+from .shingles import bands, shingle_sets, sketches
 
 SKETCH, ROWS, LONG = 128, 4, 512
 PERCENT = 85
 #: How far an estimate from the long sketch may lie below the threshold.
 SLACK = 0.11
 BLOCK = 512
+#: A set of so many shingles weighs one more in a block.
+HEAVY_SET = 4096
 #: A class is hot if it holds one in so many documents; so many there are at most.
 HOT_SHARE = 1000
 #: Documents a Python worker sketches at a time.
@@ -73,8 +78,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(rep, items, long, bands) of ``docs`` (rep, text): sorted shingle hashes, a long sketch
-    and the band keys, as bytes."""
+    """(rep, n, items, long, bands) of ``docs`` (rep, text): size of the set, its sorted hashes, a
+    long sketch and the band keys, as bytes."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,100 +88,162 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 long = (sketches(sets, LONG) & np.uint64(255)).astype(np.uint8)
                 keys = bands(sketches(sets, SKETCH), ROWS)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep").slice(start, AT_ONCE), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in long], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary())],
-                    ["rep", "items", "long", "bands"],
+                    [batch.column("rep").slice(start, AT_ONCE), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in long], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary())],
+                    ["rep", "n", "items", "long", "bands"],
                 )
 
-    return docs.select("rep", "text").mapInArrow(gather, "rep long, items binary, long binary, bands binary")
+    return docs.select("rep", "text").mapInArrow(gather, "rep long, n long, items binary, long binary, bands binary")
 
 
-def _likely(percent: int) -> float:
-    return percent / 100 - SLACK
+class _Overlaps:
+    """Sizes of the intersections of sets of one block.  Items of one set alone are left out once."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        shared = counts[codes] > 1
+        self._rows = np.split(codes[shared], np.searchsorted(owner[shared], np.arange(1, len(sets))))
+        self._mark = np.zeros(len(values), bool)
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, estimated: bool = False) -> DataFrame:
-    """The pairs (a, b) whose full sets overlap by ``percent`` or more of their union.
-    ``estimated``: their long sketches were compared already."""
-    least = _likely(percent)
+    def sizes(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Of set i with each of ``at``."""
+        self._mark[self._rows[i]] = True
+        rows = [self._rows[j] for j in at]
+        hits = np.append(0, np.cumsum(self._mark[np.concatenate(rows)]))
+        self._mark[self._rows[i]] = False
+        return np.diff(hits[np.cumsum([len(r) for r in rows])], prepend=0)
+
+
+def _partners(rows: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, at): the members ``at`` that member i of a block may be linked with, each pair once.
+
+    ``rows`` are (key, rep, component, half, n, long, bands).  The two lie in different
+    components and halves, the smaller set is large enough, the long sketches agree in
+    enough coordinates, and of all the buckets they share this is that of their first
+    common band (if ``bands`` are given).
+    """
+    component, half, n = (np.array([r[k] for r in rows]) for k in (2, 3, 4))
+    names, label, counts = np.unique(component, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    least = LONG * (percent / 100 - SLACK)
+    long = np.frombuffer(b"".join([r[5] for r in rows]), np.uint8).reshape(-1, LONG)
+    earlier = np.zeros((0, len(rows)), np.uint64)
+    if rows[0][6] is not None:
+        keys = np.frombuffer(b"".join([r[6] for r in rows]), np.uint64).reshape(len(rows), -1)
+        band = (keys[0] == np.array([rows[0][0]], np.int64).view(np.uint64)).argmax()
+        earlier = keys[:, :band].T.copy()
+    largest, order = counts.argmax(), np.arange(len(rows))
+    for i in np.flatnonzero(label != largest):  # pairs inside the largest component are never looked at
+        # Both ends outside the largest component: the later one is looked at from the earlier.
+        at = np.flatnonzero((label != label[i]) & ((half != half[i]) | (half[i] < 0)) & ((label == largest) | (order > i)))
+        at = at[100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])]
+        for keys_of_band in earlier:
+            if not len(at):
+                break
+            at = at[keys_of_band[at] != keys_of_band[i]]
+        at = at[np.count_nonzero(long[at] == long[i], axis=1) >= least]
+        if len(at):
+            yield int(i), at
+
+
+def _likely(rows: list[tuple], percent: int, star: bool) -> list[int]:
+    """The members that have a partner."""
+    found = np.zeros(len(rows), bool)
+    for i, at in _partners(rows, percent):
+        found[i] = found[at] = True
+    return np.flatnonzero(found).tolist()
+
+
+def _confirmed(rows: list[tuple], percent: int, star: bool) -> list[tuple[int, int]]:
+    """Links on the full sets: those of the centre of a star, or else as many as join the
+    components that any links of the block join."""
+    sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+    n, root = np.array([len(s) for s in sets]), np.unique([r[2] for r in rows], return_inverse=True)[1]
+    overlaps, out = None, []
+    for i, at in _partners(rows, percent):
+        if not star:
+            at = at[root[at] != root[i]]
+        if not len(at):
+            continue
+        overlaps = overlaps or _Overlaps(sets)
+        both = overlaps.sizes(i, at)
+        for j in at[100 * both >= percent * (n[at] + n[i] - both)].tolist():
+            if star or root[j] != root[i]:
+                out.append((min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])))
+                if not star:
+                    root[root == root[j]] = root[i]
+    return out
+
+
+PLACE = ("block", "key", "rep", "component", "half")
+
+
+def _each_block(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """(block, its rows of ``columns`` after the first) of a partition sorted by block and key."""
+    own, rows = None, []
+    for batch in batches:
+        for block, *row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if (block, row[0]) != own:
+                if len(rows) > 1:
+                    yield own[0], rows
+                own, rows = (block, row[0]), []
+            rows.append(tuple(row))
+    if len(rows) > 1:
+        yield own[0], rows
+
+
+def block_links(placed: DataFrame, sets: DataFrame, percent: int, star: bool) -> DataFrame:
+    """Links (a, b) inside the blocks of ``placed`` (PLACE).
+
+    The sketches of all members meet first; only members with a likely partner send
+    their full sets, once for each block.  What leaves a block is at most a row for each
+    member both times, however many pairs it has.
+    """
+    own = (*PLACE, "n", "long", "bands")
 
     def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, LONG) for c in ("x", "y"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+        for block, rows in _each_block(batches, own):
+            if found := _likely(rows, percent, star):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(found), pa.int64())} | {c: pa.array([rows[i][k] for i in found], pa.int64()) for k, c in enumerate(PLACE[1:])})
 
     def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = common(x, y)
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def sides(pairs: DataFrame, column: str) -> DataFrame:
-        x = sets.select(F.col("rep").alias("a"), F.col(column).alias("x"))
-        y = sets.select(F.col("rep").alias("b"), F.col(column).alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-
-    could = pairs if estimated else sides(pairs, "long").mapInArrow(likely, "a long, b long")
-    return sides(could, "items").mapInArrow(confirm, "a long, b long")
-
-
-def _across(percent: int):
-    """Pairs of different components inside each block of a sorted partition.  Of all the
-    buckets a pair shares, only that of its first common band returns it."""
-    least = _likely(percent)
-
-    def pairs_of(rows: list[tuple]) -> list[tuple[int, int]]:
-        key, reps, comps, half = (np.array([r[k] for r in rows]) for k in range(4))
-        names, inverse, counts = np.unique(comps, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return []
-        long = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(-1, LONG)
-        keys = np.frombuffer(b"".join([r[5] for r in rows]), np.uint64).reshape(len(rows), -1)
-        key = key.astype(np.int64).view(np.uint64)
-        out = []
-        largest = counts.argmax()
-        for i in np.flatnonzero(inverse != largest):  # pairs inside the largest component are never looked at
-            # Both ends outside the largest component: the later one is looked at from the earlier.
-            other = (comps != comps[i]) & ((half != half[i]) | (half[i] < 0)) & ((inverse == largest) | (np.arange(len(rows)) > i))
-            at = np.flatnonzero(other)
-            at = at[(long[at] == long[i]).mean(axis=1) >= least]
-            if len(at):
-                shared = (keys[at] == keys[i]).argmax(axis=1)
-                at = at[keys[i][shared] == key[i]]
-                out += [(int(min(reps[i], reps[j])), int(max(reps[i], reps[j]))) for j in at]
-        return out
-
-    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, rows = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1 and (found := pairs_of(rows)):
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for _, rows in _each_block(batches, (*own, "items")):
+            if found := _confirmed(rows, percent, star):
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*found)], ["a", "b"])
 
-        for batch in batches:
-            for own, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "key", "rep", "component", "half", "long", "bands"))):
-                if own != block:
-                    yield from flush()
-                    block, rows = own, []
-                rows.append(row)
-        yield from flush()
+    def together(placed: DataFrame, *more: str) -> DataFrame:
+        given = sets.withColumn("bands", F.lit(None).cast("binary")) if star else sets
+        rows = placed.join(given.select("rep", "n", "long", "bands", *more), "rep").select(*own, *more)
+        return rows.repartition("block").sortWithinPartitions("block", "key")
+
+    could = cut(together(placed).mapInArrow(likely, ", ".join(f"{c} long" for c in PLACE)))
+    return cut(together(could, "items").mapInArrow(confirm, "a long, b long"))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """PLACE of each bucket's members with its leader, in chunks; the leader is in all of them."""
+    star = members.where("rep <> leader").select("leader", "rep", "weight").distinct()
+    chunks = star.groupBy("leader").agg(F.ceil(F.sum("weight") / BLOCK).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks"))
+    star = star.join(chunks, "leader").select(F.xxhash64("leader", chunk).alias("block"), "leader", "rep")
+
+    def side(rep: str, number: int) -> DataFrame:
+        return star.select("block", F.col("leader").alias("key"), F.col(rep).alias("rep"), F.lit(number).cast("long").alias("component"), F.lit(number).cast("long").alias("half"))
 
-    return across
+    return side("rep", 1).union(side("leader", 0).distinct())
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
     """``placed`` (key, rep, component) of the buckets with several components, dealt into
     blocks: (block, key, rep, component, half).
 
-    A bucket of up to BLOCK members is one block.  In a larger one the members outside its
+    Members weigh 1 and more for large sets.  A bucket of up to BLOCK is one block.  In a larger one the members outside its
     largest component are the others; every chunk of them meets every chunk of the largest
     component and every chunk of others.  Copies so grow with members times others, not
     with the square of the members.  Rows of one half (from 0 on) are not compared.
     """
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    parts = placed.groupBy("key", "component").agg(F.sum("weight").alias("n"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.count("*").alias("parts")).where("parts > 1")
     mixed = mixed.select("key", F.col("largest.component").alias("main"), "members", (F.col("members") - F.col("largest.n")).alias("others"))
     chunks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -186,7 +253,7 @@ def _blocks(placed: DataFrame) -> DataFrame:
     own = F.col("chunk")
 
     def block(kind: int, i: Column, j: Column, half: Column) -> Column:
-        return F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("block"), half.cast("int").alias("half"))
+        return F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("block"), half.cast("long").alias("half"))
 
     def each(n: str) -> Column:
         return F.sequence(F.lit(0), F.col(n) - 1)
@@ -206,10 +273,10 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     sets: its first row and that of its component, as (no_id, doc_id, row_key)."""
     signed = cut(signatures(docs))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "bands")
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(row).alias("least"), F.count("*").alias("n_docs"))
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(row).alias("least"), F.count("*").alias("n_docs"), (1 + F.floor(F.max("n_shingles") / HEAVY_SET)).alias("weight"))
     first = F.struct("least.no_id", "least.doc_id", "least.row_key").alias("first")
-    classes = cut(classes.select("digest", "n_docs", first, F.monotonically_increasing_id().alias("rep"), F.col("least.bands").alias("bands")))
-    keys = classes.select("rep", F.explode("bands").alias("key"))
+    classes = cut(classes.select("digest", "n_docs", first, F.monotonically_increasing_id().alias("rep"), "weight", F.col("least.bands").alias("bands")))
+    keys = classes.select("rep", "weight", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
     members = cut(keys.join(buckets, "key"))
     # One text for each class: that of its first row, of whose repeats any one serves.
@@ -217,15 +284,11 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(row_key().alias("row_key"), "text").join(wanted, "row_key").dropDuplicates(["row_key"])
     sets = cut(full_sets(texts))
 
-    star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(verified(star, sets, percent))
+    links = block_links(_stars(members), sets, percent, star=True)
     component = connected_components(links).withColumnRenamed("node", "rep")
 
     placed = members.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    blocks = _blocks(placed)
-    sketched = blocks.join(sets.select("rep", "long", "bands"), "rep").select("block", "key", "rep", "component", "half", "long", "bands")
-    candidates = sketched.repartition("block").sortWithinPartitions("block").mapInArrow(_across(percent), "a long, b long")
-    links = links.union(cut(verified(candidates, sets, percent, estimated=True)))
+    links = links.union(block_links(_blocks(placed), sets, percent, star=False))
 
     final = connected_components(links).withColumnRenamed("node", "rep")
     linked = final.join(classes.select("rep", "first"), "rep")

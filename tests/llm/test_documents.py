@@ -173,9 +173,41 @@ def test_pairs_are_found_by_whole_band_keys_and_below_the_estimate():
     keys = np.full((2, 32), 7, np.uint64)
     keys[1] += np.uint64(1 << 32)  # the same lower halves in every band
     keys[:, 9] = np.array([key]).view(np.uint64)
-    rows = {"block": [1, 1], "key": [key] * 2, "rep": [3, 4], "component": [3, 4], "half": [-1, -1], "long": [r.tobytes() for r in long], "bands": [r.tobytes() for r in keys]}
-    out = list(near_dedup._across(85)(iter([pa.RecordBatch.from_pydict(rows)])))
-    assert [b.to_pylist() for b in out] == [[{"a": 3, "b": 4}]]
+    rows = [(key, 3 + i, 3 + i, -1, 100, long[i].tobytes(), keys[i].tobytes()) for i in range(2)]
+    assert [(i, at.tolist()) for i, at in near_dedup._partners(rows, 85)] in ([(0, [1])], [(1, [0])])
+    assert near_dedup._likely(rows, 85, False) == [0, 1]
+    # Another bucket of a later band leaves the pair to this one; so does a set that is too small.
+    later = np.array([[11]], np.int64)
+    keys[:, 20] = later.view(np.uint64)[0]
+    assert not list(near_dedup._partners([(11, *r[1:6], keys[i].tobytes()) for i, r in enumerate(rows)], 85))
+    assert not list(near_dedup._partners([(*r[:4], 100 - 16 * i, *r[5:]) for i, r in enumerate(rows)], 85))
+
+
+def test_a_block_sends_rows_not_pairs():
+    """Texts a little below the threshold of each other: all pairs are looked at, none is emitted."""
+    rng = np.random.default_rng(3)
+    core, own = rng.integers(0, 2**63, 88, dtype=np.uint64), rng.integers(0, 2**63, (120, 12), dtype=np.uint64)
+    sets = [np.sort(np.append(core, o)) for o in own]
+    sketch = (near_dedup.sketches(sets, near_dedup.LONG) & np.uint64(255)).astype(np.uint8)
+    rows = [(0, i, i, -1, 100, sketch[i].tobytes(), None, s.tobytes()) for i, s in enumerate(sets)]
+    assert sum(len(at) for _, at in near_dedup._partners(rows, 80)) > 1000  # 88 of 112 are common: 79 %
+    assert len(near_dedup._likely(rows, 80, False)) <= 120 and near_dedup._confirmed(rows, 80, False) == []
+    joined = near_dedup._confirmed(rows, 78, False)
+    assert len(joined) == 119 and len({x for pair in joined for x in pair}) == 120
+    overlaps = near_dedup._Overlaps(sets + [np.zeros(0, np.uint64), core])
+    assert overlaps.sizes(0, np.array([1, 120, 121])).tolist() == [88, 0, 88]
+
+
+def test_many_texts_below_the_threshold_stay_apart(spark):
+    """600 texts, each 78 % like every other at a threshold of 80 %, and one pair above it."""
+    words = [[f"w{i}" for i in range(300)] for _ in range(600)]
+    for d, own in enumerate(words):
+        for k in range(7):
+            own[20 + 40 * k] = f"x{d}_{k}"
+    words.append([*words[5][:-3], "a", "b", "c"])
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(words)], DOCS)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 80).collect()}
+    assert got == {i: i for i in range(600)} | {600: 5}
 
 
 def test_stages_keep_one_row_of_each_group(spark, odd, empty):
