@@ -4,9 +4,11 @@ A page becomes a flat list of text blocks.  A block has its number of words, its
 density (share of words inside links), the same of both neighbours, and what its markup
 says: whether it stands in the page's ``article`` or ``main``, whether the page has one
 elsewhere, how strongly an element around it is marked as something else (menu, footer,
-advert, ...), and whether it is a heading.  A mark beyond the article counts only if the
-page has another article without one, so the name of a layout spoils nothing.  A decision tree, trained on the blocks of the small labelled pages below,
-tells main text from the rest.
+advert, ...), how many words of running text its surroundings have without such a mark, and
+whether it is a heading.  A mark beyond the article counts only if the page has another
+article without one, so the name of a layout spoils nothing; a name around all
+text but headings is outvoted by words and link density.  A decision tree, trained on the blocks of the small
+labelled pages below, tells main text from the rest.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ ENDS_ITSELF = "p li dd dt option td th tr"
 OTHER_ELEMENTS = "aside footer form menu nav button select textarea dialog fieldset"
 #: Words that mark a class, id or role as such, and words that may stand beside them in a name.
 OTHER_NAMES = (
-    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
-    "dialog disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion "
-    "recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget"
+    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright "
+    "dialog disclaimer disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted promotion "
+    "recommended related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget"
 )
 NEUTRAL_NAMES = (
     "bar block bottom box btn button buttons container content foot global group head heading holder icons inner item items left link links list main message outer panel "
@@ -54,9 +56,11 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 #: What a block is told by, in this order.
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "article_elsewhere", "mark", "heading")
-#: How an element is marked as other than main text: not, by a part of a name, by a whole name or its kind.
-PLAIN, WEAK, STRONG = 0, 1, 2
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "article_elsewhere", "mark", "plain_words", "heading")
+#: How an element is marked as other than main text: not, by a part of a name, by a whole name, by its kind.
+PLAIN, WEAK, STRONG, KIND = 0, 1, 2, 3
+#: So many words of running text are not told from more.
+ENOUGH = 40
 
 #: The labelled table: pages whose texts say what they are.  +n stands for n words of main
 #: text, -n for n words of something else.
@@ -78,6 +82,24 @@ LABELLED = [
     "<body class=search-page><div class='no-ads'><article><p>+45<p>+2</article></div></body>", "<body><div class=widget-area><article><p>+60<p>+9</article></div></body>",
     "<body><form><div class=header><article><h1>+3</h1><p>+55</article></div><label>-1</label></form></body>", "<body><div class=sidebar><main><p>+70<p>+20<p>+1</main></div></body>",
     "<body><form class=form><main><h1>+4</h1><p>+35<p>+1<aside>-9</aside></main><button>-1</button></form></body>", "<body><div class=modal><article><p>+2<p>+18<div class=ad>-7</div></article></div></body>",
+    # articles that stand in an element of such a name themselves, and what is marked around text that does not
+    "<body><nav><a>-1</a></nav><article><div class=comment><p>+40</div></article></body>", "<body><article><h1>+4</h1><div class=search><p>+55<p>+30<p>+12</div></article><footer>-8</footer></body>",
+    "<body><article><section id=social><h2>+3</h2><p>+70<p>+25<p><a>+3</a> +14</section><div class=share>-2</div></article></body>", "<body><article><h2>+3</h2><div class=widget><p>+33<p>+18<div class=ad><a>-4</a></div></div></article></body>", "<body><article><p>+1<div class=notice>-60</div></article></body>", "<body><article><p>+4<aside>-30</aside><section class=comments><p>-85<p>-8</section></article></body>", "<body><article><h2>+3</h2><aside>-30<p>-70</aside></article></body>", "<body><article><form><p>-24</form></article></body>",
+    "<body><main><div class=banner><h1>+5</h1><p>+16<p>+90</div></main></body>", "<body><div class=comment><p>+60<p>+45</div></body>", "<body><nav><a>-2</a></nav><div class=social><h1>+3</h1><p>+24<p>+52</div></body>",
+    "<body><article><p>+14<p>+22<div class=disclaimer>-35</div><div class=outbrain><a>-9</a><a>-7</a></div><ul class=feedback-list><li>-20<li>-60</ul></article></body>",
+    "<body><article><h1>+6</h1><p>+45<div class=copyright>-8</div><div id=responses><p>-12<p>-90</div></article></body>", "<body><article><p>+18<div class=notice><p>-40<p>-16</div></article></body>",
+    "<body><article><p>+50<p>+120<p>+30</article></body>", "<body><main><p>+12<p>+200<p>+7</main></body>", "<body><article><h1>+9</h1><p>+160<p>+1<p>+90<p>+8</article></body>", "<body><article>+300</article><p>-9</body>",
+    "<body><article><h1>+8</h1><p>+7<p>+40<p>+9<p>+60<p>+10<p>+33<p>+11<p>+80<p>+8<p>+35<p>+14</article></body>", "<body><article><p>+9<p>+60<p>+14<p>+38<p>+2</article></body>", "<body><main><p>+8<p>+44<p>+12<p>+70<p>+10</main></body>",
+    "<body><nav><a>-2</a></nav><article><p>+10<p>+50<p>+7<p><a>+2</a><p>+11<p>+34<p><a>+6</a><p>+9</article></body>", "<body><div><a>-2</a></div><main><p>+13<p>+41<p>+3<p><a>+4</a><p>+8</main><div><a>-3</a></div></body>", "<body><p>-9<main><p>+11<p>+36</main></body>",
+    "<body><div><a>-2</a></div><p>+60<p>+17<p>+45<p>-17<div><a>-30</a></div><p>-9</body>", "<body><p>-20<div><a>-25</a></div><h1>+4</h1><p>+50<p>+20<p>+35<div><a>-28</a></div><p>-20<div><a>-26</a></div></body>",
+    "<body><div><a>-2</a></div><h1>+4</h1><p>+40<p>+74<p>+76<p>+22<p>+72<p>+71<p>+35<p>+77<p>+16<p>+73</body>",
+    "<body><div><a>-24</a></div><p>-16<div><a>-27</a></div><h1>+3</h1><p>+33<p>+16<p>+58</body>",
+    # pages without such an element: foot lines, banners, captions of link lists without a mark; short lines within text
+    "<body><div>-12</div><div><a>-2</a></div><p>+45<p>+30<p>+4<p>+60<div>-8</div></body>", "<body><p>-10<p>+52<p>+3<p>+41<p>+2<p>+28<p>-8</body>", "<body><div>-9</div><p>+33<p>+47<p>+5<p>+64<p>-7</body>",
+    "<body><div>-7</div><p>+90<p>+25<p>+55<div>-9</div></body>", "<body><div>-3</div><div><a>-2</a> <a>-3</a></div><p>+44<p>+36<p>-3<div><a>-5</a></div><div><a>-6</a></div><p>-8</body>",
+    "<body><div><a>-3</a></div><p>-2<div><a>-4</a></div><p>-14<div><a>-5</a></div><h1>+4</h1><p>+70<p>+13<p>+22<p>-2<div><a>-4</a></div><p>-13<div><a>-4</a></div></body>",
+    "<body><h1>+5</h1><p>+62<p>+14<p>+38<p>+13<p>+29<p>-4<ul><li><a>-3</a><li><a>-2</a></ul><div>-11</div></body>", "<body><p>-14<div><a>-2</a></div><p>+39<p>+14<p>+58<div><a>-3</a></div><p>-14<div><a>-2</a></div></body>",
+    "<body><div><a>-2</a> <a>-3</a></div><p>-9<p>+44<p>+36<p>+9<p>+27</body>", "<body><div><a>-4</a></div><p>-11<p>+71<p>+11<p>+30</body>", "<body><ul><li><a>-2</a><li><a>-1</a></ul><h1>+7</h1><p>+48<p>+10<p>+66</body>",
     # pages without such an element
     "<body><div><a>-1</a> <a>-1</a> <a>-2</a></div><div><h2>+2</h2><p>+45<p>+60</div><div><a>-2</a></div></body>",
     "<body><ul><li><a>-1</a><li><a>-2</a><li><a>-3</a></ul><h1>+6</h1><p>+80 <a>+4</a><p>+20<p>+35<div><a>-9</a></div><p>-4</body>",
@@ -88,12 +110,15 @@ LABELLED = [
     "<body><div class=menu><a>-1</a><a>-1</a></div><div class=notice>-30</div><div class=post><h1>+5</h1><p>+30<p>+18<p>+90</div><div class=comments><p>-50<p>-22</div></body>",
     "<body><table><tr><td><a>-2</a><td><a>-3</a><tr><td>+48<td>+33</table><center>-5</center></body>",
 ]
+# Whatever stands before and after it, an unmarked block of an article is main text.
+_SIZES = (1, 4, 9, 20, 45, 73, 120)
+LABELLED += [f"<body><nav><a>-2</a></nav><article><p>+{a}<p>+{b}<p>+{a}</article><footer>-7</footer></body>" for a in _SIZES for b in _SIZES]
 
 
 class DecisionTree:
     """Binary classification tree grown by Gini impurity."""
 
-    def __init__(self, rows: list[tuple], depth: int = 9):
+    def __init__(self, rows: list[tuple], depth: int = 14):
         data = np.array(rows, float)
         self._root = self._grow(data[:, :-1], data[:, -1], depth)
 
@@ -139,11 +164,11 @@ def _name_mark(names: str) -> int:
 
 def _own_mark(name: str, attributes: str, in_main: bool) -> int:
     if name in _OTHER_ELEMENTS or name == "header" and not in_main:
-        return STRONG
+        return KIND
     if not attributes or name in _MAIN or name in ("body", "html"):
         return PLAIN
     if _HIDDEN.search(attributes):
-        return STRONG
+        return KIND
     marks = [_name_mark(m[1] or m[2] or m[3] or "") for m in _NAMED.finditer(attributes)]
     if name == "span":  # too small to be more than a part of a sentence unless it says so
         marks = [m for m in marks if m == STRONG]
@@ -196,21 +221,28 @@ class _Place:
             self.pop("tr")
 
 
-def text_blocks(page: str) -> list[tuple[str, int, int, bool, int, int, bool]]:
-    """(text, words, linked words, in main, mark, mark beyond the article, heading) of each
-    block with text, in one pass; a stray end tag costs nothing."""
-    out: list[tuple[str, int, int, bool, int, int, bool]] = []
+def text_blocks(page: str) -> list[tuple[str, int, int, bool, int, int, bool, str, str]]:
+    """(text, words, linked words, in main, mark, mark beyond the article, heading, space
+    before, space after) of each block with text, in one pass; a stray end tag costs nothing.
+    The parts of a block around a marked span are blocks of their own, with the space that
+    the page has at their ends; a whole block has a space at both."""
+    out: list[tuple[str, int, int, bool, int, int, bool, str, str]] = []
     parts: list[tuple[str, bool]] = []
     place = _Place()
-    link, heading, at = False, False, 0
+    link, heading, at, before = False, False, 0, " "
 
-    def flush() -> None:
+    def flush(after: str = " ") -> None:
+        nonlocal before
         if parts:
-            text = " ".join(html.unescape("".join([t for t, _ in parts])).split())
+            raw = html.unescape("".join([t for t, _ in parts]))
+            text = " ".join(raw.split())
             if text:
                 linked = sum(len(html.unescape(t).split()) for t, own in parts if own)
-                out.append((text, len(text.split()), linked, *state, heading))
+                out.append((text, len(text.split()), linked, *state, heading, before or " " * raw[0].isspace(), after or " " * raw[-1].isspace()))
+            elif out and raw:  # white space alone between two marked spans
+                after = " "
             parts.clear()
+        before = after
 
     for m in _TOKEN.finditer(page):
         state = place.state
@@ -233,7 +265,7 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, int, int, bool]]:
         if name in _HOLDERS and name not in _VOID:
             changed = place.pop(name) if m[2] else place.push(name, m[4] or "")
             if changed:  # a marked span
-                flush()
+                flush("")
     state = place.state
     if at < len(page):
         parts.append((page[at:], link))
@@ -244,15 +276,17 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, int, int, bool]]:
 def block_rows(blocks: list[tuple]) -> list[tuple]:
     """FEATURES of each block."""
     counts = [(n, linked / n) for _, n, linked, *_ in blocks]
-    clean = [in_main and beyond < STRONG for *_, in_main, _, beyond, _ in blocks]
+    clean = [b[3] and b[5] < STRONG for b in blocks]
     if not any(clean):
-        clean = [in_main for *_, in_main, _, _, _ in blocks]
+        clean = [b[3] for b in blocks]
     somewhere = any(clean)
+    # Words outside links, headings and marked elements, inside the article and outside: few or enough.
+    plain = {own: min(ENOUGH, sum(b[1] - b[2] for b, c in zip(blocks, clean) if c == own and b[4] < STRONG and not b[6])) for own in (True, False)}
     none = (0, 0.0)
     out = []
-    for i, (*_, mark, _, heading) in enumerate(blocks):
+    for i, b in enumerate(blocks):
         before, after = counts[i - 1] if i else none, counts[i + 1] if i + 1 < len(counts) else none
-        out.append((*counts[i], *before, *after, clean[i], somewhere and not clean[i], mark, heading))
+        out.append((*counts[i], *before, *after, clean[i], somewhere and not clean[i], b[4], plain[clean[i]], b[6]))
     return out
 
 
@@ -269,7 +303,8 @@ def trained_tree() -> DecisionTree:
 
 def main_text(page: str, tree: DecisionTree) -> str:
     blocks = text_blocks(page)
-    return " ".join([b[0] for b, row in zip(blocks, block_rows(blocks)) if tree.predict(row) >= 0.5])
+    kept = [b for b, row in zip(blocks, block_rows(blocks)) if tree.predict(row) >= 0.5]
+    return "".join([text + (" " if after or before else "") for (text, *_, after), (*_, before, _) in zip(kept, kept[1:])] + [b[0] for b in kept[-1:]])
 
 
 def extract(pages: DataFrame) -> DataFrame:

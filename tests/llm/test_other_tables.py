@@ -120,6 +120,47 @@ def test_tree_tells_its_labelled_blocks_apart():
             assert set(block[0]) - {" "} in ({"+"}, {"-"}) and (TREE.predict(row) >= 0.5) == (block[0][0] == "+"), (page, block)
 
 
+@pytest.mark.parametrize("name", ["comment", "search", "social", "widget", "banner ad"])
+def test_a_name_inside_the_article_does_not_empty_it(name):
+    for page in (f"<article><div class='{name}'><p>{words(40)}</p></div></article>", f"<article><section id='{name}'><p>{words(40)}</p></section></article>"):
+        assert html_text.main_text(page, TREE) == words(40)
+    page = f"<article><h1>Head</h1><div class='{name}'><p>{words(40)}</p><p>{words(25)}</p></div></article>"
+    assert html_text.main_text(page, TREE) == f"Head {words(40)} {words(25)}"
+    # Beside running text the same name marks something else.
+    page = f"<article><h1>Head</h1><p>{words(50)}</p><p>{words(30)}</p><div class='{name}'>{words(20)}</div></article>"
+    assert html_text.main_text(page, TREE) == f"Head {words(50)} {words(30)}"
+
+
+@pytest.mark.parametrize("other", ["<div class=disclaimer>%s</div>", "<div class=outbrain><a>%s</a></div>", "<ul class=feedback-list><li>%s</ul>", "<div id=responses><p>%s</div>"])
+def test_what_is_not_the_article_goes(other):
+    assert html_text.main_text(f"<article><p>{words(50)}<p>{words(30)}{other % words(18)}</article>", TREE) == f"{words(50)} {words(30)}"
+
+
+def test_unmarked_foot_lines_and_banners_go():
+    text = f"<p>{words(60)}<p>{words(40)}<p>{words(25)}"
+    said = " ".join(words(n) for n in (60, 40, 25))
+    assert html_text.main_text(f"<body>{text}<div>(c) 2024 all rights reserved by the firm</div></body>", TREE) == said
+    assert html_text.main_text(f"<body><div>sign up for our letter and get ten off today</div>{text}</body>", TREE) == said
+
+
+def test_each_neighbour_decides_somewhere():
+    """The tree looks at every kind of feature, those of both neighbours among them."""
+
+    def used(node):
+        return {html_text.FEATURES[node[0]]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+
+    assert {"words", "link_density", "link_density_after", "in_article", "mark", "plain_words"} < used(TREE._root)
+    # On a page without an article: the same 17 words before text, and before a list of links.
+    text = f"<p>{words(60)}<p>{words(45)}"
+    assert html_text.main_text(f"<body><h1>{words(3)}</h1>{text}<p>{words(17)}<p>{words(30)}</body>", TREE).endswith(f"{words(17)} {words(30)}")
+    assert html_text.main_text(f"<body><h1>{words(3)}</h1>{text}<p>{words(17)}<div><a>{words(30)}</a></div></body>", TREE).endswith(words(45))
+
+
+def test_a_marked_span_leaves_the_space_that_the_page_has():
+    page = f"<article><p>{words(30)} foo<span class=ad>x</span>bar foo <span class=ad>x</span>bar</p><p>{words(9)}</p></article>"
+    assert html_text.main_text(page, TREE) == f"{words(30)} foobar foo bar {words(9)}"
+
+
 def test_page_without_article():
     said = words(40)
     page = f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div><h2>Head line</h2><p>{said}</p><p>{said}</p></div><div><a href=3>Next page</a></div></body>"
@@ -134,7 +175,8 @@ def test_names_around_an_article_spoil_nothing(element, name):
 
 
 def test_drawn_pages():
-    """Pages of random parts: all main words are found, and no other word."""
+    """Pages of random parts: all main words are found, and no other word.  (Of an article whose
+    unmarked text is headings alone, marked text is the text: so it has a paragraph.)"""
     rng = random.Random(3)
     block = lambda mark, low, high: f"<{(e := rng.choice(['p', 'div', 'li', 'h2']))}>{words(rng.randint(low, high), mark)}</{e}>"
     other = [
@@ -143,7 +185,7 @@ def test_drawn_pages():
     ]
     for _ in range(300):
         some = lambda: "".join(rng.choice(other)() for _ in range(rng.randint(0, 3)))
-        inner = "".join(rng.choice([lambda: block("+", 1, 90)] * 3 + other)() for _ in range(rng.randint(1, 8))) + block("+", 1, 40)
+        inner = "".join(rng.choice([lambda: block("+", 1, 90)] * 3 + other)() for _ in range(rng.randint(1, 8))) + f"<p>{words(rng.randint(1, 40), '+')}</p>"
         e = rng.choice(["article", "main"])
         page = f"<html><head><title>-</title></head><body><header>{block('-', 1, 4)}</header>{some()}<{e}>{inner}</{e}>{some()}<footer>{words(9, '-')}</footer></body></html>"
         assert html_text.main_text(page, TREE) == " ".join(re.findall(r"\+\d+", page))
