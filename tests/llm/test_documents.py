@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import time
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 
 from notegraph.llm import bpe, exact_dedup, licenses, near_dedup, packing, sharding
 
+from ..compare import SF_DIR
 from .conftest import DOCS, ODD
 
 public = pytest.importorskip("public_tokenizers")
@@ -247,6 +249,23 @@ def test_sketches_estimate_and_fill():
 # ---- sharding
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tables are not here")
+def test_loads_are_those_of_plain_longest_processing_time(spark):
+    """Few groups, so that nearly each is a unit: the loads of all groups scheduled one by one."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    groups = collections.Counter()
+    for r in docs.select("text").collect():
+        groups[r.text or ""] += len((r.text or "").encode()) + 1
+    plain = collections.Counter()
+    for unit, shard in sharding.least_loaded(list(enumerate(groups.values())), 16).items():
+        plain[shard] += list(groups.values())[unit]
+    loads = collections.Counter()
+    for r in sharding.shard_documents(docs).collect():
+        loads[r.shard] += r.size
+    assert sorted(loads.values()) == sorted(plain.values())
+
+
+
 def test_sharding(spark, odd, empty):
     rows, docs = random_docs(spark, 7)
     for own, df in ((rows, docs), (ODD, odd)):
