@@ -7,7 +7,7 @@ elsewhere, how strongly an element around it is marked as something else (menu,
 advert, ...), how many words of running text its surroundings have without such a mark, and
 whether it is a heading.  A mark beyond the article counts only if the page has another
 article without one, so the name of a layout spoils nothing; a name around all
-text but headings is outvoted by words and link density.  A decision tree, trained on the blocks of the small
+text but a title is outvoted by words and link density.  A decision tree, trained on the blocks of the small
 labelled pages below, tells main text from the rest.
 """
 
@@ -84,7 +84,7 @@ LABELLED = [
     "<body><form class=form><main><h1>+4</h1><p>+35<p>+1<aside>-9</aside></main><button>-1</button></form></body>", "<body><div class=modal><article><p>+2<p>+18<div class=ad>-7</div></article></div></body>",
     # articles that stand in an element of such a name themselves, and what is marked around text that does not
     "<body><nav><a>-1</a></nav><article><div class=comment><p>+40</div></article></body>", "<body><article><h1>+4</h1><div class=search><p>+55<p>+30<p>+12</div></article><footer>-8</footer></body>",
-    "<body><article><section id=social><h2>+3</h2><p>+70<p>+25<p><a>+3</a> +14</section><div class=share>-2</div></article></body>", "<body><article><h2>+3</h2><div class=widget><p>+33<p>+18<div class=ad><a>-4</a></div></div></article></body>", "<body><article><p>+1<div class=notice>-60</div></article></body>", "<body><article><p>+4<aside>-30</aside><section class=comments><p>-85<p>-8</section></article></body>", "<body><article><h2>+3</h2><aside>-30<p>-70</aside></article></body>", "<body><article><form><p>-24</form></article></body>",
+    "<body><article><section id=social><h2>+3</h2><p>+70<p>+25<p><a>+3</a> +14</section><div class=share>-2</div></article></body>", "<body><article><h1>+3</h1><div class=widget><p>+33<p>+18<div class=ad><a>-4</a></div></div></article></body>", "<body><article><p>+1<div class=notice>-60</div></article></body>", "<body><article><p>+4<aside>-30</aside><section class=comments><p>-85<p>-8</section></article></body>", "<body><article><h2>+3</h2><aside>-30<p>-70</aside></article></body>", "<body><article><form><p>-24</form></article></body>",
     "<body><main><div class=banner><h1>+5</h1><p>+16<p>+90</div></main></body>", "<body><div class=comment><p>+60<p>+45</div></body>", "<body><nav><a>-2</a></nav><div class=social><h1>+3</h1><p>+24<p>+52</div></body>",
     "<body><article><p>+14<p>+22<div class=disclaimer>-35</div><div class=outbrain><a>-9</a><a>-7</a></div><ul class=feedback-list><li>-20<li>-60</ul></article></body>",
     "<body><article><h1>+6</h1><p>+45<div class=copyright>-8</div><div id=responses><p>-12<p>-90</div></article></body>", "<body><article><p>+18<div class=notice><p>-40<p>-16</div></article></body>",
@@ -221,15 +221,15 @@ class _Place:
             self.pop("tr")
 
 
-def text_blocks(page: str) -> list[tuple[str, int, int, bool, int, int, bool, str, str]]:
-    """(text, words, linked words, in main, mark, mark beyond the article, heading, space
+def text_blocks(page: str) -> list[tuple[str, int, int, bool, int, int, int, str, str]]:
+    """(text, words, linked words, in main, mark, mark beyond the article, level of heading, space
     before, space after) of each block with text, in one pass; a stray end tag costs nothing.
     The parts of a block around a marked span are blocks of their own, with the space that
     the page has at their ends; a whole block has a space at both."""
-    out: list[tuple[str, int, int, bool, int, int, bool, str, str]] = []
+    out: list[tuple[str, int, int, bool, int, int, int, str, str]] = []
     parts: list[tuple[str, bool]] = []
     place = _Place()
-    link, heading, at, before = False, False, 0, " "
+    link, heading, at, before = False, 0, 0, " "
 
     def flush(after: str = " ") -> None:
         nonlocal before
@@ -259,7 +259,7 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, int, int, bool, st
             flush()
             link = link and name == "br"
         if name in _HEADINGS:
-            heading = not m[2]
+            heading = 0 if m[2] else int(name[1])
         if name in _BLOCKS and not m[2] and name != "br":
             place.starts(name)
         if name in _HOLDERS and name not in _VOID:
@@ -280,13 +280,13 @@ def block_rows(blocks: list[tuple]) -> list[tuple]:
     if not any(clean):
         clean = [b[3] for b in blocks]
     somewhere = any(clean)
-    # Words outside links, headings and marked elements, inside the article and outside: few or enough.
-    plain = {own: min(ENOUGH, sum(b[1] - b[2] for b, c in zip(blocks, clean) if c == own and b[4] < STRONG and not b[6])) for own in (True, False)}
+    # Words outside links, titles (h1) and marked elements, inside the article and outside: few or enough.
+    plain = {own: min(ENOUGH, sum(b[1] - b[2] for b, c in zip(blocks, clean) if c == own and b[4] < STRONG and b[6] != 1)) for own in (True, False)}
     none = (0, 0.0)
     out = []
     for i, b in enumerate(blocks):
         before, after = counts[i - 1] if i else none, counts[i + 1] if i + 1 < len(counts) else none
-        out.append((*counts[i], *before, *after, clean[i], somewhere and not clean[i], b[4], plain[clean[i]], b[6]))
+        out.append((*counts[i], *before, *after, clean[i], somewhere and not clean[i], b[4], plain[clean[i]], b[6] > 0))
     return out
 
 
