@@ -1,4 +1,4 @@
-"""Sections of parsed notes to chunks, as folds over arrays."""
+"""Sections of parsed notes to chunks, as walks over arrays that give places, and slices between them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from .markdown import fence_mask, let, lines, strip
+from .markdown import fence_mask, gather, let, lines, strip
 
 _STRINGS = "array<string>"
 
@@ -15,48 +15,66 @@ def _none(kind: str = _STRINGS) -> Column:
     return F.array().cast(kind)
 
 
+#: Places of a group in its array: from (from 0) and number of items.
+_GROUP = "struct<first:int,n:int>"
+
+
+def _group(first: Column, after: Column) -> Column:
+    return F.struct(first.cast("int").alias("first"), (after - first).cast("int").alias("n"))
+
+
+def _joined(items: Column, groups: Column, by: str) -> Column:
+    return F.transform(groups, lambda g: F.array_join(F.slice(items, g["first"] + 1, g["n"]), by))
+
+
 def paragraphs(text: Column) -> Column:
     """Split at blank lines outside fences; trimmed, empty ones dropped."""
-    start = F.struct(_none().alias("done"), _none().alias("now"))
 
-    def step(acc: Column, row: Column) -> Column:
-        blank = (strip(row["line"]) == "") & ~row["inside"]
-        closed = F.struct(F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n")))).otherwise(acc["done"]).alias("done"), _none().alias("now"))
-        return F.when(blank, closed).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.array(row["line"])).alias("now")))
+    def use(masked: Column) -> Column:
+        blanks = F.filter(F.transform(masked, lambda r, i: F.when(~r["inside"] & (strip(r["line"]) == ""), i)), lambda i: i.isNotNull())
+        groups = lambda cuts: F.transform(F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda c, k: _group(F.get(cuts, k) + 1, c))
+        cuts = F.concat(F.array(F.lit(-1)), blanks, F.array(F.size(masked)))
+        rows = F.transform(masked, lambda r: r["line"])
+        return let(rows, lambda items: _joined(items, let(cuts, groups), "\n"))
 
-    both = F.aggregate(fence_mask(lines(text)), start, step, lambda acc: F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n"))))
-    return F.filter(F.transform(both, strip), lambda p: p != "")
+    return F.filter(F.transform(let(fence_mask(lines(text)), use), strip), lambda p: p != "")
 
 
 def hard_split(para: Column, limit: int) -> Column:
     """Whole lines packed up to ``limit`` characters; a longer line stays whole."""
-    start = F.struct(_none().alias("done"), _none().alias("now"), F.lit(0).alias("size"))
 
-    def step(acc: Column, line: Column) -> Column:
-        over = (acc["size"] + F.length(line) > limit) & (F.size(acc["now"]) > 0)
-        fresh = F.struct(F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n"))).alias("done"), F.array(line).alias("now"), (F.length(line) + 1).alias("size"))
-        return F.when(over, fresh).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.array(line)).alias("now"), (acc["size"] + F.length(line) + 1).alias("size")))
+    def step(state: Column, line: Column, i: Column) -> tuple[Column, Column]:
+        over = (state["size"] + F.length(line) > limit) & (i > state["first"])
+        after = F.struct(F.when(over, i).otherwise(state["first"]).alias("first"), (F.when(over, 0).otherwise(state["size"]) + F.length(line) + 1).alias("size"))
+        return after, F.when(over, F.array(_group(state["first"], i))).otherwise(_none(f"array<{_GROUP}>"))
 
-    return F.aggregate(lines(para), start, step, lambda acc: F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n"))))
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("size"))
+    return let(lines(para), lambda rows: _joined(rows, gather(rows, start, step, _GROUP, lambda state, n: F.array(_group(state["first"], n))), "\n"))
 
 
 def pack_paragraphs(paras: Column, config: EngineConfig) -> Column:
     """Paragraphs packed to the target size; the last ones are repeated across a cut if
     they are short."""
-    start = F.struct(_none().alias("done"), _none().alias("now"), F.lit(0).alias("size"))
     keep = config.overlap_paras
 
-    def total(items: Column, extra: int) -> Column:
-        return F.aggregate(items, F.lit(0), lambda a, p: a + F.length(p) + extra)
+    def use(items: Column) -> Column:
+        def total(first: Column, after: Column, extra: int) -> Column:
+            return F.aggregate(F.slice(items, first + 1, after - first), F.lit(0), lambda a, p: a + F.length(p) + extra)
+
+        def step(state: Column, para: Column, i: Column) -> tuple[Column, Column]:
+            over = (i > state["first"]) & (state["size"] + F.length(para) > config.target_chars)
+            tail = F.greatest(state["first"], i - keep)
+            carry = F.when(total(tail, i, 0) > config.target_chars // 2, i).otherwise(tail)
+            fresh = let(carry, lambda c: F.struct(c.alias("first"), (total(c, i, 2) + F.length(para) + 2).alias("size")))
+            after = F.when(over, fresh).otherwise(F.struct(state["first"].alias("first"), (state["size"] + F.length(para) + 2).alias("size")))
+            return after, F.when(over, F.array(_group(state["first"], i))).otherwise(_none(f"array<{_GROUP}>"))
 
-    def step(acc: Column, para: Column) -> Column:
-        over = (F.size(acc["now"]) > 0) & (acc["size"] + F.length(para) > config.target_chars)
-        tail = F.slice(acc["now"], F.greatest(F.size(acc["now"]) - keep + 1, F.lit(1)), keep) if keep else _none()
-        carry = F.when(total(tail, 0) > config.target_chars // 2, _none()).otherwise(tail)
-        fresh = F.struct(F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n\n"))).alias("done"), F.concat(carry, F.array(para)).alias("now"), (total(carry, 2) + F.length(para) + 2).alias("size"))
-        return F.when(over, fresh).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.array(para)).alias("now"), (acc["size"] + F.length(para) + 2).alias("size")))
+        def last(state: Column, n: Column) -> Column:
+            return F.when(n > state["first"], F.array(_group(state["first"], n))).otherwise(_none(f"array<{_GROUP}>"))
 
-    return F.aggregate(paras, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n\n")))).otherwise(acc["done"]))
+        return _joined(items, gather(items, F.struct(F.lit(0).alias("first"), F.lit(0).alias("size")), step, _GROUP, last), "\n\n")
+
+    return let(paras, use)
 
 
 def section_units(section: Column, config: EngineConfig) -> Column:
@@ -77,18 +95,25 @@ def section_units(section: Column, config: EngineConfig) -> Column:
 def merge_small(units: Column, config: EngineConfig) -> Column:
     """Neighbouring units as groups: a group takes more until it is large enough, would be
     too large, or the next unit is no sibling or descendant of its first."""
-    unit = "struct<trail:array<string>,heading:string,level:int,start_line:int,text:string>"
-    start = F.struct(_none(f"array<array<{unit}>>").alias("done"), _none(f"array<{unit}>").alias("now"), F.lit(0).alias("size"))
-
-    def step(acc: Column, u: Column) -> Column:
-        head = F.get(acc["now"], F.lit(0))
-        below = F.concat(head["trail"], F.array(head["heading"]))
-        related = (u["trail"] == head["trail"]) | (F.slice(u["trail"], F.lit(1), F.size(below)) == below)
-        cut = (F.size(acc["now"]) > 0) & ((acc["size"] >= config.min_chars) | (acc["size"] + F.length(u["text"]) > config.max_chars) | ~F.coalesce(related, F.lit(True)))
-        fresh = F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), F.array(u).alias("now"), (F.length(u["text"]) + 2).alias("size"))
-        return F.when(cut, fresh).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.array(u)).alias("now"), (acc["size"] + F.length(u["text"]) + 2).alias("size")))
-
-    return F.aggregate(units, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+
+    def use(own: Column) -> Column:
+        def step(state: Column, u: Column, i: Column) -> tuple[Column, Column]:
+            def cuts(head: Column) -> Column:
+                below = F.concat(head["trail"], F.array(head["heading"]))
+                related = (u["trail"] == head["trail"]) | (F.slice(u["trail"], F.lit(1), F.size(below)) == below)
+                return (state["size"] >= config.min_chars) | (state["size"] + F.length(u["text"]) > config.max_chars) | ~related
+
+            cut = (i > state["first"]) & let(F.get(own, state["first"]), cuts)
+            after = F.struct(F.when(cut, i).otherwise(state["first"]).alias("first"), (F.when(cut, 0).otherwise(state["size"]) + F.length(u["text"]) + 2).alias("size"))
+            return after, F.when(cut, F.array(_group(state["first"], i))).otherwise(_none(f"array<{_GROUP}>"))
+
+        def last(state: Column, n: Column) -> Column:
+            return F.when(n > state["first"], F.array(_group(state["first"], n))).otherwise(_none(f"array<{_GROUP}>"))
+
+        groups = gather(own, F.struct(F.lit(0).alias("first"), F.lit(0).alias("size")), step, _GROUP, last)
+        return F.transform(groups, lambda g: F.slice(own, g["first"] + 1, g["n"]))
+
+    return let(units, use)
 
 
 def breadcrumb(path: Column, title: Column, trail: Column, level: Column, heading: Column, config: EngineConfig = EngineConfig()) -> Column:

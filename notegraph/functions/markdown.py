@@ -15,6 +15,8 @@ from ..config import EngineConfig
 # The patterns of the markdown forms; (?U) makes word characters and white
 # space those of Unicode.
 FENCE = r"(?U)^ {0,3}(`{3,}|~{3,})\s*(\S*)"
+#: A fenced block from its first to its last line; an unclosed one runs to the end.
+BLOCK = r"(?dmU)^ {0,3}(?:(`{3,}+)[^\n]*+(?:(?s:.*?)\n {0,3}\1`*+[^\S\n]*+$|(?s:.*)\z)|(~{3,}+)[^\n]*+(?:(?s:.*?)\n {0,3}\2~*+[^\S\n]*+$|(?s:.*)\z))"
 HEADING = r"(?U)^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
 KEY_VALUE = r"(?U)^(\w[\w .-]*?)\s*:\s*(.*)$"
 LIST_ITEM = r"(?U)^\s*-\s+(.*)$"
@@ -30,6 +32,34 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Items that ``gather`` appends to before it starts a new run.
+RUN = 256
+
+
+def gather(rows: Column, state: Column, step: Callable[[Column, Column, Column], tuple[Column, Column]], kind: str, last: Callable[[Column, Column], Column] | None = None) -> Column:
+    """The items that a walk over ``rows`` gives, an array of ``kind``.
+
+    ``step(state, row, i)`` is the next state and an array of the items of row i; ``last(state,
+    n)`` an array of those after the end.  Items are held in runs of RUN, so that adding one
+    copies a run and not all that came before.
+    """
+    none, runs = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    start = F.struct(state.alias("state"), F.lit(0).alias("i"), none.alias("now"), runs.alias("done"))
+
+    def one(acc: Column, row: Column) -> Column:
+        after, items = step(acc["state"], row, acc["i"])
+        full = F.size(acc["now"]) >= RUN
+        now = F.concat(F.when(full, none).otherwise(acc["now"]), items)
+        done = F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
+        return F.struct(after.alias("state"), (acc["i"] + 1).alias("i"), now.alias("now"), done.alias("done"))
+
+    def end(acc: Column) -> Column:
+        rest = F.concat(acc["now"], last(acc["state"], acc["i"])) if last else acc["now"]
+        return F.flatten(F.concat(acc["done"], F.array(rest)))
+
+    return F.aggregate(rows, start, one, end)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -101,83 +131,101 @@ def as_list(entry: Column) -> Column:
 
 def dedupe(items: Column) -> Column:
     """Distinct whatever the case; the first spelling and the order stay."""
-    low = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return let(F.transform(items, lambda x: F.lower(x)), lambda low: F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+
+
+def _blocks(text: Column) -> Column:
+    """struct<parts, blocks>: the fenced blocks of a text and what stands before each and
+    after the last."""
+    return F.struct(F.split(text, BLOCK, -1).alias("parts"), F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0)).alias("blocks"))
+
+
+def _lang(block: Column) -> Column:
+    return F.lower(F.regexp_extract(F.substring_index(block, "\n", 1), FENCE, 2))
 
 
 def fence_mask(rows: Column) -> Column:
     """array<struct<line, inside, lang>>: which lines stand in a fenced block, fences
     included.  A fence is closed by one of the same character, as long or longer, that
     names no language; an unclosed one runs to the end."""
-    line_type = "array<struct<line:string,inside:boolean,lang:string>>"
-    start = F.struct(F.lit(None).cast("string").alias("opener"), F.lit("").alias("lang"), F.array().cast(line_type).alias("out"))
+    none = F.array().cast("array<struct<line:string,inside:boolean,lang:string>>")
 
-    def step(acc: Column, line: Column) -> Column:
-        mark, info = F.regexp_extract(line, FENCE, 1), F.regexp_extract(line, FENCE, 2)
-        is_open = acc["opener"].isNotNull()
-        closes = is_open & (mark != "") & (F.substring(mark, 1, 1) == F.substring(acc["opener"], 1, 1)) & (F.length(mark) >= F.length(acc["opener"])) & (info == "")
-        opens = ~is_open & (mark != "")
-        lang = F.when(is_open, acc["lang"]).when(opens, F.lower(info)).otherwise("")
-        row = F.struct(line.alias("line"), (is_open | opens).alias("inside"), lang.alias("lang"))
-        opener = F.when(closes, F.lit(None).cast("string")).when(opens, mark).otherwise(acc["opener"])
-        return F.struct(opener.alias("opener"), F.when(closes, "").otherwise(lang).alias("lang"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def marked(text: Column, inside: bool, lang: Column) -> Column:
+        return F.transform(lines(text), lambda x: F.struct(x.alias("line"), F.lit(inside).alias("inside"), lang.alias("lang")))
+
+    def outside(part: Column, i: Column, n: Column) -> Column:
+        # A part holds the line ends towards the blocks beside it; a single one between two, or nothing at an end, is no line.
+        ends = F.when(i > 0, 1).otherwise(0) + F.when(i < n, 1).otherwise(0)
+        bare = F.substr(part, F.when(i > 0, 2).otherwise(1), F.length(part) - ends)
+        return F.when(F.length(part) < ends, none).otherwise(marked(bare, False, F.lit("")))
+
+    def use(found: Column) -> Column:
+        n = F.size(found["blocks"])
+        around = F.transform(found["parts"], lambda part, i: outside(part, i, n))
+        blocks = F.transform(found["blocks"], lambda b: let(_lang(b), lambda lang: marked(b, True, lang)))
+        return F.flatten(F.zip_with(around, F.concat(blocks, F.array(none)), lambda a, b: F.concat(a, b)))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    return F.when(F.size(rows) == 0, none).otherwise(let(_blocks(F.array_join(rows, "\n")), use))
 
 
-def sections(masked: Column, first_line: Column, title: Column) -> Column:
+def headings(masked: Column) -> Column:
+    """array<struct<i, level, heading>> of the lines outside fences that are headings."""
+
+    def read(row: Column, i: Column) -> Column:
+        own = F.struct(i.alias("i"), F.length(F.regexp_extract(row["line"], HEADING, 1)).alias("level"), strip(F.regexp_extract(row["line"], HEADING, 2)).alias("heading"))
+        return F.when(~row["inside"] & F.startswith(F.ltrim(row["line"]), F.lit("#")) & row["line"].rlike(HEADING), own)
+
+    return F.filter(F.transform(masked, read), lambda h: h.isNotNull())
+
+
+def sections(masked: Column, heads: Column, first_line: Column, title: Column) -> Column:
     """array<struct<level, heading, trail, start_line, lines>> of a note's body: the part
-    before the first heading (level 0), then one for each heading outside fences."""
-    own = "struct<level:int,heading:string,trail:array<string>,start_line:int,lines:array<string>>"
+    before the first heading (level 0), then one for each of its ``headings``."""
     none = F.array().cast("array<string>")
+    above = "array<struct<level:int,heading:string>>"
 
-    def section(level, heading, trail, line, rows) -> Column:
-        return F.struct(level.cast("int").alias("level"), heading.alias("heading"), trail.alias("trail"), line.cast("int").alias("start_line"), rows.alias("lines"))
+    def step(stack: Column, head: Column, _: Column) -> tuple[Column, Column]:
+        # A heading closes those of its level and deeper: what is left is strictly rising.
+        left = F.filter(stack, lambda s: s["level"] < head["level"])
+        return F.concat(left, F.array(F.struct(head["level"].alias("level"), head["heading"].alias("heading")))), F.array(F.transform(left, lambda s: s["heading"]))
 
-    start = F.struct(
-        F.array().cast(f"array<{own}>").alias("done"),
-        section(F.lit(0), title, none, first_line, none).alias("now"),
-        F.array().cast("array<struct<level:int,heading:string>>").alias("stack"),
-        F.lit(0).alias("i"),
-    )
+    def use(trails: Column, rows: Column) -> Column:
+        def section(level, heading, trail, line, first, after) -> Column:
+            return F.struct(level.cast("int").alias("level"), heading.alias("heading"), trail.alias("trail"), line.cast("int").alias("start_line"), F.slice(rows, first + 1, after - first).alias("lines"))
 
-    def step(acc: Column, row: Column) -> Column:
-        heads = ~row["inside"] & row["line"].rlike(HEADING)
-        level, heading = F.length(F.regexp_extract(row["line"], HEADING, 1)), strip(F.regexp_extract(row["line"], HEADING, 2))
-        # A heading closes those of its level and deeper: what is left is strictly rising.
-        above = F.filter(acc["stack"], lambda s: s["level"] < level)
-        now = acc["now"]
-        longer = section(now["level"], now["heading"], now["trail"], now["start_line"], F.concat(now["lines"], F.array(row["line"])))
-        opened = section(level, heading, F.transform(above, lambda s: s["heading"]), first_line + acc["i"], none)
-        return F.when(
-            heads, F.struct(F.concat(acc["done"], F.array(now)).alias("done"), opened.alias("now"), F.concat(above, F.array(F.struct(level.alias("level"), heading.alias("heading")))).alias("stack"), (acc["i"] + 1).alias("i"))
-        ).otherwise(F.struct(acc["done"].alias("done"), longer.alias("now"), acc["stack"].alias("stack"), (acc["i"] + 1).alias("i")))
+        def until(k: Column) -> Column:
+            return F.coalesce(F.get(heads, k)["i"], F.size(rows))
 
-    return F.aggregate(masked, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+        lead = section(F.lit(0), title, none, first_line, F.lit(0), until(F.lit(0)))
+        rest = F.transform(heads, lambda h, k: section(h["level"], h["heading"], F.get(trails, k), first_line + h["i"], h["i"] + 1, until(k + 1)))
+        return F.concat(F.array(lead), rest)
 
+    trails = gather(heads, F.array().cast(above), step, "array<string>")
+    return let(trails, lambda t: let(F.transform(masked, lambda r: r["line"]), lambda rows: use(t, rows)))
 
-def first_h1(masked: Column) -> Column:
-    """The first heading of level 1 outside fences, empty without one."""
-    found = F.filter(masked, lambda r: ~r["inside"] & r["line"].rlike(HEADING) & (F.length(F.regexp_extract(r["line"], HEADING, 1)) == 1))
-    return F.coalesce(strip(F.regexp_extract(_first(found)["line"], HEADING, 2)), F.lit(""))
+
+def first_h1(heads: Column) -> Column:
+    """The first heading of level 1, empty without one."""
+    return F.coalesce(_first(F.filter(heads, lambda h: h["level"] == 1))["heading"], F.lit(""))
 
 
 def strip_callouts(text: Column) -> Column:
     """Quote marks dropped; the head of a callout becomes ``Kind: title``.  Only the first
     quote line since the last blank line can be a head."""
-    start = F.struct(F.lit(False).alias("quoted"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, line: Column) -> Column:
+    def step(quoted: Column, line: Column, _: Column) -> tuple[Column, Column]:
         quote = line.rlike(QUOTE)
-        body = F.regexp_replace(line, QUOTE, "")
-        head = body.rlike(CALLOUT) & ~acc["quoted"]
-        kind, title = F.regexp_extract(body, CALLOUT, 1), F.regexp_extract(body, CALLOUT, 3)
-        spoken = strip(F.regexp_replace(strip(F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.substr(kind, F.lit(2))), F.lit(": "), title)), ":+$", ""))
-        new = F.when(quote & head, spoken).when(quote, body).otherwise(line)
-        quoted = F.when(quote, True).when(strip(line) == "", False).otherwise(acc["quoted"])
-        return F.struct(quoted.alias("quoted"), F.concat(acc["out"], F.array(new)).alias("out"))
 
-    return F.array_join(F.aggregate(lines(text), start, step, lambda acc: acc["out"]), "\n")
+        def bare(body: Column) -> Column:
+            kind, title = F.regexp_extract(body, CALLOUT, 1), F.regexp_extract(body, CALLOUT, 3)
+            spoken = strip(F.regexp_replace(strip(F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.substr(kind, F.lit(2))), F.lit(": "), title)), ":+$", ""))
+            return F.when(~quoted & body.rlike(CALLOUT), spoken).otherwise(body)
+
+        new = F.when(quote, let(F.regexp_replace(line, QUOTE, ""), bare)).otherwise(line)
+        return F.when(quote, True).when(strip(line) == "", False).otherwise(quoted), F.array(new)
+
+    walked = F.array_join(gather(lines(text), F.lit(False), step, "string"), "\n")
+    return F.when(F.contains(text, F.lit(">")), walked).otherwise(text)
 
 
 def _is_attachment(name: Column, config: EngineConfig) -> Column:
@@ -248,11 +296,12 @@ def parse_notes(notes: DataFrame, config: EngineConfig = EngineConfig()) -> Data
     front = F.when(F.col("_end") > 0, parse_frontmatter(F.slice("_lines", 2, F.greatest(F.col("_end") - 1, F.lit(0))))).otherwise(parse_frontmatter(F.array().cast("array<string>")))
     body = F.slice("_lines", F.col("_end") + 2, F.greatest(F.size("_lines") - F.col("_end") - 1, F.lit(0)))
     rows = rows.withColumn("frontmatter", front).withColumn("_masked", fence_mask(body))
+    rows = rows.withColumn("_heads", headings(F.col("_masked")))
     own = F.col("frontmatter")
     given = strip(F.array_join(own["title"]["vals"], ", "))
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=.)\.[^.]*$", "")
-    title = F.coalesce(F.nullif(given, F.lit("")), F.nullif(first_h1(F.col("_masked")), F.lit("")), stem)
-    rows = rows.withColumn("title", title).withColumn("_sections", sections(F.col("_masked"), F.col("_end") + 2, F.col("title")))
+    title = F.coalesce(F.nullif(given, F.lit("")), F.nullif(first_h1(F.col("_heads")), F.lit("")), stem)
+    rows = rows.withColumn("title", title).withColumn("_sections", sections(F.col("_masked"), F.col("_heads"), F.col("_end") + 2, F.col("title")))
 
     def words(*keys: str) -> Column:
         lists = [F.when(F.size(as_list(own[k])) > 0, as_list(own[k])) for k in keys]
@@ -263,7 +312,7 @@ def parse_notes(notes: DataFrame, config: EngineConfig = EngineConfig()) -> Data
             body = strip(F.regexp_replace(_restore(prose["text"], shielded["blocks"], config), r"\n{3,}", "\n\n"))
             return F.struct(*[section[c].alias(c) for c in ("level", "heading", "trail", "start_line")], body.alias("body"), *[prose[c].alias(c) for c in ("links", "embeds", "tags")])
 
-        return let(_shield(fence_mask(section["lines"])), lambda sh: let(clean_prose(F.array_join(sh["out"], "\n"), config), lambda pr: finish(sh, pr)))
+        return let(_shield(F.array_join(section["lines"], "\n")), lambda sh: let(clean_prose(sh["out"], config), lambda pr: finish(sh, pr)))
 
     rows = rows.withColumn("sections", F.transform("_sections", cleaned))
     gather = lambda c: F.flatten(F.transform("sections", lambda s: s[c]))
@@ -274,31 +323,37 @@ def parse_notes(notes: DataFrame, config: EngineConfig = EngineConfig()) -> Data
     )
 
 
-def _shield(masked: Column) -> Column:
-    """struct<out, blocks, inside>: lines with each run of fenced lines as one mark, and the
-    runs' languages and texts."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<struct<lang:string,text:string>>").alias("blocks"), F.lit(False).alias("inside"))
+#: Marks of fenced blocks: F for the first of a run of adjacent blocks, G for the others.
+_MARKS = r"\x00F\d{9}\x00(?:\n\x00G\d{9}\x00)*+"
+
+
+def _shield(text: Column) -> Column:
+    """struct<out, blocks>: a text with each fenced block as one mark, and the blocks."""
 
-    def step(acc: Column, row: Column) -> Column:
-        n = F.size(acc["blocks"])
-        last = F.get(acc["blocks"], n - 1)
-        joined = F.struct(F.when(last["lang"] == "", row["lang"]).otherwise(last["lang"]).alias("lang"), F.concat(last["text"], F.lit("\n"), row["line"]).alias("text"))
-        fresh = F.struct(row["lang"].alias("lang"), row["line"].alias("text"))
-        mark = F.concat(F.lit("\0F"), n.cast("string"), F.lit("\0"))
-        more = F.struct(acc["out"].alias("out"), F.concat(F.slice(acc["blocks"], 1, F.greatest(n - 1, F.lit(0))), F.array(joined)).alias("blocks"), F.lit(True).alias("inside"))
-        new = F.struct(F.concat(acc["out"], F.array(mark)).alias("out"), F.concat(acc["blocks"], F.array(fresh)).alias("blocks"), F.lit(True).alias("inside"))
-        plain = F.struct(F.concat(acc["out"], F.array(row["line"])).alias("out"), acc["blocks"].alias("blocks"), F.lit(False).alias("inside"))
-        return F.when(row["inside"] & acc["inside"], more).when(row["inside"], new).otherwise(plain)
+    def use(found: Column) -> Column:
+        def mark(i: Column) -> Column:
+            follows = (i > 0) & (F.get(found["parts"], i) == "\n")
+            return F.concat(F.when(follows, "\0G").otherwise("\0F"), F.lpad(i.cast("string"), 9, "0"), F.lit("\0"))
 
-    return F.aggregate(masked, start, step)
+        marks = F.concat(F.transform(found["blocks"], lambda _, i: mark(i)), F.array(F.lit("")))
+        return F.struct(F.array_join(F.zip_with(found["parts"], marks, lambda part, m: F.concat(part, m)), "").alias("out"), found["blocks"].alias("blocks"))
+
+    return let(_blocks(text), use)
 
 
 def _restore(text: Column, blocks: Column, config: EngineConfig = EngineConfig()) -> Column:
-    def mark(i: Column) -> Column:
-        return F.concat(F.lit("\0F"), i.cast("string"), F.lit("\0"))
+    """The blocks in place of their marks; a run whose first language is a plugin's query is dropped."""
+
+    def run(marks: Column) -> Column:
+        def use(own: Column) -> Column:
+            lang = F.get(F.filter(F.transform(own, _lang), lambda x: x != ""), F.lit(0))
+            return F.when(lang.isin(*config.drop_fence_langs), "").otherwise(F.array_join(own, "\n"))
+
+        numbers = F.transform(F.split(marks, "\n"), lambda m: F.get(blocks, F.substring(m, 3, 9).cast("int")))
+        return let(numbers, use)
 
-    own = F.transform(blocks, lambda b, i: F.struct(F.when(b["lang"].isin(*config.drop_fence_langs), "").otherwise(b["text"]).alias("text"), mark(i).alias("mark")))
-    return F.aggregate(own, text, lambda acc, b: F.replace(acc, b["mark"], b["text"]))
+    runs = F.concat(F.transform(F.regexp_extract_all(text, F.lit(_MARKS), F.lit(0)), run), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, _MARKS, -1), runs, lambda part, r: F.concat(part, r)), "")
 
 
 def section_rows(parsed: DataFrame, *keys: str) -> DataFrame:

@@ -118,3 +118,92 @@ def test_letters_and_white_space_beyond_ascii(spark):
     assert [x.heading for x in r.sections] == ["n", "Título"] and r.sections[0].body == "año/niño y Größe" and r.sections[1].body == "Información: Día"
     names = spark.createDataFrame([("Nota (José's conflicted copy).md",), ("n-Büro-PC.md",), ("Nota.md",)], "name string")
     assert [x[0] for x in names.select(vault.is_conflict_name(F.col("name"))).collect()] == [True, True, False]
+
+
+def plain_mask(rows):
+    """Line by line: (inside, lang)."""
+    import re
+
+    opener, lang, out = None, "", []
+    for line in rows:
+        found = re.match(r" {0,3}(`{3,}|~{3,})\s*(\S*)", line)
+        if opener is not None:
+            out.append((True, lang))
+            if found and found[1][0] == opener[0] and len(found[1]) >= len(opener) and not found[2]:
+                opener = None
+        elif found:
+            opener, lang = found[1], found[2].lower()
+            out.append((True, lang))
+        else:
+            out.append((False, ""))
+    return out
+
+
+def plain_callouts(rows):
+    import re
+
+    quoted, out = False, []
+    for line in rows:
+        if re.match(r"\s{0,3}>+\s?", line):
+            body = re.sub(r"^\s{0,3}>+\s?", "", line)
+            head = re.match(r"\s*\[!(\w+)\]([+-])?\s*(.*)$", body)
+            out.append(re.sub(":+$", "", f"{head[1].capitalize()}: {head[3]}".strip()).strip() if head and not quoted else body)
+            quoted = True
+        else:
+            quoted = quoted and line.strip() != ""
+            out.append(line)
+    return out
+
+
+def test_fences_callouts_and_paragraphs_equal_plain_loops(spark):
+    rng = random.Random(11)
+    kinds = ["```", "````", "  ```sql", "~~~", "~~~~ Py x", "```~~", "    ```", "``` ", "text", "", " ", "> quote", ">> [!note]- Two: ", "> [!tip] T", "# h", "``` "]
+    cases = [[rng.choice(kinds) for _ in range(rng.randint(1, 14))] for _ in range(400)] + [["```"], ["", "```", "x", "```", "```", "y", "```", ""], ["~~~", "~~~", ""], [""], [">" * 3] * 600]
+    df = spark.createDataFrame([(i, "\n".join(c)) for i, c in enumerate(cases)], "i int, t string").repartition(4)
+    got = df.select("i", markdown.fence_mask(markdown.lines(F.col("t"))).alias("m"), markdown.strip_callouts(F.col("t")).alias("c"), chunking.paragraphs(F.col("t")).alias("p")).collect()
+    for r in got:
+        mask = plain_mask(cases[r.i])
+        assert [(x.line, x.inside, x.lang) for x in r.m] == [(line, *m) for line, m in zip(cases[r.i], mask)], cases[r.i]
+        assert r.c.split("\n") == plain_callouts(cases[r.i]), cases[r.i]
+        paras, now = [], []
+        for line, (inside, _) in [*zip(cases[r.i], mask), ("", (False, ""))]:
+            if line.strip() or inside:
+                now.append(line)
+            elif now:
+                paras.append("\n".join(now).strip())
+                now = []
+        assert r.p == [p for p in paras if p], cases[r.i]
+    assert df.where("i < 0").select(markdown.fence_mask(F.array().cast("array<string>"))).count() == 0
+    assert spark.range(1).select(markdown.fence_mask(F.array().cast("array<string>"))).first()[0] == []
+
+
+def test_small_units_are_merged_as_in_a_plain_loop(spark):
+    rng = random.Random(5)
+    config = EngineConfig(target_chars=60, max_chars=90, min_chars=30)
+    trails = [[], ["a"], ["a", "b"], ["c"]]
+    cases = [[(rng.choice(trails), rng.choice("abc"), 1, k, "x" * rng.randint(1, 50)) for k in range(rng.randint(0, 12))] for _ in range(80)] + [[([], "a", 1, k, "x" * 31) for k in range(700)]]
+    kind = "array<struct<trail:array<string>,heading:string,level:int,start_line:int,text:string>>"
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], f"i int, u {kind}")
+    for r in df.select("i", chunking.merge_small(F.col("u"), config).alias("g")).collect():
+        want, now, size = [], [], 0
+        for u in cases[r.i]:
+            related = now and (u[0] == now[0][0] or u[0][: len(now[0][0]) + 1] == [*now[0][0], now[0][1]])
+            if now and (size >= config.min_chars or size + len(u[4]) > config.max_chars or not related):
+                want.append(now)
+                now, size = [], 0
+            now, size = [*now, u], size + len(u[4]) + 2
+        assert [[tuple(u) for u in g] for g in r.g] == want + [now] * bool(now)
+
+
+def test_adjacent_blocks_are_one_and_long_notes_take_linear_time(spark):
+    import time
+
+    text = "```\na\n```\n```dataview\nb\n```\n\n```x\nc\n```\n^id\n```dataview\nd\n```\nend"
+    r = markdown.parse_notes(spark.createDataFrame([("n.md", text)], "path string, text string")).first()
+    assert r.sections[0].body == "```x\nc\n```\n\nend"  # the removed line between leaves two blocks
+    began = time.time()
+    kinds = ["# Head {}", "text [[Note {}|it]] #tag", "> [!note] {}", "", "```sql", "select {}", "```", "- item {}"]
+    text = "\n".join(kinds[i % 8].format(i) for i in range(100_000))
+    notes = markdown.parse_notes(spark.createDataFrame([("n.md", text)], "path string, text string"))
+    chunks = chunking.chunk_notes(notes).select("start_line", "body").collect()
+    assert sum(c.body.count("select ") for c in chunks) == 12_500 and time.time() - began < 60
