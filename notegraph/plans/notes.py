@@ -13,7 +13,7 @@ from ..functions import chunking, dates, markdown
 from ..functions import text as T
 from ..operators import answer, bm25, evaluate, graph, maintain, retrieval
 from ..operators.lineage import checkpoint_dir, cut, spread
-from ..sources import vault
+from ..sources import generated, vault
 from ..streaming import think
 from . import retrieval as plans
 from . import views
@@ -202,6 +202,33 @@ def chunk_notes(spark, sf_dir):
     return c.select("path", F.col("ord").cast("long").alias("ord"), "breadcrumb", "heading", F.col("start_line").cast("long").alias("start_line"), "body", "meta_text", "text_hash")
 
 
+def _varied(spark, sf_dir):
+    """Notes of five kinds for the keys of ``part``."""
+    return generated.notes(spread(views.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"))))
+
+
+def varied_metadata(spark, sf_dir):
+    p = markdown.parse_notes(_varied(spark, sf_dir))
+    return p.select("id", "path", "title", *[_joined(c) for c in ("aliases", "tags", "links", "embeds")])
+
+
+def varied_sections(spark, sf_dir):
+    p = markdown.section_rows(markdown.parse_notes(_varied(spark, sf_dir)), "id")
+    return p.select("id", F.col("n").cast("long").alias("n"), F.col("level").cast("long").alias("level"), "heading", F.array_join("trail", " > ").alias("trail"), F.col("start_line").cast("long").alias("start_line"), "body")
+
+
+def varied_fences(spark, sf_dir):
+    rows = _varied(spark, sf_dir).select("id", F.inline(F.transform(markdown.fence_mask(markdown.lines(F.col("text"))), lambda r, i: F.struct(i.cast("long").alias("n"), r["inside"].alias("inside"), r["lang"].alias("lang")))))
+    return rows.where("inside").select("id", "n", "lang")
+
+
+def varied_dates(spark, sf_dir):
+    """The day of each note: that of its name, or else of its frontmatter."""
+    p = markdown.parse_notes(_varied(spark, sf_dir))
+    found = dates.note_date(F.col("path"), F.transform_values("frontmatter", lambda _, v: v["vals"]))
+    return p.select("id", found["date"].alias("date"), found["source"].alias("source"))
+
+
 def paragraphs(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
     p = chunking.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n \n")))
@@ -209,10 +236,10 @@ def paragraphs(spark, sf_dir):
 
 
 def pack_units(spark, sf_dir):
-    """Rows only: the packing is a fold.  Tested against a plain loop."""
+    """Lines of documents as paragraphs, packed; the SQL walks from each cut to the next."""
     d = views.table(spark, sf_dir, "documents")
     units = chunking.pack_paragraphs(chunking.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n"))), EngineConfig())
-    return d.select("doc_id", F.posexplode(units).alias("n", "unit")).select("doc_id", "n", F.length("unit").alias("n_chars"))
+    return d.select("doc_id", F.posexplode(units).alias("n", "unit")).select("doc_id", F.col("n").cast("long").alias("n"), F.length("unit").cast("long").alias("n_chars"))
 
 
 # ---- answers
@@ -374,7 +401,7 @@ def expected_notes(spark, sf_dir):
 
 _ALL = (
     find_date_filename, find_date_rejects, note_date_precedence, dates_report, latest_notes, resolve_links, backlinks, outlinks, link_stats, most_linked, unwritten_concepts, change_detection, pending_vectors, put_vectors,
-    cascade_delete, upsert_snapshot, index_stats, chunk_size_stats, conflict_names, skip_report, newline_normalise, content_hash, note_metadata, section_split, fence_lines, chunk_notes, paragraphs, pack_units,
+    cascade_delete, upsert_snapshot, index_stats, chunk_size_stats, conflict_names, skip_report, newline_normalise, content_hash, note_metadata, section_split, fence_lines, chunk_notes, varied_metadata, varied_sections, varied_fences, varied_dates, paragraphs, pack_units,
     estimate_tokens, context_budget, pack_sources, pack_sources_transcluded, excerpts, disambiguate, prompt_text, check_citations, think_filter, think_stream, answer_warnings, source_listing, sse_decode, first_ranks, recall_and_mrr, verdict, baseline_delta,
     answer_tally, bad_expected_paths, expected_notes,
 )
@@ -411,6 +438,7 @@ def oracle_sql():
     links = views.with_views("notes", "raw_links", "aliases") + "," + graph.RESOLVE_SQL
     chunks = views.with_views("notes", "chunks")
     hit = plans._KEYWORD + ", hit AS (SELECT * FROM bm25_top JOIN chunks USING (chunk_id) WHERE rank <= 8)"
+    varied = "WITH " + generated.expected_sql("part", "p_partkey")
     kinds = "['notes/{}.md', '.obsidian/{}.md', 'a/.git/{}.md', 'a/.x/{}.md', 'a/.{}.md', 'a/{}.png', 'a/{}.sync-conflict-2024.md', 'a/{} (conflicted copy 2).MD', 'a/{} (Ann''s conflicted copy).md', 'a/{}-desk-pc.md', 'a/~${}.md', 'a/{}.MD']"
     think_sql = """w AS (SELECT conv_id::VARCHAR AS session, string_agg(CASE WHEN turn % 3 = 1 THEN '<think>' || text || '</think>' ELSE text END, '' ORDER BY turn) AS whole,
         coalesce(string_agg(CASE WHEN turn % 3 = 1 THEN NULL ELSE text END, '' ORDER BY turn), '') AS shown FROM conversations GROUP BY 1)"""
@@ -451,6 +479,18 @@ def oracle_sql():
               sha256(breadcrumb || chr(10) || 'aliases: Part ' || k || ', P ' || k || chr(10) || 'tags: ' || brand || ', Made, size' || size || chr(10) || chr(10) || body) AS text_hash FROM d""",
         "paragraphs": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
             SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS para FROM l WHERE regexp_matches(line, '\\S')""",
+        "varied_metadata": varied + " SELECT id, path, title, aliases, tags, links, embeds FROM g_meta",
+        "varied_sections": varied + " SELECT id, n::BIGINT AS n, level::BIGINT AS level, heading, trail, start_line::BIGINT AS start_line, body FROM g_sections",
+        "varied_fences": varied + " SELECT id, n::BIGINT AS n, lang FROM g_fences",
+        "varied_dates": varied + " SELECT id, CASE WHEN id % 5 IN (0, 3, 4) THEN date::DATE END AS date, CASE WHEN id % 5 IN (3, 4) THEN 'filename' WHEN id % 5 = 0 THEN 'frontmatter:created' ELSE '' END AS source FROM g",
+        # Between two cuts the sizes add up; a cut takes the last paragraph along if it is short.
+        "pack_units": """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+            p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) AS len FROM l WHERE regexp_matches(line, '\\S')),
+            walk AS (SELECT doc_id, k, 0 AS unit, len + 2 AS size, len AS chars, len AS final FROM p WHERE k = 1
+              UNION ALL SELECT p.doc_id, p.k, w.unit + (w.size + p.len > 1200)::INT, CASE WHEN w.size + p.len <= 1200 THEN w.size + p.len + 2 WHEN w.final > 600 THEN p.len + 2 ELSE w.final + p.len + 4 END,
+                CASE WHEN w.size + p.len <= 1200 THEN w.chars + p.len + 2 WHEN w.final > 600 THEN p.len ELSE w.final + p.len + 2 END, p.len
+              FROM walk w JOIN p ON p.doc_id = w.doc_id AND p.k = w.k + 1)
+            SELECT doc_id, unit::BIGINT AS n, max(chars)::BIGINT AS n_chars FROM walk GROUP BY 1, 2""",
         "estimate_tokens": f"SELECT doc_id, {_TOKENS_SQL.format('text')} AS tokens FROM documents",
         "context_budget": f"SELECT c_custkey, greatest(256, CASE WHEN c_custkey % 5 = 0 THEN 8192 ELSE c_custkey % 5 * 2048 END - 800 - 320 - {_RULE_TOKENS})::BIGINT AS budget FROM customer",
         "pack_sources": hit.replace("WITH", "WITH RECURSIVE", 1)

@@ -207,3 +207,14 @@ def test_adjacent_blocks_are_one_and_long_notes_take_linear_time(spark):
     notes = markdown.parse_notes(spark.createDataFrame([("n.md", text)], "path string, text string"))
     chunks = chunking.chunk_notes(notes).select("start_line", "body").collect()
     assert sum(c.body.count("select ") for c in chunks) == 12_500 and time.time() - began < 60
+
+
+def test_generated_notes_do_not_depend_on_partitions(spark):
+    from notegraph.sources import generated, vault
+
+    one, many = (sorted(map(tuple, generated.notes(spark.range(0, 200, 1, k), 3).collect())) for k in (1, 7))
+    assert one == many and len({r[1] for r in one}) == 200
+    assert [r[2] for r in one] != [r[2] for r in sorted(map(tuple, generated.notes(spark.range(200), 4).collect()))]
+    files = generated.vault(spark, 50)
+    reasons = files.select(vault.skip_reason(F.col("path")).alias("r")).where("r IS NOT NULL").collect()
+    assert files.count() == 53 and sorted(r.r for r in reasons) == ["conflict", "folder", "suffix"]
