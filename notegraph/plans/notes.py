@@ -265,7 +265,7 @@ def pack_sources(spark, sf_dir):
 
 
 def pack_sources_transcluded(spark, sf_dir):
-    """Rows only: what is offered depends on what was taken.  Tested against a plain loop."""
+    """Each hit transcludes the note after its own, which is offered if the hit was taken."""
     n = views.note_count(spark, sf_dir)
     hits = _hits(spark, sf_dir).withColumn("body", F.concat("body", F.lit(" [embeds: "), (F.col("doc_id") % n).cast("string"), F.lit("]")))
     links = hits.select(F.col("path").alias("src"), F.concat(F.lit("x/"), (F.col("doc_id") % n).cast("string")).alias("raw"), F.lit("embed").alias("kind"), F.col("path").alias("dst")).distinct()
@@ -438,6 +438,8 @@ def oracle_sql():
     links = views.with_views("notes", "raw_links", "aliases") + "," + graph.RESOLVE_SQL
     chunks = views.with_views("notes", "chunks")
     hit = plans._KEYWORD + ", hit AS (SELECT * FROM bm25_top JOIN chunks USING (chunk_id) WHERE rank <= 8)"
+    excerpts_sql = """t AS (SELECT *, sum(length(body)) OVER w AS total, row_number() OVER w AS n FROM chunks WINDOW w AS (PARTITION BY path ORDER BY ord)),
+            excerpts AS (SELECT path, substr(string_agg(body, chr(10) || chr(10) ORDER BY ord), 1, 1200) AS excerpt FROM t WHERE n = 1 OR total <= 1200 GROUP BY 1)"""
     varied = "WITH " + generated.expected_sql("part", "p_partkey")
     kinds = "['notes/{}.md', '.obsidian/{}.md', 'a/.git/{}.md', 'a/.x/{}.md', 'a/.{}.md', 'a/{}.png', 'a/{}.sync-conflict-2024.md', 'a/{} (conflicted copy 2).MD', 'a/{} (Ann''s conflicted copy).md', 'a/{}-desk-pc.md', 'a/~${}.md', 'a/{}.MD']"
     think_sql = """w AS (SELECT conv_id::VARCHAR AS session, string_agg(CASE WHEN turn % 3 = 1 THEN '<think>' || text || '</think>' ELSE text END, '' ORDER BY turn) AS whole,
@@ -499,8 +501,19 @@ def oracle_sql():
               UNION ALL SELECT o.query_id, o.rank, o.path, o.body, CASE WHEN used + cost <= 300 THEN used + cost ELSE used END, CASE WHEN used + cost <= 300 THEN n + 1 ELSE n END, used + cost <= 300, CASE WHEN used + cost <= 300 THEN dropped ELSE dropped + 1 END
               FROM walk w JOIN o ON o.query_id = w.query_id AND o.rank = w.rank + 1)
             SELECT query_id, n::BIGINT AS n, path, length(body) AS n_chars, max(dropped) OVER (PARTITION BY query_id)::BIGINT AS dropped FROM walk QUALIFY taken""",
-        "excerpts": chunks + """, t AS (SELECT *, sum(length(body)) OVER w AS total, row_number() OVER w AS n FROM chunks WINDOW w AS (PARTITION BY path ORDER BY ord))
-            SELECT path, substr(string_agg(body, chr(10) || chr(10) ORDER BY ord), 1, 1200) AS excerpt FROM t WHERE n = 1 OR total <= 1200 GROUP BY 1""",
+        "pack_sources_transcluded": hit.replace("WITH", "WITH RECURSIVE", 1)
+        + f""", n_docs AS (SELECT greatest(count(*), 1) AS n FROM documents), {excerpts_sql},
+            offered AS (SELECT query_id, rank, 0 AS part, path, 'hit' AS kind, body || ' [embeds: ' || doc_id % n || ']' AS body FROM hit, n_docs
+              UNION ALL SELECT query_id, rank, 1, excerpts.path, 'transclusion', excerpt FROM hit h CROSS JOIN n_docs JOIN notes t ON t.doc_id = (h.doc_id + 1) % n JOIN excerpts ON excerpts.path = t.path),
+            o AS (SELECT query_id, rank, part, path, kind, {_TOKENS_SQL.format("body")} + 8 AS cost, row_number() OVER (PARTITION BY query_id ORDER BY rank, part) AS k FROM offered),
+            asked AS (SELECT DISTINCT query_id FROM o),
+            walk AS (SELECT query_id, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS open, []::VARCHAR[] AS paths, 0::BIGINT AS dropped, false AS taken, NULL::VARCHAR AS kind FROM asked
+              UNION ALL SELECT query_id, k, CASE WHEN verdict = 'take' THEN used + cost ELSE used END, CASE WHEN verdict = 'take' AND part = 0 THEN rank ELSE open END, CASE WHEN verdict = 'take' THEN list_append(paths, path) ELSE paths END,
+                dropped + (verdict = 'drop')::BIGINT, verdict = 'take', kind
+              FROM (SELECT o.*, w.used, w.open, w.paths, w.dropped, CASE WHEN part > 0 AND (open <> rank OR list_contains(paths, path)) THEN 'skip' WHEN used + cost <= 900 THEN 'take' ELSE 'drop' END AS verdict
+                FROM walk w JOIN o ON o.query_id = w.query_id AND o.k = w.k + 1))
+            SELECT query_id, len(paths)::BIGINT AS n, paths[-1] AS path, kind, max(dropped) OVER (PARTITION BY query_id)::BIGINT AS dropped FROM walk QUALIFY taken""",
+        "excerpts": chunks + ", " + excerpts_sql + " SELECT path, excerpt FROM excerpts",
         "disambiguate": hit + """ SELECT query_id, chunk_id, CASE WHEN count(*) OVER (PARTITION BY query_id, split_part(breadcrumb, ' > ', 1) || ' > ' || split_part(breadcrumb, ' > ', 2)) > 1 THEN doc_id::VARCHAR ELSE '' END AS label FROM hit""",
         "prompt_text": hit + f""", r AS (SELECT query_id, string_agg('[' || rank || '] ' || breadcrumb || coalesce('  (' || date || ')', '') || chr(10) || regexp_replace(body, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY rank) AS b FROM hit GROUP BY 1),
             u AS (SELECT q.query_id, 'SOURCES' || chr(10) || '=======' || chr(10) || chr(10) || coalesce(b, '') || chr(10) || chr(10) || 'QUESTION' || chr(10) || '========' || chr(10) || chr(10) || q AS usr FROM questions q LEFT JOIN r USING (query_id))
