@@ -29,9 +29,10 @@ def scores(ranks: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 8)) -> DataFrame:
 
 
 def verdict(table: DataFrame, cutoff: int = 1) -> DataFrame:
-    """One row: does fusion beat the better single retriever at the smallest cutoff?"""
+    """One row: does fusion beat the better single retriever at the smallest cutoff?  None
+    where fewer than three retrievers were compared."""
     value = F.col(f"r_at_{cutoff}")
-    own = table.agg(F.max(F.when(F.col("label") == "hybrid", value)).alias("hybrid"), F.max(F.when(F.col("label") != "hybrid", value)).alias("best_single"))
+    own = table.agg(F.max(F.when(F.col("label") == "hybrid", value)).alias("hybrid"), F.max(F.when(F.col("label") != "hybrid", value)).alias("best_single"), F.count_distinct("label").alias("labels")).where("labels >= 3")
     delta = F.round(F.col("hybrid") - F.col("best_single"), 4)
     return own.select("hybrid", "best_single", F.when(delta > DEAD_BAND, "better").when(delta < -DEAD_BAND, "worse").otherwise("equal").alias("verdict"))
 

@@ -77,6 +77,10 @@ class Index(Tables):
     path, links by their source, vectors by the hash of their text."""
 
     KEYS = {"notes": "path", "chunks": "path", "postings": "path", "lengths": "path", "links": "src", "vectors": "text_hash"}
+    COLUMNS = {
+        "notes": "path content_hash title aliases tags links embeds date date_source mtime size indexed_at", "chunks": "path ord breadcrumb heading start_line body embed_text meta_text text_hash",
+        "postings": "path cell term chunk_id tf_breadcrumb tf_body tf_meta n_tokens", "lengths": "path chunk_id n_tokens", "links": "src dst raw kind", "vectors": "text_hash model vec",
+    }
     #: What every build writes; a snapshot without one of them is made anew.
     WHOLE = ("notes", "chunks", "postings", "lengths", "links")
     #: Postings lie in cells of terms, in the order of terms, so a search opens few of them.
@@ -191,7 +195,8 @@ def resolved_links(notes: DataFrame) -> DataFrame:
 
 def build(index: Index, found: DataFrame, config=None, full: bool = False, dry_run: bool = False, root: str | None = None) -> DataFrame:
     """Bring the index up to the notes in ``found`` (path, text, content_hash[, mtime, size])
-    and return the changes.  A changed configuration, like ``full``, makes every note anew.
+    and return the changes.  A changed configuration, like ``full``, makes every note anew;
+    ``full`` also does so where the index is of another schema, otherwise an error.
     Nothing is written with ``dry_run``, or where nothing changed; otherwise the buckets of
     changed notes alone, and those of links that now mean another note.  Vectors belong to
     texts and stay; ``Index.embed`` makes those that are missing.  With ``root``, the folder
@@ -203,7 +208,9 @@ def build(index: Index, found: DataFrame, config=None, full: bool = False, dry_r
         assert_outside(index.path, root)
     config = config or EngineConfig()
     key = repr(config)
-    own = index.manifest()
+    own = index.manifest(check=not full)
+    if full and own and index.outdated(own):
+        own = None  # a full build takes nothing over from such an index
     old = own is not None and not full and own["config"] == key
     known = index.table("notes") if old else found.where(F.lit(False))
     status = changes(found, known)

@@ -30,6 +30,8 @@ class Tables:
     #: The column that deals each table into buckets, and one that deals a bucket further.
     KEYS: dict[str, str] = {}
     WITHIN: dict[str, str] = {}
+    #: Columns that a table must have, where it is named here.
+    COLUMNS: dict[str, str] = {}
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -38,18 +40,27 @@ class Tables:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifests(self) -> list[dict]:
-        """All snapshots there are, the latest first."""
+    def outdated(self, manifest: dict) -> str:
+        """What keeps this code from using a snapshot; empty if nothing does."""
+        if manifest["schema_version"] != SCHEMA_VERSION:
+            return f"has schema version {manifest['schema_version']}, not {SCHEMA_VERSION}"
+        kinds = {name: {f["name"] for f in json.loads(kind)["fields"]} for name, kind in (manifest["schemas"] or {}).items()}
+        missing = sorted(f"{name}.{c}" for name, own in kinds.items() for c in self.COLUMNS.get(name, "").split() if c not in own)
+        return f"lacks {', '.join(missing)}" if missing else ""
+
+    def manifests(self, check: bool = True) -> list[dict]:
+        """All snapshots there are, the latest first.  If that one is outdated it is an error,
+        but for those who write the next."""
         at, fs = self._fs(f"{self.path}/manifest")
         if not fs.exists(at):
             return []
         rows = self.spark.read.json(f"{self.path}/manifest", schema=_MANIFEST).orderBy(F.desc("snapshot")).collect()  # one for each kept build
-        if rows and rows[0]["schema_version"] != SCHEMA_VERSION:
-            raise ValueError(f"the index has schema version {rows[0]['schema_version']}, not {SCHEMA_VERSION}; rebuild it")
+        if rows and check and (why := self.outdated(rows[0].asDict())):
+            raise ValueError(f"the index at {self.path} {why}; rebuild it")
         return [r.asDict() for r in rows]
 
-    def manifest(self) -> dict | None:
-        return next(iter(self.manifests()), None)
+    def manifest(self, check: bool = True) -> dict | None:
+        return next(iter(self.manifests(check)), None)
 
     def files(self, name: str) -> list[str]:
         """The folders of a table in the latest snapshot."""
@@ -90,7 +101,7 @@ class Tables:
 
     def commit(self, files: dict[str, list[str]], schemas: dict[str, str], config: str, model: str) -> None:
         """One more line of the manifest."""
-        last = self.manifest()
+        last = self.manifest(check=False)
         row = json.dumps({"snapshot": last["snapshot"] + 1 if last else 0, "schema_version": SCHEMA_VERSION, "config": config, "model": model, "files": files, "schemas": schemas})
         self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/manifest")
 

@@ -346,3 +346,28 @@ def test_scores(spark):
     expected = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id long, path string")
     r = evaluate.scores(evaluate.first_ranks(hits, expected, ["m"])).first()
     assert (r.n, r.mrr, r.r_at_1, r.r_at_3) == (3, 0.5, 0.3333, 0.6667)
+
+
+def test_an_index_without_a_column_is_an_error_until_a_full_build(spark, tmp_path):
+    from notegraph.operators.maintain import Index, build
+
+    index = Index(spark, str(tmp_path / "ix"), 2)
+    found = spark.createDataFrame([("a.md", "# A\nalpha", "h")], "path string, text string, content_hash string")
+    build(index, found)
+    build(Index(spark, index.path, 2), found, full=True)
+    written = max((tmp_path / "ix" / "manifest").glob("part-*"), key=lambda p: json.loads(p.read_text())["snapshot"])
+    written.write_text(written.read_text().replace("date_source", "date_origin"))
+    for crc in (tmp_path / "ix" / "manifest").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(ValueError, match="lacks notes.date_source; rebuild"):
+        build(index, found)
+    build(index, found, full=True)
+    assert index.table("notes").select("path", "date_source").collect() == [("a.md", "")] and build(index, found).where("status <> 'same'").isEmpty()
+
+
+def test_verdict_needs_three_retrievers(spark):
+    from notegraph.operators import evaluate
+
+    rows = [("hybrid", 1, 0.5, 0.5), ("bm25 only", 1, 0.4, 0.4), ("vector only", 1, 0.3, 0.3)]
+    table = spark.createDataFrame(rows, "label string, n int, mrr double, r_at_1 double")
+    assert evaluate.verdict(table).first().verdict == "better" and evaluate.verdict(table.where("label <> 'vector only'")).count() == 0
