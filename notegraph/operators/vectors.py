@@ -1,11 +1,12 @@
 """Cosine search by brute force: every question against every vector, in blocks.
 
-Questions are dealt into blocks, vectors into shards; each pair of both is one matrix
-product inside a task, of which only the best n of each question leave it.
+Vectors stay where they are.  A task multiplies them with blocks of questions and passes on
+the best n of each question alone.
 """
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bm25 import ranked
+from .lineage import Best, cut
 
-SHARD_ROWS, BLOCK_QUERIES = 16384, 512
+#: Questions of one matrix product, and of one pass over the vectors.
+BLOCK_QUERIES, PASS_QUERIES = 512, 4096
 
 
 def normalised(vec: Column) -> Column:
@@ -59,43 +62,46 @@ def embed_texts(pending: DataFrame, model: str, provider: Callable[[list[str]],
 
 def check_dimensions(vectors: DataFrame) -> int:
     """The one dimension of all vectors; an error if models were mixed."""
-    return _shape(vectors)[1]
-
-
-def _shape(vectors: DataFrame) -> tuple[int, int]:
-    """Rows and dimension, in one pass."""
-    rows, low, high = vectors.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    low, high = vectors.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
     if low != high:
         raise ValueError(f"vectors have {low} to {high} dimensions; rebuild the index with one model")
-    return rows, low or 0
+    return low or 0
 
 
 def vector_topk(vectors: DataFrame, questions: DataFrame, n: int = 50, floor: float = 0.0) -> DataFrame:
     """(query_id, rank, chunk_id, score): dot products of unit vectors, best first.
 
-    ``vectors`` has (chunk_id, vec), ``questions`` (query_id, vec).  Scores under
-    ``floor`` are left out.
+    ``vectors`` has (chunk_id, vec), ``questions`` (query_id, vec), all of one dimension.
+    Scores under ``floor`` are left out.  More than PASS_QUERIES questions take several passes.
     """
-    shards = -(-max(1, _shape(vectors)[0]) // SHARD_ROWS)
-    blocks = -(-max(1, questions.count()) // BLOCK_QUERIES)
-
-    def best(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
-        names, ids = asked.column("query_id").to_numpy(), own.column("chunk_id").to_numpy()
-        out: list[list[np.ndarray]] = [[], [], []]
-        if len(ids) and len(names):
-            matrix, queries = (np.array(t.column("vec").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (own, asked))
-            for name, scores in zip(names, queries @ matrix.T):
-                keys = np.round(scores, 9)
-                at = np.flatnonzero(scores >= floor)
-                if len(at) > n:
-                    at = at[keys[at] >= np.partition(keys[at], len(at) - n)[len(at) - n]]
-                at = at[np.lexsort((ids[at], -keys[at]))][:n]
-                for column, values in zip(out, (np.full(len(at), name), ids[at], scores[at])):
-                    column.append(values)
-        kinds = (np.int64, np.int64, np.float64)
-        return pa.table([pa.array(np.concatenate(c).astype(k) if c else np.zeros(0, k)) for c, k in zip(out, kinds)], names=["query_id", "chunk_id", "score"])
-
-    left = vectors.select("chunk_id", "vec", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = questions.select("query_id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(best, "query_id long, chunk_id long, score double")
-    return ranked(found, n)
+    asked = cut(questions.select("query_id", F.col("vec").cast("array<double>").alias("vec")))
+    passes = -(-max(1, asked.count()) // PASS_QUERIES)
+    parts = [_best(vectors, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k), n, floor) for k in range(passes)]
+    return cut(ranked(functools.reduce(DataFrame.unionByName, parts), n))
+
+
+def _matrix(vec: pa.ListArray, dim: int) -> np.ndarray:
+    sizes = np.diff(vec.offsets.to_numpy())
+    if (sizes != dim).any():
+        raise ValueError(f"vectors have {min(dim, sizes.min())} to {max(dim, sizes.max())} dimensions; rebuild the index with one model")
+    return vec.flatten().to_numpy().reshape(-1, dim)
+
+
+def _best(vectors: DataFrame, asked: DataFrame, n: int, floor: float) -> DataFrame:
+    """(query_id, chunk_id, score) of at least the n best of each question of ``asked``."""
+    own = asked.toArrow()  # about PASS_QUERIES rows
+    names, vec = own.column("query_id").to_pylist(), own.column("vec").combine_chunks()
+    dim = len(vec[0]) if names else 0
+    queries = _matrix(vec, dim) if names else np.zeros((0, 0))
+
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Best(n)
+        for batch in batches if names else ():
+            ids, matrix = batch.column("chunk_id").to_numpy(), _matrix(batch.column("vec"), dim)
+            for start in range(0, len(names), BLOCK_QUERIES):
+                for name, scores in zip(names[start:], queries[start : start + BLOCK_QUERIES] @ matrix.T):
+                    at = np.flatnonzero(scores >= max(floor, found.least(name)))
+                    found.add(name, ids[at], scores[at])
+        yield found.table()
+
+    return vectors.select("chunk_id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(best, "query_id long, chunk_id long, score double")

@@ -129,3 +129,58 @@ def test_link_boost(spark):
     links = spark.createDataFrame([("c", "a"), ("a", None)], "src string, dst string")
     got = {r.chunk_id: (round(r.score, 6), r.boosted) for r in retrieval.link_boost(fused, links, 0.5, 60, 1).collect()}
     assert got == {1: (0.5, False), 2: (0.4, False), 3: (round(0.3 + 0.5 / 61, 6), True)}
+
+
+def many_chunks(spark, n=6000):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, "b", "m", " ".join(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randint(1, 25)))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "chunk_id long, breadcrumb string, meta string, body string").repartition(3)
+
+
+def plain_bm25(rows, questions, n):
+    """Every question against every chunk; phrases are tokens joined by an apostrophe."""
+    import math
+
+    tokens = {i: (b + " " + body + " " + m).split() for i, b, m, body in rows}
+    bodies = {i: body.split() for i, _, _, body in rows}
+    mean = sum(map(len, tokens.values())) / len(rows)
+    out = {}
+    for q, text in questions:
+        scores = {}
+        for term in dict.fromkeys(text.split()):
+            own = term.split("'")
+            tf = {i: sum(body[k : k + len(own)] == own for k in range(len(body))) for i, body in bodies.items()}
+            tf = {i: x for i, x in tf.items() if x}
+            idf = math.log((len(rows) - len(tf) + 0.5) / (len(tf) + 0.5))
+            for i, x in tf.items():
+                scores[i] = scores.get(i, 0) + (idf if idf > 0 else 1e-6) * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * len(tokens[i]) / mean))
+        out[q] = [i for i, _ in sorted(scores.items(), key=lambda s: (-round(s[1], 9), s[0]))[:n]]
+    return out
+
+
+def test_scores_past_the_bounds_equal_a_plain_search_in_one_pass_and_several(spark, monkeypatch):
+    rows, chunks = many_chunks(spark)
+    questions = [(0, "w0 w1 w59"), (1, "w40'w1 w2"), (2, "w0"), (3, " ".join(f"w{i}" for i in range(30))), (4, "nothing"), (5, "w1'w1 w0'w2'w0")]
+    asked = spark.createDataFrame(questions, "query_id long, q string")
+    want = {q: ids for q, ids in plain_bm25(rows, questions, 7).items() if ids}
+    for limit in (bm25.PASS_TERMS, 9):
+        monkeypatch.setattr(bm25, "PASS_TERMS", limit)
+        got = {}
+        for r in bm25.bm25_topk(chunks, asked, 7).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.chunk_id)
+        assert got == want
+
+
+def test_searches_send_no_chunk_through_a_shuffle(spark, monkeypatch):
+    """Before a question's best are ranked, no posting, vector or chunk leaves its partition."""
+    _, chunks = many_chunks(spark, 300)
+    chunks = spark.createDataFrame(chunks.rdd, chunks.schema)
+    seen = []
+    for module in (bm25, vectors):
+        monkeypatch.setattr(module, "ranked", lambda scores, n: seen.append(scores) or scores)
+    bm25.bm25_topk(chunks, ask(spark, "w0 w5"), 3)
+    v = chunks.selectExpr("chunk_id", "array(1D, double(chunk_id)) AS vec")
+    vectors.vector_topk(v, spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vec array<double>"), 3)
+    seen.append(retrieval.of_chunks(spark.createDataFrame([(0, 5)], "query_id long, chunk_id long"), chunks))
+    assert len(seen) == 3 and not any("Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString() for df in seen)
