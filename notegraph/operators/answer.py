@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import AnswerOptions
 from ..functions.dates import stem
 from ..functions.text import estimate_tokens, squeeze
+from .lineage import cut, small
 
 RULES = (
     "Answer from the numbered sources alone. After each statement, give the number of its source in square brackets, like [2]. "
@@ -76,7 +77,9 @@ def offers(hits: DataFrame, chunks: DataFrame, links: DataFrame | None, options:
     own = hits.select("query_id", "rank", F.lit(0).alias("part"), "path", F.lit("hit").alias("kind"), body.alias("body"))
     if links is None or not options.expand_transclusions:
         return own
-    more = transclusions(hits, links).join(excerpts(chunks, options.excerpt_chars).withColumnRenamed("path", "target"), "target")
+    named = cut(transclusions(hits, links))
+    wanted = chunks.join(small(named.select(F.col("target").alias("path")).distinct()), "path", "left_semi")
+    more = named.join(excerpts(wanted, options.excerpt_chars).withColumnRenamed("path", "target"), "target")
     part = F.row_number().over(Window.partitionBy("query_id", "rank").orderBy("target"))
     return own.unionByName(more.select("query_id", "rank", part.alias("part"), F.col("target").alias("path"), F.lit("transclusion").alias("kind"), F.col("excerpt").alias("body")))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import SearchOptions
 from ..functions.text import query_terms
 from .bm25 import KeywordIndex, bm25_topk
-from .lineage import cut
+from .lineage import cut, small
 from .vectors import vector_topk
 
 
@@ -49,9 +49,15 @@ def neighbourhood(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(query_id, path): notes one hop from the seeds (query_id, path), either way, that
     are no seeds themselves."""
     edges = links.where("dst IS NOT NULL").select("src", "dst")
-    both = edges.toDF("path", "near").unionByName(edges.toDF("near", "path")).distinct()
-    near = seeds.select("query_id", "path").distinct().join(both, "path").select("query_id", F.col("near").alias("path")).distinct()
-    return near.join(seeds, ["query_id", "path"], "left_anti")
+    own = cut(seeds.select("query_id", "path").distinct())
+    asked = small(own)
+    ways = [asked.join(edges.toDF(*ends), "path").select("query_id", F.col("near").alias("path")) for ends in (("path", "near"), ("near", "path"))]
+    return ways[0].unionByName(ways[1]).distinct().join(own, ["query_id", "path"], "left_anti")
+
+
+def of_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``hits`` with the other columns of their chunks, which are read without a shuffle."""
+    return small(cut(hits)).join(chunks, "chunk_id")
 
 
 def link_boost(fused: DataFrame, links: DataFrame, boost: float, k: int = 60, seeds: int = 5) -> DataFrame:
@@ -105,7 +111,9 @@ def select_diverse(candidates: DataFrame, vectors: DataFrame, top_k: int, per_no
                 taken.append(i)
         return pa.table({"query_id": pa.array([key[0].as_py()] * len(taken), pa.int64()), "chunk_id": pa.array([ids[i] for i in taken], pa.int64()), "rank": pa.array(range(1, len(taken) + 1), pa.int32())})
 
-    vec = vectors.select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))
+    candidates = cut(candidates)  # read for the walk and for its result
+    wanted = small(candidates.select("chunk_id").distinct())
+    vec = vectors.join(wanted, "chunk_id", "left_semi").select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))
     lists = candidates.select("query_id", (-F.round("score", 9)).alias("key"), "path", "ord", "chunk_id").join(vec, "chunk_id", "left")
     chosen = lists.groupBy("query_id").applyInArrow(walk, "query_id long, chunk_id long, rank int")
     return candidates.join(chosen, ["query_id", "chunk_id"])
@@ -115,9 +123,10 @@ def neighbour_context(hits: DataFrame, chunks: DataFrame, span: int) -> DataFram
     """(query_id, chunk_id, ord, near_id, body): chunks up to ``span`` before and after
     each hit in its note, other hits of the question left out."""
     near = chunks.select(F.col("path"), F.col("ord").alias("near_ord"), F.col("chunk_id").alias("near_id"), F.col("body").alias("near_body"))
+    hits = cut(hits.select("query_id", "chunk_id", "path", "ord"))
     steps = F.explode(F.sequence(F.lit(-span), F.lit(span))).alias("step")
     wanted = hits.select("query_id", "chunk_id", "path", "ord", steps).where("step <> 0").withColumn("near_ord", (F.col("ord") + F.col("step")).cast("int"))
-    found = wanted.join(near, ["path", "near_ord"])  # an equi-join: the band has 2 * span places
+    found = small(wanted).join(near, ["path", "near_ord"])  # an equi-join: the band has 2 * span places
     others = hits.select("query_id", F.col("chunk_id").alias("near_id"))
     return found.join(others, ["query_id", "near_id"], "left_anti").select("query_id", "chunk_id", F.col("near_ord").alias("ord"), "near_id", F.col("near_body").alias("body"))
 
@@ -176,7 +185,7 @@ class Searcher:
     def candidates(self, questions: DataFrame, options: SearchOptions, question_vectors: DataFrame | None = None) -> DataFrame:
         """Fused, filtered and boosted, not yet selected."""
         fused = fuse(self.ranked_lists(questions, options, question_vectors), options.rrf_k, options.weights)
-        rows = fused.join(self.chunks.select("chunk_id", "path", "ord", "start_line", "date"), "chunk_id").where(in_range(F.col("date"), options.since, options.until))
+        rows = of_chunks(fused, self.chunks.select("chunk_id", "path", "ord", "start_line", "date")).where(in_range(F.col("date"), options.since, options.until))
         if self.links is None:
             return rows.withColumn("boosted", F.lit(False))
         return link_boost(rows, self.links, options.link_boost, options.rrf_k, options.link_seeds)
@@ -189,7 +198,7 @@ class Searcher:
             hits = select_capped(found, options.top_k, options.per_note)
         else:
             hits = select_diverse(found, self.vectors, options.top_k, options.per_note, options.dedupe)
-        hits = hits.join(self.chunks.select("chunk_id", "breadcrumb", "body"), "chunk_id")
+        hits = of_chunks(hits, self.chunks.select("chunk_id", "breadcrumb", "body"))
         return with_context(hits, self.chunks, options.neighbours) if options.neighbours > 0 else hits
 
     def explain(self, questions: DataFrame, options: SearchOptions = SearchOptions(), question_vectors: DataFrame | None = None) -> DataFrame:

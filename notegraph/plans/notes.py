@@ -12,7 +12,7 @@ from ..config import AnswerOptions, EngineConfig, SearchOptions
 from ..functions import chunking, dates, markdown
 from ..functions import text as T
 from ..operators import answer, bm25, evaluate, graph, maintain, retrieval
-from ..operators.lineage import checkpoint_dir, cut, spread
+from ..operators.lineage import checkpoint_dir, cut, small, spread
 from ..sources import generated, vault
 from ..streaming import think
 from . import retrieval as plans
@@ -256,7 +256,7 @@ def context_budget(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     chunks = views.chunks(spark, sf_dir)
-    return bm25.bm25_topk(views.keywords(spark, sf_dir), views.questions(spark, sf_dir), 8).join(chunks, "chunk_id").withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.of_chunks(bm25.bm25_topk(views.keywords(spark, sf_dir), views.questions(spark, sf_dir), 8), chunks).withColumn("rank", F.col("rank").cast("long"))
 
 
 def pack_sources(spark, sf_dir):
@@ -267,10 +267,10 @@ def pack_sources(spark, sf_dir):
 def pack_sources_transcluded(spark, sf_dir):
     """Each hit transcludes the note after its own, which is offered if the hit was taken."""
     n = views.note_count(spark, sf_dir)
-    hits = _hits(spark, sf_dir).withColumn("body", F.concat("body", F.lit(" [embeds: "), (F.col("doc_id") % n).cast("string"), F.lit("]")))
+    hits = cut(_hits(spark, sf_dir)).withColumn("body", F.concat("body", F.lit(" [embeds: "), (F.col("doc_id") % n).cast("string"), F.lit("]")))
     links = hits.select(F.col("path").alias("src"), F.concat(F.lit("x/"), (F.col("doc_id") % n).cast("string")).alias("raw"), F.lit("embed").alias("kind"), F.col("path").alias("dst")).distinct()
-    moved = links.join(views.notes(spark, sf_dir).select(F.col("path").alias("dst"), "doc_id"), "dst").select("src", "raw", "kind", ((F.col("doc_id") + 1) % n).alias("doc_id"))
-    edges = moved.join(views.notes(spark, sf_dir).select("doc_id", F.col("path").alias("dst")), "doc_id").select("src", "raw", "kind", "dst")
+    moved = small(cut(links)).join(views.notes(spark, sf_dir).select(F.col("path").alias("dst"), "doc_id"), "dst").select("src", "raw", "kind", ((F.col("doc_id") + 1) % n).alias("doc_id"))
+    edges = cut(small(cut(moved)).join(views.notes(spark, sf_dir).select("doc_id", F.col("path").alias("dst")), "doc_id").select("src", "raw", "kind", "dst"))
     return answer.pack_sources(answer.offers(hits, views.chunks(spark, sf_dir), edges), 900).select("query_id", "n", "path", "kind", "dropped")
 
 
@@ -352,13 +352,13 @@ def _ranks(spark, sf_dir):
     s, v = plans.searcher(spark, sf_dir), views.question_vectors(spark, sf_dir)
     q = views.questions(spark, sf_dir)
     lists = cut(s.ranked_lists(q, SearchOptions(), v))  # all modes fuse the same lists
-    chunks = s.chunks.select("chunk_id", "path", "ord", "date")
+    places = small(cut(retrieval.of_chunks(lists.select("chunk_id").distinct(), s.chunks.select("chunk_id", "path", "ord", "date"))))
     hits = None
     for label, o in MODES.items():
         own = lists if o.use_bm25 and o.use_vector else lists.where(F.col("retriever") == ("bm25" if o.use_bm25 else "vector"))
-        found = retrieval.select_capped(retrieval.fuse(own).join(chunks, "chunk_id"), o.top_k, o.per_note).select(F.lit(label).alias("label"), "query_id", "rank", "path")
+        found = retrieval.select_capped(retrieval.fuse(own).join(places, "chunk_id"), o.top_k, o.per_note).select(F.lit(label).alias("label"), "query_id", "rank", "path")
         hits = found if hits is None else hits.unionByName(found)
-    return evaluate.first_ranks(hits, views.expected(spark, sf_dir), list(MODES))
+    return evaluate.first_ranks(hits, cut(views.expected(spark, sf_dir)), list(MODES))
 
 
 def first_ranks(spark, sf_dir):

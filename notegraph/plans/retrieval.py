@@ -147,7 +147,8 @@ def diversified_selection(spark, sf_dir):
 
 
 def link_neighbourhood(spark, sf_dir):
-    seeds = bm25.bm25_topk(views.keywords(spark, sf_dir), views.questions(spark, sf_dir), 3).join(views.chunks(spark, sf_dir).select("chunk_id", "path"), "chunk_id").select("query_id", "path").distinct()
+    seeds = bm25.bm25_topk(views.keywords(spark, sf_dir), views.questions(spark, sf_dir), 3)
+    seeds = retrieval.of_chunks(seeds, views.chunks(spark, sf_dir).select("chunk_id", "path")).select("query_id", "path").distinct()
     return retrieval.neighbourhood(seeds, resolved(spark, sf_dir))
 
 
@@ -159,7 +160,7 @@ def link_boost(spark, sf_dir):
 
 def neighbour_context(spark, sf_dir):
     chunks = views.chunks(spark, sf_dir)
-    hits = bm25.bm25_topk(views.keywords(spark, sf_dir), views.questions(spark, sf_dir), 8).join(chunks.select("chunk_id", "path", "ord"), "chunk_id")
+    hits = retrieval.of_chunks(bm25.bm25_topk(views.keywords(spark, sf_dir), views.questions(spark, sf_dir), 8), chunks.select("chunk_id", "path", "ord"))
     return retrieval.neighbour_context(hits, chunks, 2)
 
 
@@ -171,7 +172,7 @@ def explain_overlap(spark, sf_dir):
 
 def snippets(spark, sf_dir):
     chunks, q = views.chunks(spark, sf_dir), views.questions(spark, sf_dir)
-    hits = bm25.bm25_topk(views.keywords(spark, sf_dir), q, 8).join(chunks.select("chunk_id", "body"), "chunk_id").join(q, "query_id")
+    hits = retrieval.of_chunks(bm25.bm25_topk(views.keywords(spark, sf_dir), q, 8), chunks.select("chunk_id", "body")).join(q, "query_id")
     return hits.select("query_id", "chunk_id", T.snippet(F.col("body"), T.query_terms(F.col("q")), 60).alias("snippet"))
 
 

@@ -371,3 +371,15 @@ def test_verdict_needs_three_retrievers(spark):
     rows = [("hybrid", 1, 0.5, 0.5), ("bm25 only", 1, 0.4, 0.4), ("vector only", 1, 0.3, 0.3)]
     table = spark.createDataFrame(rows, "label string, n int, mrr double, r_at_1 double")
     assert evaluate.verdict(table).first().verdict == "better" and evaluate.verdict(table.where("label <> 'vector only'")).count() == 0
+
+
+def test_expected_notes_read_texts_once_and_send_none_through_a_shuffle(spark, tmp_path):
+    from notegraph.plans import views
+
+    docs = [(1, "x one two three extraordinary five six y", "en", "s", 0), (2, "one two three extraordinary five sixty", "en", "s", 0), (3, "one two  three extraordinary five six", "en", "s", 0), (4, None, "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "one two three extraordinary five six"), (8, "two three"), (9, " two  three extraordinary five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = views.expected(spark, str(tmp_path))
+    # One join with the passages, which are copied to every task; the texts are not fetched again.
+    assert found._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    assert sorted(map(tuple, found.collect())) == [(7, "s/en/1.md"), (7, "s/en/2.md"), (9, "s/en/3.md")]
