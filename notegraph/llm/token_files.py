@@ -51,8 +51,9 @@ def best_widths(ids: np.ndarray) -> list[int]:
     """Bits of each level that make the ids shortest: one bit a chunk for the bitmap, but
     for the last level."""
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    # longer[b]: ids that need more than b bits.
-    longer = [int((ids >> b != 0).sum()) if b else len(ids) for b in range(bits)]
+    # longer[b]: ids that need more than b bits, at 0 all.
+    sizes = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=bits + 1)
+    longer = [len(ids), *(int(sizes[b + 1 :].sum()) for b in range(1, bits))]
     best: dict[int, tuple[int, list[int]]] = {bits: (0, [])}
     for at in reversed(range(bits)):
         options = [(longer[at] * (end - at + (end < bits)) + best[end][0], [end - at, *best[end][1]]) for end in range(at + 1, bits + 1)]
@@ -62,8 +63,8 @@ def best_widths(ids: np.ndarray) -> list[int]:
 
 def _packed(values: np.ndarray, width: int) -> bytes:
     """``values`` of ``width`` bits each, the lowest bit first, and bytes to read beyond."""
-    shifts = np.arange(width, dtype=np.uint32)
-    parts = [np.packbits(((values[i : i + PACKED, None] >> shifts) & 1).astype(np.uint8).reshape(-1), bitorder="little").tobytes() for i in range(0, len(values), PACKED)]
+    rows = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4)
+    parts = [np.packbits(np.unpackbits(rows[i : i + PACKED], axis=1, count=width, bitorder="little").reshape(-1), bitorder="little").tobytes() for i in range(0, len(rows), PACKED)]
     return b"".join(parts) + bytes(8)  # PACKED values end on a whole byte
 
 
@@ -327,7 +328,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
             found = list(zip(*(TokenFile.head(x.as_py()) for x in batch.column("content")))) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array(c, pa.int64()) for c in found)], ["file", "part", "place", "before", "n_docs", "n_tokens"])
 
-    found = cut(_files(spark, path).mapInArrow(heads, "file string, part long, place long, before long, n_docs long, n_tokens long"))
+    found = cut(_files(spark, path).select("path", F.substring("content", 1, _HEAD.size).alias("content")).mapInArrow(heads, "file string, part long, place long, before long, n_docs long, n_tokens long"))
     base, bases = 0, []
     for part, n in sorted(map(tuple, found.groupBy("part").agg(F.sum("n_tokens")).collect())):  # a row for each range partition
         bases.append((part, base))

@@ -439,3 +439,23 @@ def test_license_scan_equals_all_rules_without_keywords(spark, monkeypatch):
     assert all(labels.values())
     said = {"SPDX-License-Identifier: AGPL-3.0": "agpl-3.0", "licensed under the AGPLv3": "agpl-3.0", "AGPL": "agpl", "ODbL": "odbl-1.0", "Expat License": "mit", "EULA": "commercial", "MIT No Attribution": "mit-0", "SPDX-License-Identifier: ODbL v1.0": "odbl-1.0"}
     assert {k: labels[f"x {k} y"] for k in said} == said
+
+
+def test_token_files_read_heads_and_not_ids_for_the_manifest(spark, tmp_path, monkeypatch):
+    """The bytes of a file that reach Python for the manifest are those of its head; widths and
+    bits are as a plain loop over the values makes them."""
+    import numpy as np
+
+    from notegraph.llm import token_files
+
+    seen = []
+    plain = token_files.cut
+    monkeypatch.setattr(token_files, "cut", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    token_files.write_token_files(spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string"), f"{tmp_path}/out")
+    assert any("substring(content" in plan for plan in seen)
+    ids = np.random.default_rng(2).integers(0, 1 << 20, 5000).astype(np.uint32) >> np.arange(5000, dtype=np.uint32) % 20
+    for width in (1, 7, 8, 13):
+        values = ids & np.uint32((1 << width) - 1)
+        bits = "".join(f"{v:0{width}b}"[::-1] for v in values.tolist())
+        assert token_files._packed(values, width) == bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8)) + bytes(8)
+    assert (token_files.TokenFile(token_files.TokenFile.build(0, 0, 0, [1], [len(ids)], ids)).ids() == ids).all()
