@@ -58,12 +58,20 @@ def one_row_each(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
 
 #: Rows of a table that may be copied to every task.
 SMALL_ROWS = 100_000
+#: Rows of a narrow table that one task reads.
+PART_ROWS = 20_000
 
 
 def small(df: DataFrame) -> DataFrame:
     """``df``, marked for broadcast if a count shows that it has at most SMALL_ROWS rows;
     beyond that joins are left to Spark, which splits hot keys."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    return F.broadcast(df) if fewer(df).limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+def fewer(df: DataFrame, rows: int = 0) -> DataFrame:
+    """``df``, a cut table of ``rows`` narrow rows, in no more parts than there are cores or
+    than the rows need: each part of what is shuffled next costs files, however small."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, one_row_each
+from .common import cut, keyed, one_row_each, small
 from .components import connected_components
 from .shingles import bands, shingle_sets, sketches
 
@@ -214,10 +214,10 @@ def block_links(placed: DataFrame, sets: DataFrame, percent: int, star: bool) ->
 
     def together(placed: DataFrame, *more: str) -> DataFrame:
         given = sets.withColumn("bands", F.lit(None).cast("binary")) if star else sets
-        rows = placed.join(given.select("rep", "n", "long", "bands", *more), "rep").select(*own, *more)
+        rows = small(placed).join(given.select("rep", "n", "long", "bands", *more), "rep").select(*own, *more)
         return rows.repartition("block").sortWithinPartitions("block", "key")
 
-    could = cut(together(placed).mapInArrow(likely, ", ".join(f"{c} long" for c in PLACE)))
+    could = cut(together(cut(placed)).mapInArrow(likely, ", ".join(f"{c} long" for c in PLACE)))
     return cut(together(could, "items").mapInArrow(confirm, "a long, b long"))
 
 
@@ -280,20 +280,19 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
     members = cut(keys.join(buckets, "key"))
     # One text for each class: that of its first row, of whose repeats any one serves.
-    wanted = classes.join(members.select("rep").distinct(), "rep").select(F.col("first.row_key").alias("row_key"), "rep")
-    texts = docs.select(row_key().alias("row_key"), "text").join(wanted, "row_key").dropDuplicates(["row_key"])
+    wanted = cut(classes.join(members.select("rep").distinct(), "rep").select(F.col("first.row_key").alias("row_key"), "rep"))
+    texts = docs.select(row_key().alias("row_key"), "text").join(small(wanted), "row_key").dropDuplicates(["row_key"])
     sets = cut(full_sets(texts))
 
     links = block_links(_stars(members), sets, percent, star=True)
-    component = connected_components(links).withColumnRenamed("node", "rep")
+    component = small(connected_components(links)).withColumnRenamed("node", "rep")
 
     placed = members.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     links = links.union(block_links(_blocks(placed), sets, percent, star=False))
 
-    final = connected_components(links).withColumnRenamed("node", "rep")
-    linked = final.join(classes.select("rep", "first"), "rep")
-    roots = linked.groupBy("component").agg(F.min("first").alias("root"))
-    named = linked.select("rep", "component").join(roots, "component").select("rep", "root")
+    final = small(connected_components(links)).withColumnRenamed("node", "rep")
+    roots = cut(final.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("root")))
+    named = small(cut(final.join(small(roots), "component").select("rep", "root")))
     return signed, cut(classes.join(named, "rep", "left").select("digest", "n_docs", "first", F.coalesce("root", "first").alias("root")))
 
 
