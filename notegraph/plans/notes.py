@@ -306,7 +306,7 @@ def _pieces(spark, sf_dir):
     said = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("<think>"), "text", F.lit("</think>"))).otherwise(F.col("text"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))), lambda t: t["said"]), "")
     rows = c.groupBy(F.col("conv_id").cast("string").alias("session")).agg(whole.alias("whole"))
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("whole"), F.lit(1)), F.lit(7)), lambda i: F.substr("whole", i, F.lit(7)))
+    cut = F.when(F.col("whole") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("whole", F.lit("(?s).{1,7}"), F.lit(0)))
     return rows.select("session", F.posexplode(cut).alias("seq", "piece"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OPEN, CLOSE = "<think>", "</think>"
+#: Sessions are dealt over so many groups with state, as a group costs milliseconds however small.
+BUCKETS = 1024
 
 
 def _begun(tag: str) -> re.Pattern:
@@ -40,25 +43,37 @@ def visible_part(rest: str, inside: bool) -> tuple[str, str, bool]:
 
 
 def _filter(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    buffer, inside = state.get if state.exists else ("", False)
+    """``key`` is a bucket; its state lists (session, buffer, inside) of those that wait."""
+    known = {session: (buffer, inside) for session, buffer, inside in json.loads(state.get[0])} if state.exists else {}
     rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for seq, piece, last in zip(rows["seq"], rows["piece"], rows["is_last"]):
-        text, buffer, inside = visible_part(buffer + (piece or ""), inside)
+    shown = []
+    for session, piece, last in zip(rows["session"], rows["piece"], rows["is_last"]):
+        buffer, inside = known.pop(session, ("", False))
+        buffer += piece or ""
+        if "<" in buffer:
+            text, buffer, inside = visible_part(buffer, inside)
+        else:
+            text, buffer = "" if inside else buffer, ""
         if last:
             text, buffer = text + ("" if inside else buffer), ""
-        out.append((key[0], seq, text))
-    state.update((buffer, inside))
-    yield pd.DataFrame(out, columns=["session", "seq", "visible"])
+        if buffer or inside:
+            known[session] = buffer, inside
+        shown.append(text)
+    if known:
+        state.update((json.dumps([(session, *left) for session, left in known.items()]),))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame({"session": rows["session"], "seq": rows["seq"], "visible": shown})
 
 
 def think_filter(pieces: DataFrame) -> DataFrame:
     """(session, seq, visible) of a stream (session, seq, piece, is_last).
 
     A tag may be cut anywhere.  is_last marks a session's end, where held-back text is
-    shown; an unclosed tag hides the rest.
+    shown; an unclosed tag hides the rest.  Sessions with nothing held back take no state.
     """
-    return pieces.groupBy("session").applyInPandasWithState(_filter, "session string, seq long, visible string", "buffer string, inside boolean", "append", GroupStateTimeout.NoTimeout)
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("session"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").applyInPandasWithState(_filter, "session string, seq long, visible string", "waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
 def ingest(spark: SparkSession, root: str, checkpoint: str, handle: Callable[[DataFrame, int], None]):
