@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +59,58 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+#: A character whose class is not the same in all versions of Unicode of the last ten years.
+_UNSETTLED = r"[\x{530}-\x{1DFF}\x{1F00}-\x{1FFF}\x{2070}-\x{209F}\x{20D0}-\x{10FFFF}]"
+
+
+def token_source(text: Column) -> Column:
+    """What ``split_tokens`` makes ``index_tokens`` of: the text in lower case, or its tokens with
+    spaces between where it has characters beyond Latin, Greek and Cyrillic."""
+    known = F.coalesce(text, F.lit(""))
+    low = F.lower(known)
+    return F.when(~_ascii(known) & low.rlike(_UNSETTLED), F.array_join(index_tokens(known), " ")).otherwise(low)
+
+
+@functools.cache
+def _code_points() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point what it is folded to, -1 for marks, and whether it is part of a token."""
+    accented, plain = latin_folding()
+    fold, part = np.arange(0x110000, dtype=np.int32), np.ones(0x110000, bool)
+    fold[[*map(ord, accented + "ς")]] = [*map(ord, plain + "σ")]
+    fold[0x300:0x370] = -1
+    for code in [*range(0x530), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), *range(0x20A0, 0x20D0)]:
+        part[code] = unicodedata.category(chr(code))[0] in "LN"
+    return fold, part
+
+
+def split_tokens(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The tokens of all texts (``token_source``, no nulls), and how many each has."""
+    fold, part = _code_points()
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    code, bounds = raw, ends - ends[0]
+    ascii_only = not len(raw) or raw.max() < 128
+    if not ascii_only:
+        bounds = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[bounds]
+        code = fold[np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.int32)]
+        if (code < 0).any():
+            bounds, code = np.append(0, np.cumsum(code >= 0))[bounds], code[code >= 0]
+    inside = part[code]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = bounds[:-1][bounds[:-1] < len(code)]
+    begins[first] = inside[first]
+    at, code = np.flatnonzero(begins), code[inside]
+    place = np.append((np.cumsum(inside) - 1)[at], len(code))
+    if ascii_only:
+        data = code.tobytes()
+    else:
+        data = code.tobytes().decode("utf-32-le").encode()
+        place = np.append(0, np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))[place]
+    tokens = pa.StringArray.from_buffers(len(at), pa.py_buffer(place.astype(np.int32)), pa.py_buffer(data))
+    return tokens, np.diff(np.searchsorted(at, bounds))
+
+
 def token_count(text: Column) -> Column:
     """The size of ``index_tokens``, without making them."""
     known = F.coalesce(text, F.lit(""))
